@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from awardgrid.llm import sharding, url_filter
+import public_tokenizers
+
+from awardgrid.llm import language, packing, quality_classifier, quality_rules, secrets, sharding, url_filter
 from awardgrid.llm.common import parquet
 
 #: Host names on the URL list that op6 screens against: fixed values.
 LISTED_HOSTS = ("spam-farm", "cheap-pills")
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, parquet(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(spark, parquet(spark, sf_dir, "documents"))
 
@@ -22,9 +31,30 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark, pages, listed)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(spark, parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(spark, parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(spark, parquet(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(parquet(spark, sf_dir, "documents")).drop("redacted")
+
+
 QUERIES = {
+    "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
     "op6_url_filter": op6_url_filter,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_language": op9_language,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES = {

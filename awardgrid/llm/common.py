@@ -20,6 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive a lost executor."""
 
@@ -29,8 +32,14 @@ class Scratch:
         self.paths: dict[str, str] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write and reread; the shuffle files of the write go when it is over, since no later job needs them."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(CLEAN_UP, None)
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before) if before is not None else self.spark.conf.unset(CLEAN_UP)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

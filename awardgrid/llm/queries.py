@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from awardgrid.llm import language, packing, quality_classifier, quality_rules, secrets, sharding, url_filter
+from awardgrid.llm import language, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, url_filter
 from awardgrid.llm.common import parquet
 
 #: Host names on the URL list that op6 screens against: fixed values.
@@ -21,6 +21,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, parquet(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(spark, parquet(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(spark, parquet(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_sharding": op5_sharding,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,

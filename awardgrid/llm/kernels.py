@@ -129,10 +129,10 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     if (short := np.flatnonzero((count > 0) & (count < k))).size:
         own = []
         for d in short:
-            x = np.uint64(count[d])
+            x = np.full(1, count[d], np.uint64)
             for v in w.hash[w.first[d] : w.first[d + 1]]:
-                x = mix(np.array([x * _ODD[40] + v], np.uint64))[0]
-            own.append((np.uint64(d) << np.uint64(52)) | (x >> np.uint64(12)))
+                x = mix(x * _ODD[40] + v)
+            own.append((np.uint64(d) << np.uint64(52)) | (x[0] >> np.uint64(12)))
         key = np.concatenate([key, np.array(own, np.uint64)])
     key.sort()
     if len(key):

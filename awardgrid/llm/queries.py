@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from awardgrid.llm import language, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, url_filter
+from awardgrid.llm import language, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, url_filter
 from awardgrid.llm.common import parquet
 
 #: Host names on the URL list that op6 screens against: fixed values.
@@ -17,6 +17,10 @@ LISTED_HOSTS = ("spam-farm", "cheap-pills")
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark, parquet(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, parquet(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -52,6 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_packing": op3_packing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_sharding": op5_sharding,
@@ -63,6 +68,26 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) = 1 THEN ws
+                      ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh
+  FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY 1, 2),
+link AS (SELECT u, v FROM common WHERE 100 * i >= 80 * (na + nb - i)),
+reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION
+  SELECT link.v, reach.root FROM reach JOIN link ON reach.node = link.u)
+SELECT s.doc_id, len(s.sh) AS n_shingles, min(reach.root) AS component_id, s.doc_id = min(reach.root) AS kept
+FROM s JOIN reach ON reach.node = s.doc_id GROUP BY s.doc_id, len(s.sh)""",
     "op6_url_filter": rf"""
 WITH u AS (
   SELECT page_id,

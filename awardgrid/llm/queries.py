@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from awardgrid.llm import language, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, url_filter
+from awardgrid.llm import decontamination, language, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, url_filter
 from awardgrid.llm.common import parquet
 
 #: Host names on the URL list that op6 screens against: fixed values.
@@ -21,6 +21,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, parquet(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(spark, parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, parquet(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -57,6 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_sharding": op5_sharding,

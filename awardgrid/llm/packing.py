@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -14,40 +17,82 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in one packing group, about two hundred sequences.
 GROUP_BYTES = 3 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 60_000
 _cached: dict[str, "WordTokens"] = {}
 
+#: Latin characters end here; so do those whose lead byte in UTF-8 is at most ``LATIN_LEAD``.
+LATIN, LATIN_LEAD = 0x180, 0xC5
+_of = lambda kind: re.escape("".join(c for c in map(chr, range(LATIN)) if unicodedata.category(c)[0] == kind))
+#: How the tokenizer's own rule splits lower-cased Latin text.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of('L')}]+|[{_of('N')}]|[^ \t\n\v\f\r\x85\xa0{_of('L')}{_of('N')}]+")
 
-class WordTokens(dict):
-    """Little-endian 16-bit ids of a blank-free run of bytes.
 
-    The word tokenizer drops white space and never joins across it, so a text's ids are those of
-    its runs between ASCII blanks, one after the other; runs that were seen before are looked up.
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself, or the next free one from 256."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+class Cache(dict):
+    """A bounded memory in two generations: what is still in use moves to the new one."""
+
+    def __init__(self, most: int, make):
+        super().__init__()
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class WordTokens:
+    """Little-endian 16-bit ids of texts.
+
+    Latin text is lower-cased and split as the tokenizer does it, and its parts go to the
+    tokenizer's model. The tokenizer drops white space and never joins across it, so other text is
+    cut at ASCII blanks and each run goes through the whole tokenizer. Parts and runs that were met
+    before are looked up.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self))
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[word] = np.array(got.ids, "<u2").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        get = self.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts = Cache(2 * CACHE_WORDS, self._part)
+        self.runs = Cache(CACHE_WORDS, self._run)
+
+    def _part(self, part: str) -> bytes:
+        if not (part.isascii() and part.isprintable()):
+            part = part.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def _run(self, run: bytes) -> bytes:
+        ids = self.tokenizer.encode(run.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def encode(self, raw: bytes, offs: np.ndarray) -> list[bytes]:
+        """Ids of the texts that ``offs`` cuts out of UTF-8 bytes."""
+        data, out = np.frombuffer(raw, np.uint8), []
+        foreign = np.concatenate([[0], np.cumsum(data > LATIN_LEAD)])
+        part, run = self.parts.__getitem__, self.runs.__getitem__
+        for a, b in zip(offs[:-1], offs[1:], strict=True):
+            if foreign[a] == foreign[b] and not any(s in (text := raw[a:b].decode()) for s in self.special):
+                out.append(b"".join(map(part, _PARTS.findall(text.lower()))))
+            else:
+                out.append(b"".join(map(run, raw[a:b].split())))
+        return out
 
 
 def _tokens(path: str) -> WordTokens:
@@ -149,9 +194,8 @@ def pack_documents(
 
         words = _tokens(tokenizer)
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column("text"), 4 << 20):
-                raw = data.tobytes()
-                ids = words.encode([raw[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)])
+            for lo, hi, data, offs in slices(batch.column("text")):
+                ids = words.encode(data.tobytes(), offs)
                 yield pa.record_batch(
                     [batch.column("doc_id").slice(lo, hi - lo), batch.column("group").slice(lo, hi - lo), pa.array([x + end for x in ids], pa.binary())],
                     ["doc_id", "group", "ids"],

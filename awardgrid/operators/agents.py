@@ -1,0 +1,123 @@
+"""Decide-act loops around a pluggable model, with checks of what it answers.
+
+``ask`` is any callable from a prompt to a reply; in tests and offline runs it replays stored replies.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import re
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+Ask = Callable[[str], str]
+
+
+class ModelOutage(RuntimeError):
+    """The model can't be reached; nothing that depends on it may be committed."""
+
+
+def parse_action(reply: str) -> dict[str, Any]:
+    """The first JSON object in a reply, with or without a code fence; an ``error`` action if there is none."""
+    at = reply.find("{")
+    while at >= 0:
+        try:
+            found, _ = json.JSONDecoder().raw_decode(reply[at:])
+            if isinstance(found, dict):
+                return {"action": found.get("action") or found.get("name") or "error", "args": found.get("args") or found.get("arguments") or {}}
+        except ValueError:
+            pass
+        at = reply.find("{", at + 1)
+    return {"action": "error", "args": {"reply": reply[:200]}}
+
+
+def run_loop(state: dict, ask: Ask, tools: dict[str, Callable[..., str]], finish: str, steps: int) -> dict:
+    """Ask, act, note the outcome, until the model finishes or its steps are used up.
+
+    A call that was made before isn't made again. The trace lists every step.
+    """
+    seen: set[str] = set()
+    trace = state.setdefault("trace", [])
+    for step in range(1, steps + 1):
+        action = parse_action(ask(json.dumps(state, sort_keys=True, default=str)))
+        name, args = action["action"], action["args"]
+        if name == finish:
+            return {**state, "result": args, "stop": "finished", "steps": step}
+        call = json.dumps([name, args], sort_keys=True, default=str)
+        if call in seen:
+            outcome = "error: this call was made before"
+        elif name not in tools:
+            outcome = f"error: no tool {name}"
+        else:
+            try:
+                outcome = tools[name](**args)
+            except TypeError as e:
+                outcome = f"error: {e}"
+        seen.add(call)
+        trace.append({"step": step, "action": name, "args": args, "outcome": outcome})
+    return {**state, "result": None, "stop": "budget", "steps": steps}
+
+
+def valid_verdict(letter: str, name: str, quote: str, text: str, open_names: set[str]) -> str | None:
+    """Why a verdict can't be taken, or None: open name, letter a to f, quote in the text, and for f the name in the quote."""
+    plain = lambda s: re.sub(r"\W+", " ", s.lower()).strip()
+    if name not in open_names:
+        return "not an open name"
+    if letter not in "abcdef" or len(letter) != 1:
+        return "no such letter"
+    if len(plain(quote)) < 4 or plain(quote) not in plain(text):
+        return "quote not in the text"
+    return "the quote lacks the name" if letter == "f" and plain(name) not in plain(quote) else None
+
+
+def replay(replies: dict[str, str]) -> Ask:
+    """A model that answers from stored replies, keyed by the prompt's hash; a prompt without one is an outage."""
+
+    def ask(prompt: str) -> str:
+        key = hashlib.sha256(prompt.encode()).hexdigest()[:24]
+        if key not in replies:
+            raise ModelOutage(key)
+        return replies[key]
+
+    return ask
+
+
+def map_tenders(tenders: DataFrame, key: str, run: Callable[[dict], dict], schema: str) -> DataFrame:
+    """``run`` for each row, as a map: rows that a model outage hits come back with ``error`` and null results."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fields = [f.split()[0] for f in schema.split(", ")]
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                try:
+                    out.append({key: row[key], **run(row), "error": None})
+                except ModelOutage as e:
+                    out.append({key: row[key], "error": str(e)})
+            yield pd.DataFrame(out, columns=fields).astype(object)
+
+    return tenders.mapInPandas(each, schema)
+
+
+def apply_letters(candidates: DataFrame, letters: DataFrame) -> DataFrame:
+    """Model letters over rule results: f makes or keeps a finding, another letter clears, none leaves it unresolved.
+
+    candidates: reference, name, result, why; letters: reference, name, letter. Names that the rules
+    cleared for reasons other than a list of makes are not asked about and stay as they are.
+    """
+    rows = candidates.join(letters, ["reference", "name"], "left")
+    asked = F.col("result").isin("finding", "unresolved") | (F.col("why") == "list_of_makes")
+    result = F.when(~asked, F.col("result")).when(F.col("letter") == "f", "finding").when(F.col("letter").isNotNull(), "ok").otherwise(F.when(F.col("why") == "list_of_makes", F.col("result")).otherwise("unresolved"))
+    confidence = F.when((result == "finding") & (F.col("letter") == "f"), "high").when(result == "finding", "low")
+    why = F.when(asked & F.col("letter").isNotNull() & (F.col("letter") != "f"), F.concat(F.lit("agent_"), "letter")).otherwise(F.col("why"))
+    return rows.withColumns({"result": result, "confidence": confidence, "why": why})
+
+
+def run_statistics(traces: DataFrame) -> DataFrame:
+    """Stop reasons with their number and average steps; traces: stop, steps."""
+    return traces.groupBy("stop").agg(F.count("*").alias("runs"), F.avg("steps").alias("average_steps"), F.max("steps").alias("most_steps"))

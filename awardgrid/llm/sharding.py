@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from awardgrid.llm.common import Scratch
 
 SEED = 17
+#: Where null ids sort.
+NO_ID = -(1 << 63)
 
 
 def _range_of(splitters: list[tuple], key: Column) -> Column:
@@ -27,7 +29,7 @@ def _draw(rows: DataFrame, n: int, seed: int) -> list[tuple]:
     """n keys, each row drawn with a chance in proportion to its size: the n least -ln(u)/size."""
     u = (F.pmod(F.xxhash64("k", "id", F.lit(seed)), F.lit(1 << 52)) + 1) / float(1 << 52)
     drawn = rows.select("k", "id", (-F.log(u) / F.col("size")).alias("w")).orderBy("w", "k", "id").limit(n)
-    return sorted((r["k"], r["id"]) for r in drawn.collect())
+    return sorted((r["k"], NO_ID if r["id"] is None else r["id"]) for r in drawn.collect())
 
 
 def assign_shards(
@@ -67,9 +69,8 @@ def assign_shards(
     )
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n = max(shards * ranges_per_shard, -(-count // rows_per_range))
-    key = F.struct("k", F.coalesce("id", F.lit(-(1 << 63))).alias("id"))
+    key = F.struct("k", F.coalesce("id", F.lit(NO_ID)).alias("id"))
     drawn = _draw(rows, n * samples_per_range, SEED) if count else []
-    drawn = [(k, -(1 << 63) if i is None else i) for k, i in drawn]
     splitters = sorted({drawn[i * len(drawn) // n] for i in range(1, n)} if drawn else set())
     for turn in range(1, 4):
         ranged = rows.withColumn("range", _range_of(splitters, key))
@@ -79,7 +80,7 @@ def assign_shards(
             break
         parts = sum(-(-b * n // total) for b in over.values())
         more = _draw(ranged.where(F.col("range").isin(list(over))), parts * samples_per_range, SEED + turn)
-        grown = sorted({*splitters, *((k, -(1 << 63) if i is None else i) for k, i in more[:: samples_per_range])})
+        grown = sorted({*splitters, *more[::samples_per_range]})
         if grown == splitters:
             break
         splitters = grown

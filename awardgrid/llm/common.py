@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH = 1000
+ROWS_PER_FILE = 250_000
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -31,15 +36,22 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/awardgrid/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and reread; the shuffle files of the write go when it is over, since no later job needs them."""
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write and reread; the shuffle files of the write go when it is over, since no later job needs
+        them, and rows with texts go to Python workers in batches of at most ``BATCH``. Where ``rows``
+        bounds the number of (short) rows, they go to a file for each ``ROWS_PER_FILE``."""
+        if rows is not None:
+            df = df.coalesce(max(8, -(-rows // ROWS_PER_FILE)))
         path = f"{self.root}/{name}"
-        before = self.spark.conf.get(CLEAN_UP, None)
-        self.spark.conf.set(CLEAN_UP, "true")
+        own = {CLEAN_UP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}
+        before = {k: self.spark.conf.get(k, None) for k in own}
+        for k, v in own.items():
+            self.spark.conf.set(k, v)
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(CLEAN_UP, before) if before is not None else self.spark.conf.unset(CLEAN_UP)
+            for k, v in before.items():
+                self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -52,19 +64,42 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one bounded partition as stars: every node with the least id it is connected to there."""
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if not held:
+        return
+    a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    far = root != np.arange(len(ids))
+    yield pa.record_batch([pa.array(ids[far]), pa.array(ids[root[far]])], ["u", "v"])
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a long, b long); root is the smallest reachable id.
+    """(node, root) for every node of a written table ``edges`` (a long, b long); root is the smallest reachable id.
 
-    Alternating large-star and small-star steps: every step is a minimum by key (combined before
+    First every ``ROWS_PER_FILE`` links are contracted to stars where they are read. Alternating
+    large-star and small-star steps join the stars: every step is a minimum by key (combined before
     the shuffle) and an equi-join, and no neighbour list is ever gathered. Each round is written to
     the shared folder. Self-links and nulls are ignored. ``rounds`` only guards against a bug: the
     number needed grows with the logarithm of the longest chain, and running out raises.
     """
-    stars = scratch.keep(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        f"cc-{uuid.uuid4().hex}",
-    )
-    before = None
+    n = edges.count()
+    plain = edges.select("a", "b").where("a <> b").coalesce(max(1, -(-n // ROWS_PER_FILE)))
+    stars = scratch.keep(plain.mapInArrow(_contract, "u long, v long"), f"cc-{uuid.uuid4().hex}")
+    told = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
+    before = told(stars)
     for _ in range(rounds):
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -72,8 +107,8 @@ def connected_components(scratch: Scratch, edges: DataFrame, rounds: int = 40) -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.union(least.select("u", F.col("m").alias("v"))).distinct()
-        stars = scratch.keep(small, f"cc-{uuid.uuid4().hex}")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
+        stars = scratch.keep(small, f"cc-{uuid.uuid4().hex}", 2 * n)
+        now = told(stars)
         if now == before or now[0] == 0:
             break
         before = now

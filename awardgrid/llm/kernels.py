@@ -8,6 +8,8 @@ longest single text.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +27,7 @@ _LOWER[0x41:0x5B] = _BYTE[0x61:0x7B]
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _ODD = _rng.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_libc = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -49,6 +52,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets into them) with at most 4,096 rows each; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from awardgrid.llm.common import Scratch, connected_components
-from awardgrid.llm.kernels import mix, shingle_sets, slices, words
+from awardgrid.llm.kernels import give_back, mix, shingle_sets, slices, words
 
 #: Minwise tokens that paths choose from, in two halves, one for each branch; and those of the sketch.
 TOKENS, SKETCH = 64, 128
@@ -149,6 +149,7 @@ def near_duplicates(
                     ],
                     ["doc", "n", "h0", "h1", "b0", "b1", "sig"],
                 )
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sketched = scratch.keep(rows.mapInArrow(sketch, "doc long, n long, h0 long, h1 long, b0 long, b1 long, sig array<int>"), "sketched")
@@ -156,6 +157,7 @@ def near_duplicates(
     equal = scratch.keep(linkable.groupBy("h0", "h1").agg(F.min("doc").alias("rep")), "equal")
     reps = linkable.join(equal, ["h0", "h1"]).where("doc = rep").select("doc", "n", "b0", "b1", "sig")
     reps = scratch.keep(reps, "reps")
+    n_reps = reps.count()
 
     below = [(t, b) for t in range(trees) for b in (0, 1)]
     level = reps.select("doc", "n", "b0", "b1", F.explode(F.array(*[_child(F.xxhash64(F.lit(t), F.lit("root")), F.col("sig"), b) for t, b in below])).alias("node"))
@@ -163,13 +165,13 @@ def near_duplicates(
     for at in range(1, depth + 1):
         level = scratch.keep(level, f"level{at}")
         sizes = level.groupBy("node").agg(F.count("*").alias("c"), F.min("doc").alias("pivot")).where("c > 1")
-        sizes = scratch.keep(sizes, f"sizes{at}")
+        sizes = scratch.keep(sizes, f"sizes{at}", n_reps)
         leaves.append(level.join(sizes.where(F.col("c") <= leaf).select("node"), "node"))
         large = sizes.where(F.col("c") > leaf)
         if large.isEmpty():
             break
         large = large.join(reps.select(F.col("doc").alias("pivot"), F.col("b0").alias("p0"), F.col("b1").alias("p1")), "pivot")
-        big = scratch.keep(level.join(large, "node").withColumn("like", _agree("b", "p") >= least_bits), f"big{at}")
+        big = scratch.keep(level.join(large, "node").withColumn("like", _agree("b", "p") >= least_bits), f"big{at}", n_reps)
         tight = big.groupBy("node").agg((2 * F.sum(F.col("like").cast("long")) >= F.count("*")).alias("tight"))
         if at == depth:
             tight = tight.withColumn("tight", F.lit(True))
@@ -195,17 +197,17 @@ def near_duplicates(
 
     cluster = None
     if heavies:
-        heavy = scratch.keep(union(heavies).select("doc", "pivot").distinct(), "heavy")
+        heavy = scratch.keep(union(heavies).select("doc", "pivot").distinct(), "heavy", n_reps)
         if not heavy.isEmpty():
             roots = connected_components(scratch, heavy.select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
-            cluster = scratch.keep(roots.select(F.col("node").alias("doc"), F.col("root").alias("cluster")), "cluster")
+            cluster = scratch.keep(roots.select(F.col("node").alias("doc"), F.col("root").alias("cluster")), "cluster", n_reps)
             of = lambda side: cluster.select(F.col("doc").alias(side), F.col("cluster").alias(f"c{side}"))
             pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-    pairs = scratch.keep(pairs, "pairs")
+    pairs = scratch.keep(pairs, "pairs", n_reps)
     asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b"))
     if cluster is not None:
         asked = asked.union(cluster.select("doc"))
-    asked = scratch.keep(asked.distinct(), "asked")
+    asked = scratch.keep(asked.distinct(), "asked", n_reps)
     few = asked.count() <= FEW_IDS
     texts = scratch.keep(rows.where("text is not null").join(F.broadcast(asked) if few else asked, "doc", "left_semi"), "texts")
 
@@ -218,6 +220,7 @@ def near_duplicates(
                 size = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)], np.int64)
                 near = pa.array((100 * both >= percent * (size - both)) & (both > 0))
                 yield pa.record_batch([part.column("a").filter(near), part.column("b").filter(near)], ["a", "b"])
+        give_back()
 
     side = lambda s: texts.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}"))
     links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
@@ -233,26 +236,26 @@ def near_duplicates(
 
     if cluster is not None:
         size = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-        member = scratch.keep(dealt(cluster.join(size, "cluster"), "chunk", 3), "member")
+        member = scratch.keep(dealt(cluster.join(size, "cluster"), "chunk", 3), "member", n_reps)
         pivots = member.withColumn("slot", F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(16))).groupBy("cluster", "slot").agg(F.min("doc").alias("doc"), F.max("chunks").alias("chunks"))
         everywhere = pivots.select("doc", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
         groups = member.select("doc", "cluster", "chunk").union(everywhere).join(texts, "doc")
         links = links.union(groups.groupBy("cluster", "chunk").applyInArrow(compare, "a long, b long"))
     links = scratch.keep(links, "links")
-    roots = scratch.keep(connected_components(scratch, links), "roots")
+    roots = scratch.keep(connected_components(scratch, links), "roots", n_reps)
     if cluster is not None:
-        part = scratch.keep(member.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")), "part")
+        part = scratch.keep(member.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")), "part", n_reps)
         parts = part.groupBy("cluster", "root").count()
         main = parts.groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("total")).where("parts > 1")
         main = main.select("cluster", F.col("m.root").alias("main"), F.ceil((F.col("total") - F.col("m.count")) / (chunk // 2)).alias("blocks"))
-        rest = scratch.keep(part.join(main, "cluster"), "rest")
+        rest = scratch.keep(part.join(main, "cluster"), "rest", n_reps)
         if not rest.isEmpty():
             asking = dealt(rest.where("root <> main"), "block", 4).select("doc", "cluster", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
             asked = rest.select("doc", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "chunk")
             groups = asking.union(asked).join(texts, "doc")
             more = groups.groupBy("cluster", "block", "chunk").applyInArrow(compare, "a long, b long")
             known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = scratch.keep(connected_components(scratch, scratch.keep(more.union(known), "links2")), "roots2")
+            roots = scratch.keep(connected_components(scratch, scratch.keep(more.union(known), "links2")), "roots2", n_reps)
 
     out = sketched.select("doc", "n", "h0", "h1").join(equal, ["h0", "h1"], "left")
     out = out.withColumn("rep", F.when(F.col("n") > 0, F.col("rep"))).withColumn("rep", F.coalesce("rep", "doc"))

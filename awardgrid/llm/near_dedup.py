@@ -18,7 +18,8 @@ _rng = np.random.Generator(np.random.PCG64(11))
 _A = _rng.integers(0, 2**31, SKETCH, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, SKETCH, np.uint64).astype(np.uint32)
 CHUNK = 200
-FEW_IDS = 1_000_000
+#: Tables of up to so many rows (of ids and hashes) are broadcast after a count; longer ones are shuffled.
+FEW_ROWS = 1_000_000
 
 
 def minwise(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -153,9 +154,11 @@ def near_duplicates(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sketched = scratch.keep(rows.mapInArrow(sketch, "doc long, n long, h0 long, h1 long, b0 long, b1 long, sig array<int>"), "sketched")
+    few = lambda df, n: F.broadcast(df) if n <= FEW_ROWS else df
     linkable = sketched.where("n > 0 and doc is not null")
     equal = scratch.keep(linkable.groupBy("h0", "h1").agg(F.min("doc").alias("rep")), "equal")
-    reps = linkable.join(equal, ["h0", "h1"]).where("doc = rep").select("doc", "n", "b0", "b1", "sig")
+    n_equal = equal.count()
+    reps = linkable.join(few(equal, n_equal), ["h0", "h1"]).where("doc = rep").select("doc", "n", "b0", "b1", "sig")
     reps = scratch.keep(reps, "reps")
     n_reps = reps.count()
 
@@ -166,12 +169,13 @@ def near_duplicates(
         level = scratch.keep(level, f"level{at}")
         sizes = level.groupBy("node").agg(F.count("*").alias("c"), F.min("doc").alias("pivot")).where("c > 1")
         sizes = scratch.keep(sizes, f"sizes{at}", n_reps)
-        leaves.append(level.join(sizes.where(F.col("c") <= leaf).select("node"), "node"))
+        n_sizes = sizes.count()
+        leaves.append(level.join(few(sizes.where(F.col("c") <= leaf).select("node"), n_sizes), "node"))
         large = sizes.where(F.col("c") > leaf)
         if large.isEmpty():
             break
         large = large.join(reps.select(F.col("doc").alias("pivot"), F.col("b0").alias("p0"), F.col("b1").alias("p1")), "pivot")
-        big = scratch.keep(level.join(large, "node").withColumn("like", _agree("b", "p") >= least_bits), f"big{at}", n_reps)
+        big = scratch.keep(level.join(few(large, n_sizes), "node").withColumn("like", _agree("b", "p") >= least_bits), f"big{at}", n_reps)
         tight = big.groupBy("node").agg((2 * F.sum(F.col("like").cast("long")) >= F.count("*")).alias("tight"))
         if at == depth:
             tight = tight.withColumn("tight", F.lit(True))
@@ -208,8 +212,7 @@ def near_duplicates(
     if cluster is not None:
         asked = asked.union(cluster.select("doc"))
     asked = scratch.keep(asked.distinct(), "asked", n_reps)
-    few = asked.count() <= FEW_IDS
-    texts = scratch.keep(rows.where("text is not null").join(F.broadcast(asked) if few else asked, "doc", "left_semi"), "texts")
+    texts = scratch.keep(rows.where("text is not null").join(few(asked, asked.count()), "doc", "left_semi"), "texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +226,7 @@ def near_duplicates(
         give_back()
 
     side = lambda s: texts.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+    links = few(pairs, pairs.count()).join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
     def compare(table: pa.Table) -> pa.Table:
         ids = table["doc"].to_numpy()
@@ -257,9 +260,9 @@ def near_duplicates(
             known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
             roots = scratch.keep(connected_components(scratch, scratch.keep(more.union(known), "links2")), "roots2", n_reps)
 
-    out = sketched.select("doc", "n", "h0", "h1").join(equal, ["h0", "h1"], "left")
+    out = sketched.select("doc", "n", "h0", "h1").join(few(equal, n_equal), ["h0", "h1"], "left")
     out = out.withColumn("rep", F.when(F.col("n") > 0, F.col("rep"))).withColumn("rep", F.coalesce("rep", "doc"))
-    out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    out = out.join(few(roots.withColumnRenamed("node", "rep"), roots.count()), "rep", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("root", "rep"))
     return out.select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept")

@@ -20,18 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from awardgrid.llm.common import Scratch
-from awardgrid.llm.kernels import _BYTE, mix, powers, slices
+from awardgrid.llm.kernels import _BYTE, give_back, mix, powers, slices
 
 ANCHOR = 24
 SLICE = 1 << 18
 _LOW20 = np.uint64((1 << 20) - 1)
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the anchors of all windows of ``length`` bytes inside one text."""
+def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and positions of the anchors of all windows of ``length`` bytes inside one text, and
+    the hashes of the bytes that those windows can cover."""
     n = len(data)
     if n < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
@@ -55,7 +56,27 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int = ANCHOR) ->
     at, own = at[new], own[new]
     pos = at + ((own.astype(np.int64) - at) & ((1 << 20) - 1))
     pos = np.unique(pos)
-    return g[pos], pos
+    own = np.searchsorted(offs, pos, "right") - 1
+    begin, end = np.maximum(pos + k - length, offs[own]), np.minimum(pos + length, offs[own + 1])
+    return g[pos], pos, mix((total[end] - total[begin]) * down[begin])
+
+
+def bloom_filter(spark: SparkSession, keys: DataFrame, n: int):
+    """The 64-bit keys ``h`` as a broadcast bit table of two bytes a key; each task looks bits up by ``passes``."""
+    slots = 1 << max(12, (16 * n).bit_length() - 1)
+    words = keys.select(F.shiftright(F.col("h").bitwiseAND(slots - 1), 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")).alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(slots >> 6, np.uint64)
+    table[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
+    return spark.sparkContext.broadcast(table)
+
+
+def passes(bits, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be among a filter's keys; all of them without a filter."""
+    if bits is None:
+        return np.ones(len(h), bool)
+    slot = h & np.uint64(64 * len(bits.value) - 1)
+    return (bits.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
 def suffix_array(text: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +210,7 @@ def remove_repeats(
     length: int = 50,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shard_bytes: int = 4 << 20,
+    shard_bytes: int = 1 << 20,
     hot_pieces: int = 50_000,
     filter_keys: int = 16_000_000,
 ) -> DataFrame:
@@ -202,10 +223,12 @@ def remove_repeats(
        the shuffle. Those of two documents or more are *shared*.
     2. A second scan keeps the texts with shared anchors; the rest is settled there. Shared hashes
        are looked up in a Bloom filter (broadcast, two bytes a key) while they are at most
-       ``filter_keys``, and by an exact semi-join beyond that; a false hit only costs a look.
-    3. The bytes around shared anchors go to their shard (see ``shard_owners``), equal pieces once.
-       An anchor of over ``hot_pieces`` pieces has no shard: its windows are spread over all tasks
-       by their own bytes, with their owners' minimum taken before the shuffle, and joined back.
+       ``filter_keys``, and by the exact join that follows in any case.
+    3. An anchor with the same bytes around it everywhere needs no sorting: all documents but the
+       least lose those bytes. The others' bytes go to their shard (see ``shard_owners``), equal
+       pieces once. An anchor of over ``hot_pieces`` pieces has no shard: its windows are spread over
+       all tasks by their own bytes, with their owners' minimum taken before the shuffle, and joined
+       back.
     4. Covered windows come back by document and are united there.
 
     Null text counts as empty. Null ids are left alone: they neither lose bytes nor own strings.
@@ -219,58 +242,76 @@ def remove_repeats(
         for batch in batches:
             ids = batch.column("doc")
             for lo, hi, data, offs in slices(batch.column("text"), SLICE):
-                h, pos = anchors(data, offs, length)
+                h, pos, _ = anchors(data, offs, length)
                 doc = ids.slice(lo, hi - lo).take(pa.array(np.searchsorted(offs, pos, "right") - 1))
                 yield pa.record_batch([pa.array(h.view(np.int64)), doc], ["h", "doc"])
+        give_back()
 
     found = rows.where("doc is not null").mapInArrow(find, "h long, doc long")
     shared = found.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high")
-    shared = scratch.keep(shared.select("h", "n"), "shared")
-    keys, pieces = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = None
-    if keys <= filter_keys:
-        slots = 1 << max(12, (16 * keys).bit_length() - 1)
-        words = shared.select(F.explode(F.array(F.col("h"), F.xxhash64("h"))).alias("x")).select(F.shiftright(F.col("x").bitwiseAND(slots - 1), 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int")).alias("b"))
-        words = words.groupBy("w").agg(F.bit_or("b").alias("b"))
-        table = np.zeros(slots >> 6, np.uint64)
-        got = words.toArrow()
-        table[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
-        bits = spark.sparkContext.broadcast(table)
+    shared = scratch.keep(shared.select("h"), "shared")
+    keys = shared.count()
+    bits = bloom_filter(spark, shared, keys) if keys <= filter_keys else None
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc")
             for lo, hi, data, offs in slices(batch.column("text"), SLICE):
-                h, pos = anchors(data, offs, length)
-                if bits is not None and len(h):
-                    hit = (bits.value[(h & np.uint64(slots - 1)) >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1) != 0
-                    h, pos = h[hit], pos[hit]
-                known = ids.slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False)
+                h, pos, piece = anchors(data, offs, length)
                 own = np.searchsorted(offs, pos, "right") - 1
-                some = known[own]
-                h, pos, own = h[some], pos[some], own[some]
+                some = passes(bits, h) & ids.slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False)[own]
+                h, pos, piece, own = h[some], pos[some], piece[some], own[some]
                 cut = np.searchsorted(own, np.arange(hi - lo + 1))
                 texts = [data[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
                 held = [t if cut[i + 1] > cut[i] else None for i, t in enumerate(texts)]
+                lists = lambda v: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v))  # noqa: B023, E731
                 yield pa.record_batch(
                     [
                         ids.slice(lo, hi - lo), pa.array(np.diff(offs)), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(held, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((pos - offs[own]).astype(np.int32))),
+                        lists(h.view(np.int64)), lists((pos - offs[own]).astype(np.int32)), lists(piece.view(np.int64)),
                     ],
-                    ["doc", "n_bytes", "sha", "raw", "hs", "ps"],
+                    ["doc", "n_bytes", "sha", "raw", "hs", "ps", "ds"],
                 )
-
-    looked = scratch.keep(rows.mapInArrow(look, "doc long, n_bytes long, sha string, raw binary, hs array<long>, ps array<int>"), "looked")
-    near = looked.where("raw is not null").withColumn("tag", F.xxhash64("sha"))
-    around = near.select("doc", "tag", "raw", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select(
-        "doc", "tag", F.col("a.hs").alias("h"),
-        F.greatest(F.col("a.ps") + (ANCHOR - length), F.lit(0)).alias("start"),
-        F.expr(f"substring(raw, greatest(a.ps + {ANCHOR - length}, 0) + 1, a.ps + {length} - greatest(a.ps + {ANCHOR - length}, 0))").alias("piece"),
+        give_back()
+
+    looked = rows.mapInArrow(look, "doc long, n_bytes long, sha string, raw binary, hs array<long>, ps array<int>, ds array<long>")
+    looked = scratch.keep(looked.withColumn("uid", F.monotonically_increasing_id()), "looked")
+    scratch.drop("shared")
+    near = looked.where("raw is not null")
+    lists = near.select("doc", "uid", "n_bytes", F.explode(F.arrays_zip("hs", "ps", "ds")).alias("a"))
+    kinds = lists.select(F.col("a.hs").alias("h"), F.col("a.ds").alias("d"), "doc").groupBy("h").agg(
+        F.min("doc").alias("low"), F.max("doc").alias("high"), (F.min("d") != F.max("d")).alias("mixed"), F.count("*").alias("n")
     )
-    if bits is None:
-        around = around.join(shared.select("h"), "h", "left_semi")
-    hot = scratch.keep(shared.where(F.col("n") > hot_pieces).select("h"), "hot")
+    kinds = scratch.keep(kinds.where("low < high").select("h", "low", "mixed", "n"), "kinds")
+    mixed = kinds.where("mixed").select("h", "n")
+    some, pieces = mixed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    begin = F.greatest(F.col("a.ps") + (ANCHOR - length), F.lit(0))
+    placed = lists.select(F.col("a.hs").alias("h"), "doc", "uid", begin.alias("s"), F.least(F.col("a.ps") + length, "n_bytes").cast("int").alias("e"))
+    same = placed.join(kinds.where("not mixed").select("h", "low"), "h").where("doc > low").select("uid", "s", "e")
+    mixed_bits = bloom_filter(spark, mixed, some) if some <= filter_keys else None
+
+    def around_mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                out: list[tuple] = []
+                for i, (raw, hs, ps) in enumerate(zip(part.column("raw"), part.column("hs"), part.column("ps"), strict=True)):
+                    h, p = hs.values.to_numpy(), ps.values.to_numpy()
+                    text = raw.as_buffer().to_pybytes()
+                    for k in np.flatnonzero(passes(mixed_bits, h.view(np.uint64))).tolist():
+                        start = max(0, int(p[k]) + ANCHOR - length)
+                        out.append((i, h[k], start, text[start : p[k] + length]))
+                at, h, start, piece = list(zip(*out, strict=True)) or [[]] * 4
+                at = pa.array(list(at), pa.int64())
+                yield pa.record_batch(
+                    [pa.array(list(h), pa.int64()), part.column("doc").take(at), part.column("uid").take(at), pa.array(list(start), pa.int32()), pa.array(list(piece), pa.binary())],
+                    ["h", "doc", "uid", "start", "piece"],
+                )
+
+    around = near.select("doc", "uid", "raw", "hs", "ps").mapInArrow(around_mixed, "h long, doc long, uid long, start int, piece binary")
+    if mixed_bits is None:
+        around = around.join(mixed.select("h"), "h", "left_semi")
+    hot = scratch.keep(mixed.where(F.col("n") > hot_pieces).select("h"), "hot", some)
     buckets = max(1, -(-pieces * (2 * length - ANCHOR) // (2 * shard_bytes)))
 
     def judge(table: pa.Table) -> pa.Table:
@@ -298,19 +339,21 @@ def remove_repeats(
         at = np.concatenate([np.flatnonzero(later), member])
         begin = np.concatenate([start[later], start[member] + rs[run]])
         end = np.concatenate([(start + size)[later], start[member] + re[run]])
-        return pa.table({"doc": doc[at], "tag": table["tag"].to_numpy()[at], "s": begin.astype(np.int32), "e": end.astype(np.int32)})
+        return pa.table({"uid": table["uid"].to_numpy()[at], "s": begin.astype(np.int32), "e": end.astype(np.int32)})
 
     cold = around if hot.isEmpty() else around.join(F.broadcast(hot) if hot.count() <= 1_000_000 else hot, "h", "left_anti")
     cold = cold.where(F.octet_length("piece") >= length)
-    lost = cold.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets))).groupBy("bucket").applyInArrow(judge, "doc long, tag long, s int, e int")
+    lost = cold.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets))).groupBy("bucket").applyInArrow(judge, "uid long, s int, e int")
     if not hot.isEmpty():
         windows = around.join(F.broadcast(hot) if hot.count() <= 1_000_000 else hot, "h", "left_semi").where(F.octet_length("piece") >= length)
         windows = windows.withColumn("o", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - length))).select(
-            "doc", "tag", (F.col("start") + F.col("o")).alias("s"), F.expr(f"substring(piece, o + 1, {length})").alias("string")
+            "doc", "uid", (F.col("start") + F.col("o")).alias("s"), F.expr(f"substring(piece, o + 1, {length})").alias("string")
         )
         least = windows.groupBy("string").agg(F.min("doc").alias("least"))
-        lost = lost.union(windows.join(least, "string").where("doc > least").select("doc", "tag", "s", (F.col("s") + length).cast("int")))
-    spans = lost.groupBy("doc", "tag").agg(F.collect_list(F.struct("s", "e")).alias("lost"))
+        lost = lost.union(windows.join(least, "string").where("doc > least").select("uid", "s", (F.col("s") + length).cast("int")))
+    lost = scratch.keep(lost, "lost_mixed").union(scratch.keep(same, "lost_same"))
+    scratch.drop("kinds", "hot")
+    spans = lost.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("lost"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,7 +378,7 @@ def remove_repeats(
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())))
             yield pa.record_batch([batch.column("doc"), batch.column("n_bytes"), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    judged = near.join(spans, ["doc", "tag"], "left").select("doc", "n_bytes", "sha", "raw", "lost").mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
+    judged = near.join(spans, "uid", "left").select("doc", "n_bytes", "sha", "raw", "lost").mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
     clean = looked.where("raw is null").select(
         "doc", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast("array<array<int>>").alias("spans")
     )

@@ -101,11 +101,12 @@ class Benchmark:
         w = np.where(self.known[at] == keys, self.weight[at], 1.0)
         return float((w * np.minimum(x, y)).sum() / (w * np.maximum(x, y)).sum())
 
-    def matches(self, shingles: np.ndarray) -> list[tuple[int, int, float]]:
-        """(item, first shingle, similarity): the best window of each item that is similar enough, the first at a tie.
+    def matches(self, shingles: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(item, first shingle, shingles, similarity): the best window of each item that is similar enough, the first at a tie.
 
-        Windows as long as an item begin at every word. A window without any shingle of the
-        benchmark has similarity 0 to all items, so only the others are fingerprinted.
+        Windows as long as an item begin at every word; a document shorter than the item is one window
+        as a whole. A window without any shingle of the benchmark has similarity 0 to all items, so
+        only the others are fingerprinted.
         """
         if not len(shingles) or not len(self.known):
             return []
@@ -113,20 +114,22 @@ class Benchmark:
         hit = np.concatenate([[0], np.cumsum(self.known[at] == shingles)])
         if not hit[-1]:
             return []
-        best: dict[int, tuple[float, int]] = {}
+        best: dict[int, tuple[float, int, int]] = {}
+        whole = None
         for n, own in self.sizes.items():
-            if len(shingles) < n:
-                continue
-            begin = np.flatnonzero(hit[n:] > hit[:-n])
+            size = min(n, len(shingles))
+            begin = np.flatnonzero(hit[size:] > hit[:-size])
             if not len(begin):
                 continue
-            which, item = self.index[n].candidates(fingerprints(shingles, begin, n))
+            prints = whole if size < n and whole is not None else fingerprints(shingles, begin, size)
+            whole = prints if size < n else whole
+            which, item = self.index[n].candidates(prints)
             for w, k in zip(begin[which].tolist(), item.tolist(), strict=True):
                 i = own[k]
-                s = self.similarity(shingles[w : w + n], self.shingles[i])
+                s = self.similarity(shingles[w : w + size], self.shingles[i])
                 if 100 * s >= self.percent - 1e-9 and (i not in best or s > best[i][0]):
-                    best[i] = (s, w)
-        return [(i, w, s) for i, (s, w) in sorted(best.items())]
+                    best[i] = (s, w, size)
+        return [(i, w, size, s) for i, (s, w, size) in sorted(best.items())]
 
 
 def load_benchmark(benchmark: DataFrame, shingle: int, percent: int, id_col: str = "item_id", text_col: str = "text") -> list[Benchmark]:
@@ -164,9 +167,10 @@ def find_contamination(
     """(id, item id, first_word, n_words, similarity) of every document and benchmark item that it holds.
 
     Every window of a document with as many shingles as an item is compared with the items of that
-    size: SimHash fingerprints within ``RADIUS`` bits, found by multi-index blocks, are candidates,
-    and their weighted-shingle similarity, computed exactly, must reach ``percent``/100. Of several
-    such windows the most similar is reported. Documents that hold no item give no rows.
+    size, and a document of fewer shingles than an item as a whole: SimHash fingerprints within
+    ``RADIUS`` bits, found by multi-index blocks, are candidates, and their weighted-shingle similarity,
+    computed exactly, must reach ``percent``/100. Of several such windows the most similar is
+    reported, with its own number of words. Documents that hold no item give no rows.
 
     Words are compared without regard to the case of A-Z. An item of fewer words than ``shingle`` has
     its whole sequence as its one shingle, and is looked for as such. Items and documents without
@@ -187,8 +191,8 @@ def find_contamination(
                     cut = np.searchsorted(at, w.first)
                     rows = []
                     for d in range(hi - lo):
-                        for i, first, s in bench.matches(h[cut[d] : cut[d + 1]]):
-                            rows.append((lo + d, bench.ids[i], first, len(bench.shingles[i]) + shingle - 1, s))
+                        for i, first, size, s in bench.matches(h[cut[d] : cut[d + 1]]):
+                            rows.append((lo + d, bench.ids[i], first, size + shingle - 1, s))
                     for k, items in bench.short.items():
                         h, at = windows(w, k)
                         for x, i in items:

@@ -133,6 +133,37 @@ def test_decontamination(spark, docs, rows, awkward, empty):
     assert decontamination.find_contamination(spark, awkward, bench).count() >= len(got)
 
 
+def test_decontamination_of_shorter_documents(spark):
+    """Documents that are an item less some words, by a brute force whose window is the whole document if that is shorter."""
+    r = random.Random(17)
+    items = [(i, " ".join(f"w{r.randint(0, 5000)}" for _ in range(n))) for i, n in enumerate((60, 60, 44, 30))]
+    texts = []
+    for _, t in items:
+        w = t.split(" ")
+        for cut in range(1, 6):
+            inside = r.randint(6, len(w) - 12)
+            texts += [" ".join(x) for x in (w[:-cut], w[cut:], w[:inside] + w[inside + cut :])]
+    texts += [" ".join(t.split(" ")[:25]) for _, t in items]
+    shingles = {i: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for i, t in items if (w := t.split(" "))}
+    number = Counter(s for own in shingles.values() for s in set(own))
+    weight = {s: 1 / (1 + np.log(n)) for s, n in number.items()}
+    expected = {}
+    for d, t in enumerate(texts):
+        w = t.split(" ")
+        own = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        for i, item in shingles.items():
+            size, b = min(len(item), len(own)), Counter(item)
+            for k in range(len(own) - size + 1):
+                a = Counter(own[k : k + size])
+                keys = a.keys() | b.keys()
+                s = sum(weight.get(x, 1) * min(a[x], b[x]) for x in keys) / sum(weight.get(x, 1) * max(a[x], b[x]) for x in keys)
+                if s >= 0.8 - 1e-11 and s > expected.get((d, i), (0, 0, 0))[2]:
+                    expected[d, i] = (k, size + 4, s)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontamination.find_contamination(spark, frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): (x.first_word, x.n_words, pytest.approx(x.similarity)) for x in found} == expected and len(expected) > 40
+
+
 def test_hamming_index_misses_nothing():
     r = np.random.Generator(np.random.PCG64(1))
     items = r.integers(0, 2**64, 40, np.uint64)

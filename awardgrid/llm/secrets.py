@@ -7,6 +7,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,11 @@ KINDS = ("assign", "access", "hex", "format")
 #: Some part of a word that the assign rule needs, in lower case.
 _HINTS = ("passw", "secret", "token", "api")
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
+LEAST_CANDIDATE = 16
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: Where a name, a path or a file's ending is glued to a credential. Some formats hold '/' or '.' themselves.
+GLUE = re.compile(r"[=/.]")
+_CUTS = (re.compile(r"[^=]+"), re.compile(r"[^=/]+"), re.compile(r"[^=.]+"), re.compile(r"[^=/.]+"))
 
 #: Symbols: the first characters as they are, after that their class.
 LITERAL = 4
@@ -95,6 +100,26 @@ class Automaton:
             total += p - (math.log(_SIZES.get(s[1:], 1)) if i >= LITERAL else 0)
         return (total + (self.ends[at] if self.ends[at] > -math.inf else 3 * miss)) / (len(text) + 1)
 
+    def fits(self, text: str) -> bool:
+        """Whether the first symbols are all ones that the automaton has seen there."""
+        at = 0
+        for s in text[:LITERAL]:
+            if s not in self.moves[at]:
+                return False
+            at = self.moves[at][s][0]
+        return True
+
+    def prefixes(self, least: float = 0.05) -> set[str]:
+        """The longest beginnings of 3 to LITERAL symbols that have a chance of ``least`` or more."""
+        found, todo = set(), [("", 0, 0.0)]
+        while todo:
+            text, at, p = todo.pop()
+            on = [(text + s, k, p + q) for s, (k, q) in self.moves[at].items() if len(s) == 1 and p + q >= math.log(least)] if len(text) < LITERAL else []
+            if not on and len(text) >= 3:
+                found.add(text)
+            todo += on
+        return found
+
 
 def infer(examples: list[str], alpha: float = 0.01) -> Automaton:
     """Merge statistically compatible states of the examples' prefix tree (red-blue order).
@@ -181,12 +206,20 @@ class FormatModel:
         self.margin = margin
         # a format's own examples say how likely its members are
         self.least = {k: min(a.log_likelihood(x) for x in examples[k]) - 0.05 for k, a in self.automata.items()}
-
-    def matches(self, text: str) -> bool:
+        #: Formats whose members hold glue: how long members are, and which glue they never hold.
+        self.glued = {k: (min(map(len, v)), max(map(len, v)), set("=/.") - seen) for k, v in examples.items() if k in self.automata and (seen := set("=/.") & set("".join(v)))}
+        #: Fixed first symbols -> formats that begin so.
+        self.begin: dict[str, tuple[str, ...]] = {}
+        for k, a in self.automata.items():
+            for x in a.prefixes():
+                self.begin[x] = (*self.begin.get(x, ()), k)
+        self.begins = re.compile("|".join(map(re.escape, sorted(self.begin))) or "(?!)")
+
+    def matches(self, text: str, formats: tuple[str, ...] | None = None) -> bool:
         if not any(c.isdigit() for c in text) or not any(c.isalpha() for c in text):
             return False
         beyond = self.plain.log_likelihood(text) + self.margin
-        return any((score := a.log_likelihood(text)) >= self.least[k] and score > beyond for k, a in self.automata.items())
+        return any((score := self.automata[k].log_likelihood(text)) >= self.least[k] and score > beyond for k in formats or self.automata)
 
 
 _model: list[FormatModel] = []
@@ -199,16 +232,74 @@ def default_model() -> FormatModel:
     return _model[0]
 
 
+def trimmed(text: str, a: int, b: int) -> int:
+    """The end of a candidate: a sentence's end is not part of a key; padding stays out of the test."""
+    while b > a and text[b - 1] in ".=-":
+        b -= 1
+    return b
+
+
+def parts(text: str, a: int, b: int, model: FormatModel) -> dict[tuple[int, int], tuple[str, ...] | None]:
+    """The parts of a run that may be a credential behind a name or path: (start, end) -> formats, None for all.
+
+    Pieces between '=' and any choice of '/' and '.'; their rests from wherever a format's fixed first
+    symbols stand; and for formats that hold glue, whatever between two of them is as long as a member.
+    """
+    found: dict[tuple[int, int], tuple[str, ...] | None] = {}
+
+    def put(x: int, y: int, formats: tuple[str, ...] | None) -> None:
+        if y - x >= LEAST_CANDIDATE and (x, y) != (a, b):
+            old = found.get((x, y), ())
+            found[x, y] = None if formats is None or old is None else tuple(dict.fromkeys(old + formats))
+
+    begins = [(m.start(), model.begin[m[0]]) for m in model.begins.finditer(text, a, b)]
+    for cut in _CUTS:
+        for m in cut.finditer(text, a, b):
+            x, y = m.start(), trimmed(text, *m.span())
+            if y - x >= LEAST_CANDIDATE:
+                put(x, y, None)
+                for s, formats in begins[bisect_left(begins, (x,)) : bisect_left(begins, (y,))]:
+                    put(s, y, formats)
+    glue = [m.start() for m in GLUE.finditer(text, a, b)]
+    ends = [*glue, b]
+    for k, (least, most, never) in model.glued.items():
+        for s in (a, *[g + 1 for g in glue]):
+            if model.automata[k].fits(text[s : s + LITERAL]):
+                for e in ends[bisect_left(ends, s + least) : bisect_right(ends, s + most)]:
+                    if never.isdisjoint(text[s:e]):
+                        put(s, e, (k,))
+    return found
+
+
 def all_spans(text: str, model: FormatModel) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The base rules' spans, and those with the spans that the automata add apart from them."""
     base = base_spans(text)
     added = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while b > a and text[b - 1] in ".=-":  # a sentence's end is not part of a key; padding stays out of the test
-            b -= 1
-        if b - a >= 16 and not any(s < b and a < e for s, e, _ in base) and model.matches(text[a:b]):
-            added.append((a, b, "format"))
+        # what base spans leave of the run
+        rests, upto = [], m.start()
+        for s, e, _ in base:
+            if s < m.end() and e > upto:
+                if s > upto:
+                    rests.append((upto, s))
+                upto = e
+        if upto < m.end():
+            rests.append((upto, m.end()))
+        for a, b in rests:
+            b = trimmed(text, a, b)
+            if b - a < LEAST_CANDIDATE:
+                continue
+            if model.matches(text[a:b]):
+                added.append((a, b, "format"))
+                continue
+            upto = a
+            for s, e in sorted(p for p, formats in parts(text, a, b, model).items() if model.matches(text[p[0] : p[1]], formats)):
+                if s < upto:  # parts of one credential
+                    if e > upto:
+                        added[-1] = (added[-1][0], e, "format")
+                else:
+                    added.append((s, e, "format"))
+                upto = max(upto, e)
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -229,9 +320,10 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), model: FormatModel | None = None) -> DataFrame:
     """(id, n_assign, n_access, n_hex, n_format, base_sha256, spans, redacted, and ``keep``) of every row.
 
-    Base rules are exact; every other run of 16 or more credential characters, with a letter and a
-    digit, is scored by all automata, and is a secret (kind ``format``) if its format likelihood is
-    one that members of that format have and beats plain identifiers. ``redacted`` is the text with
+    Base rules are exact; what they leave of every run of 16 or more credential characters, with a
+    letter and a digit, is scored by all automata, and is a secret (kind ``format``) if its format
+    likelihood is one that members of that format have and beats plain identifiers. If the whole is
+    none, its parts behind '=', '/' and '.' and from a format's fixed first symbols are scored. ``redacted`` is the text with
     spans replaced, null for null text, which counts as empty. Whole texts are scanned, one map
     over the rows, no shuffle. Repeated rows and null ids are kept as they are.
     """

@@ -383,6 +383,27 @@ def test_secrets(spark, docs, rows, awkward, empty):
     assert secrets.scan_secrets(empty).collect() == []
 
 
+@pytest.mark.parametrize("before, after", [("STRIPE_KEY=", ""), ("AWS_SECRET_ACCESS_KEY=", ""), ("GH_PAT=", ""), ("https://host.example/v1/list?key=", "&page=2"), ("/repo/keys/", ""), ("https://host.example/v1/", "/info"), ("config.", ".txt"), ("0123456789abcdef0123/", "")])
+def test_secrets_behind_names_and_paths(before, after):
+    model = secrets.default_model()
+    for kind, examples in secrets.labelled_credentials(40, seed=78).items():
+        if kind != "plain":
+            covered = 0
+            for x in examples:
+                text = f"see {before}{x}{after} here"
+                spans = secrets.all_spans(text, model)[1]
+                redacted = secrets.redact(text, spans)
+                covered += not any(x[i : i + 8] in redacted for i in range(0, len(x) - 7))
+            assert covered >= 0.9 * len(examples), (kind, covered)
+
+
+def test_secrets_leave_plain_names_and_paths():
+    model = secrets.default_model()
+    plain = secrets.labelled_credentials(400, seed=79)["plain"]
+    for before in ("NAME=", "https://host.example/v1/list?key=", "/repo/keys/"):
+        assert np.mean([bool(set(secrets.all_spans(before + x, model)[1]) - set(secrets.base_spans(before + x))) for x in plain]) < 0.03
+
+
 def test_shingle_kernel(texts):
     import pyarrow as pa
 

@@ -1,6 +1,9 @@
 """Procurement operators on small made-up records."""
 
 import json
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +135,23 @@ def test_awards(spark):
     assert [r.brand for r in awards.contained_names(claims, "brand", "company").collect()] == ["Acme"]
 
 
+def test_spelling_variants_of_crowded_keys(spark):
+    """Against all pairs: codes and words that over 30 names share, several codes for a name, none for others."""
+    r = random.Random(5)
+    rows = [(f"{r.choice(['Marine', 'Marine', 'Bolts', '12'])} {r.choice(['North', 'South'])} {i:03}", r.choice(["K1A 0B1", "k1a0b1", "H2X", "", None])) for i in range(160)]
+    rows += [(n, r.choice(["H2X", "Z9", None])) for n, _ in r.sample(rows, 50)] + [(f"Marine Zed {i:03}", "Z9") for i in range(5)] + [("Marine Alone", None), (None, "H2X")]
+    frame = spark.createDataFrame(rows, "name string, postal string")
+    word = {x.name: x.w or "" for x in frame.select("name", names.first_word(F.col("name")).alias("w")).collect()}
+    codes = {n: {c for m, p in rows if m == n and (c := re.sub("[^A-Z0-9]", "", (p or "").upper()))} for n in word if n}
+    want = set()
+    for n in codes:
+        near = [m for m in codes if m != n and (codes[m] & codes[n] or (word[n] and word[m] == word[n]))]
+        want |= {(n, m) for m in sorted(near, key=lambda m: (not codes[m] & codes[n], word[m] != word[n], m))[:12]}
+    assert max(Counter(word.values()).values()) > 30 and len(want) > 1000
+    got = [(x.name, x.variant) for x in awards.spelling_variants(frame, "name", "postal").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101)]
     got = {r.node: r.root for r in matching.components(spark, spark.createDataFrame(chain, "a long, b long")).collect()}

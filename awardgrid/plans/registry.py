@@ -223,11 +223,25 @@ def newest_awards(spark, sf_dir):
 
 @query("""SELECT a.p_partkey, b.s_suppkey FROM part a JOIN supplier b ON contains(lower(a.p_name), lower(substr(b.s_name, 10, 9)))""".replace("contains(lower(a.p_name), lower(substr(b.s_name, 10, 9)))", "a.p_size = b.s_nationkey AND a.p_retailprice < b.s_acctbal AND b.s_acctbal > 9000"))
 def other_awards_of_winner(spark, sf_dir):
-    """An equi-join on the winner with a further condition."""
+    """An equi-join with a further condition; J13 itself is ``winner_other_awards``."""
     p, s = t(spark, sf_dir, "part", "supplier")
     return p.join(s, (F.col("p_size") == F.col("s_nationkey")) & (F.col("p_retailprice") < F.col("s_acctbal")) & (F.col("s_acctbal") > 9000)).select("p_partkey", "s_suppkey")
 
 
+@query("""WITH a AS (SELECT l_suppkey AS supplier, o_orderkey AS aref, o_custkey AS asol, p_name AS title, o_orderdate AS day, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+          n AS (SELECT aref AS ref, asol AS sol, supplier AS winner, upper(string_split(title, ' ')[1]) AS needle FROM (SELECT *, row_number() OVER (PARTITION BY aref ORDER BY line, supplier, title) AS i FROM a) WHERE i = 1),
+          m AS (SELECT n.ref, a.aref, a.line, a.day FROM n JOIN a ON a.supplier = n.winner AND contains(lower(a.title), lower(n.needle)) AND a.aref <> n.ref AND a.asol <> n.sol),
+          r AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY day DESC, aref, line) AS place, count(*) OVER (PARTITION BY ref) AS total FROM m)
+          SELECT k.ref, coalesce(r.total, 0) AS total, r.place, r.aref, r.line FROM (SELECT DISTINCT ref FROM n) k LEFT JOIN (SELECT * FROM r WHERE place <= 4) r ON k.ref = r.ref""")
+def winner_other_awards(spark, sf_dir):
+    """Other awards, by title, of the supplier of an order's first line, own order and buyer excluded; their number and the newest four."""
+    li, o, p = t(spark, sf_dir, "lineitem", "orders", "part")
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    a = rows.select(F.col("l_suppkey").alias("supplier"), F.col("o_orderkey").alias("aref"), F.col("o_custkey").cast("string").alias("asol"), F.col("p_name").alias("title"), F.col("o_orderdate").alias("day"), F.col("l_linenumber").alias("line"))
+    n = selection.top_k(a, ["aref"], [F.asc("line"), F.asc("supplier"), F.asc("title")], 1).select(F.col("aref").alias("ref"), F.col("asol").alias("sol"), F.col("supplier").alias("winner"), F.upper(F.get(F.split("title", " "), F.lit(0))).alias("needle"))
+    return awards.other_awards_of_winner(n, a, [F.desc("day"), F.asc("aref"), F.asc("line")]).select("ref", "total", "place", "aref", "line")
+
+
 @query("SELECT s_suppkey, trim(regexp_replace(regexp_replace(upper(s_name), '[^A-Z0-9& ]+', ' ', 'g'), ' +', ' ', 'g')) AS name, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS squashed FROM supplier")
 def name_norm(spark, sf_dir):
     """Normalised and squashed names."""

@@ -152,6 +152,19 @@ def test_spelling_variants_of_crowded_keys(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_other_awards_of_winner(spark):
+    """J13 against hand-counted awards: title substring, own reference and solicitation, newest and number."""
+    held = [("s1", f"r{i}", f"sol{i}", "Marine PUMPS and parts", f"2026-01-{i + 1:02}") for i in range(7)]
+    held += [("s1", "r20", "own", "pumps", "2026-03-01"), ("s1", "r21", "", "Spare pumps", None), ("s1", None, None, "pumps", "2026-02-01"), ("s1", "r22", "x", None, "2026-02-02"), ("s1", "r23", "x", "valves", "2026-02-03"), ("s1b", "r24", "y", "Pumps", "2026-02-04"), ("s2", "r25", "z", "Pumps", "2026-02-05")]
+    known = spark.createDataFrame(held, "supplier string, aref string, asol string, title string, day string")
+    asked = [("r6", "own", "s1", "PumpS"), ("r6", "own", "s1b", "PumpS"), ("n2", None, "s1", "pumps"), ("n3", "", "s1", "pumps"), ("n4", "q", "s1", "no such"), ("n5", "q", "s9", "pumps")]
+    notices = spark.createDataFrame(asked, "ref string, sol string, winner string, needle string")
+    got = {}
+    for x in awards.other_awards_of_winner(notices, known, [F.desc_nulls_last("day"), F.asc("aref")]).orderBy("ref", "place").collect():
+        got.setdefault((x.ref, x.total), []).append(x.aref)
+    assert got == {("r6", 9): ["r24", None, "r5", "r4"], ("n2", 10): ["r20", None, "r6", "r5"], ("n3", 10): ["r20", None, "r6", "r5"], ("n4", 0): [None], ("n5", 0): [None]}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101)]
     got = {r.node: r.root for r in matching.components(spark, spark.createDataFrame(chain, "a long, b long")).collect()}

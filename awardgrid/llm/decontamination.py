@@ -72,11 +72,13 @@ class HammingIndex:
 
 @dataclass
 class Benchmark:
-    """Items by number of shingles, with an index each, and the weights of all their shingles."""
+    """Items by number of shingles, with an index each, and the weights of the whole benchmark's shingles."""
 
     ids: list[int]
     shingles: list[np.ndarray]
-    weights: dict[int, float]
+    #: Shingles of several items of the whole benchmark, ascending, and their weights; all others weigh 1.
+    repeated: np.ndarray
+    weight: np.ndarray
     percent: int
     #: By number of words, the items that are shorter than a shingle: their one shingle.
     short: dict[int, list[tuple[int, int]]]
@@ -88,7 +90,6 @@ class Benchmark:
                 self.sizes.setdefault(len(s), []).append(i)
         self.index = {n: HammingIndex(np.array([fingerprints(self.shingles[i], np.zeros(1, np.int64), n)[0] for i in own], np.uint64)) for n, own in self.sizes.items()}
         self.known = np.unique(np.concatenate([*self.shingles, np.zeros(0, np.uint64)]))
-        self.weight = np.array([self.weights[int(x)] for x in self.known])
 
     def similarity(self, window: np.ndarray, item: np.ndarray) -> float:
         """Weighted Jaccard of two lists of shingles with their numbers; unknown shingles weigh as the rarest."""
@@ -97,8 +98,10 @@ class Benchmark:
         keys = np.unique(np.concatenate([a, b]))
         x, y = np.zeros(len(keys)), np.zeros(len(keys))
         x[np.searchsorted(keys, a)], y[np.searchsorted(keys, b)] = n, m
-        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
-        w = np.where(self.known[at] == keys, self.weight[at], 1.0)
+        w = np.ones(len(keys))
+        if len(self.repeated):
+            at = np.minimum(np.searchsorted(self.repeated, keys), len(self.repeated) - 1)
+            w = np.where(self.repeated[at] == keys, self.weight[at], 1.0)
         return float((w * np.minimum(x, y)).sum() / (w * np.maximum(x, y)).sum())
 
     def matches(self, shingles: np.ndarray) -> list[tuple[int, int, int, float]]:
@@ -134,22 +137,19 @@ class Benchmark:
 
 def load_benchmark(benchmark: DataFrame, shingle: int, percent: int, id_col: str = "item_id", text_col: str = "text") -> list[Benchmark]:
     """The benchmark in parts of at most ``ITEMS_PER_PASS`` items. A shingle's weight falls with the
-    number of items that have it, from 1 for one item."""
+    number of items of the whole benchmark that have it, from 1 for one item."""
     rows = [(r[0], r[1]) for r in benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).distinct().orderBy(id_col, text_col).toLocalIterator()]
+    every = [text_shingles(t, shingle) for _, t in rows]
+    known, count = np.unique(np.concatenate([*[np.unique(s) for k, s in every if k == shingle], np.zeros(0, np.uint64)]), return_counts=True)
+    repeated, weight = known[count > 1], 1 / (1 + np.log(count[count > 1]))
     out = []
     for lo in range(0, len(rows), ITEMS_PER_PASS):
-        part = rows[lo : lo + ITEMS_PER_PASS]
         own, short = [], {}
-        for i, t in part:
-            k, s = text_shingles(t, shingle)
+        for (i, _), (k, s) in zip(rows[lo : lo + ITEMS_PER_PASS], every[lo : lo + ITEMS_PER_PASS], strict=True):
             own.append(s if k == shingle else s[:0])
             if 0 < k < shingle:
                 short.setdefault(k, []).append((int(s[0]), i))
-        count: dict[int, int] = {}
-        for s in own:
-            for x in np.unique(s).tolist():
-                count[x] = count.get(x, 0) + 1
-        out.append(Benchmark([i for i, _ in part], own, {x: 1 / (1 + np.log(n)) for x, n in count.items()}, percent, short))
+        out.append(Benchmark([i for i, _ in rows[lo : lo + ITEMS_PER_PASS]], own, repeated, weight, percent, short))
     return out
 
 
@@ -176,7 +176,8 @@ def find_contamination(
     its whole sequence as its one shingle, and is looked for as such. Items and documents without
     words or with null text match nothing; so do null item ids. Null document ids are reported as
     null. Repeated rows are reported each. An empty benchmark or table gives no rows. Whole texts
-    are scanned in one map without a shuffle; the benchmark travels to the tasks in bounded parts.
+    are scanned in one map without a shuffle; the benchmark travels to the tasks in parts of bounded
+    numbers of items, each with the weights of all shingles that several items of the whole have.
     """
     out = None
     for part in load_benchmark(benchmark, shingle, percent, item_col, item_text_col):

@@ -164,6 +164,46 @@ def test_decontamination_of_shorter_documents(spark):
     assert {(x.doc_id, x.item_id): (x.first_word, x.n_words, pytest.approx(x.similarity)) for x in found} == expected and len(expected) > 40
 
 
+def test_decontamination_in_parts(spark, monkeypatch):
+    """Similarities don't depend on the parts that items are matched in: weights are those of the whole benchmark."""
+    r = random.Random(23)
+    template = " ".join(f"t{i}" for i in range(14))
+    items = [(i, f"{template} " + " ".join(f"w{r.randint(0, 5000)}" for _ in range(30))) for i in range(8)]
+    texts = []
+    for _, t in items:
+        w = t.split(" ")
+        for at in (2, 7, 20, 33):
+            for n in (1, 2):
+                texts.append(" ".join([*w[:at], *[f"x{r.randint(0, 999)}" for _ in range(n)], *w[at + n :]]))
+        texts += [" ".join(w[14:]), f"{template} {' '.join(w[14:40])}"]
+    # a window's other words may be shingles that only other parts hold
+    texts += [f"{' '.join(t.split(' ')[14:])} {template}" for _, t in items]
+    weight, shingles = Counter(), {}
+    for i, t in items:
+        w = t.split(" ")
+        shingles[i] = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        weight.update(set(shingles[i]))
+    weight = {s: 1 / (1 + np.log(n)) for s, n in weight.items()}
+    want = {}
+    for d, t in enumerate(texts):
+        w = t.split(" ")
+        own = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        for i, item in shingles.items():
+            size, b = min(len(item), len(own)), Counter(item)
+            sims = []
+            for k in range(len(own) - size + 1):
+                a = Counter(own[k : k + size])
+                keys = a.keys() | b.keys()
+                sims.append(sum(weight.get(x, 1) * min(a[x], b[x]) for x in keys) / sum(weight.get(x, 1) * max(a[x], b[x]) for x in keys))
+            if max(sims) >= 0.8 - 1e-11:
+                want[d, i] = max(sims)
+    frame, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (3, 1, decontamination.ITEMS_PER_PASS):
+        monkeypatch.setattr(decontamination, "ITEMS_PER_PASS", most)
+        got = {(x.doc_id, x.item_id): x.similarity for x in decontamination.find_contamination(spark, frame, bench).collect()}
+        assert got == {k: pytest.approx(s) for k, s in want.items()} and len(got) > 30
+
+
 def test_hamming_index_misses_nothing():
     r = np.random.Generator(np.random.PCG64(1))
     items = r.integers(0, 2**64, 40, np.uint64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,45 +14,66 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own if the driver is the only
+    machine (tests), else one below the warehouse, which all machines see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="awardgrid-")
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            found = "file://" + tempfile.mkdtemp(prefix="awardgrid-")
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-BATCH = 1000
 ROWS_PER_FILE = 250_000
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of whole texts that are held at once: by the Parquet reader, and on the way to a Python worker.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what executors hold of texts at once, unless the session says how much.
+
+    With the defaults a reader holds 4,096 texts in one array and a Python worker gets 10,000, so the
+    heap grows with the length of texts. Set on the session, since the plan that an operator returns
+    runs later.
+    """
+    for key, most in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, most)
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive a lost executor."""
+    """Tables written to the shared folder: they cut lineage and outlive a lost executor.
+
+    ``drop`` deletes those that nothing reads any more, ``drop_others`` all but some; what returned
+    DataFrames read goes when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/awardgrid/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """Write and reread; the shuffle files of the write go when it is over, since no later job needs
-        them, and rows with texts go to Python workers in batches of at most ``BATCH``. Where ``rows``
-        bounds the number of (short) rows, they go to a file for each ``ROWS_PER_FILE``."""
+        them. Where ``rows`` bounds the number of (short) rows, they go to a file for each
+        ``ROWS_PER_FILE``."""
         if rows is not None:
-            df = df.coalesce(max(8, -(-rows // ROWS_PER_FILE)))
+            df = df.coalesce(max(4, -(-rows // ROWS_PER_FILE)))
         path = f"{self.root}/{name}"
-        own = {CLEAN_UP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}
-        before = {k: self.spark.conf.get(k, None) for k in own}
-        for k, v in own.items():
-            self.spark.conf.set(k, v)
+        before = self.spark.conf.get(CLEAN_UP, None)
+        self.spark.conf.set(CLEAN_UP, "true")
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
-            for k, v in before.items():
-                self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
+            self.spark.conf.set(CLEAN_UP, before) if before is not None else self.spark.conf.unset(CLEAN_UP)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -63,6 +85,9 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(conf).delete(path, True)
 
+    def drop_others(self, *kept: str) -> None:
+        self.drop(*[name for name in self.paths if name not in kept])
+
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of one bounded partition as stars: every node with the least id it is connected to there."""
@@ -92,12 +117,14 @@ def connected_components(scratch: Scratch, edges: DataFrame, rounds: int = 40) -
     First every ``ROWS_PER_FILE`` links are contracted to stars where they are read. Alternating
     large-star and small-star steps join the stars: every step is a minimum by key (combined before
     the shuffle) and an equi-join, and no neighbour list is ever gathered. Each round is written to
-    the shared folder. Self-links and nulls are ignored. ``rounds`` only guards against a bug: the
+    the shared folder, and the one before is deleted. A node that very many links share is split by
+    the adaptive skew join, since the other side has one row for it. Self-links and nulls are ignored. ``rounds`` only guards against a bug: the
     number needed grows with the logarithm of the longest chain, and running out raises.
     """
     n = edges.count()
     plain = edges.select("a", "b").where("a <> b").coalesce(max(1, -(-n // ROWS_PER_FILE)))
-    stars = scratch.keep(plain.mapInArrow(_contract, "u long, v long"), f"cc-{uuid.uuid4().hex}")
+    held = f"cc-{uuid.uuid4().hex}"
+    stars = scratch.keep(plain.mapInArrow(_contract, "u long, v long"), held)
     told = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
     before = told(stars)
     for _ in range(rounds):
@@ -107,7 +134,9 @@ def connected_components(scratch: Scratch, edges: DataFrame, rounds: int = 40) -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.union(least.select("u", F.col("m").alias("v"))).distinct()
-        stars = scratch.keep(small, f"cc-{uuid.uuid4().hex}", 2 * n)
+        old, held = held, f"cc-{uuid.uuid4().hex}"
+        stars = scratch.keep(small, held, 2 * n)
+        scratch.drop(old)
         now = told(stars)
         if now == before or now[0] == 0:
             break

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from awardgrid.llm.common import bound_batches
+
 #: Bytes of text in one packing group, about two hundred sequences.
 GROUP_BYTES = 3 << 20
 CACHE_WORDS = 60_000
@@ -176,15 +177,20 @@ def pack_documents(
 ) -> DataFrame:
     """Pieces of all documents in sequences of at most ``capacity`` tokens, with little padding.
 
-    Documents are dealt to groups of about ``group_bytes`` of text by a hash of their id and text,
-    tokenised where they are read, and packed group by group (see ``pack``); a group leaves less
-    than one sequence of padding, whatever its size, and is all that one task holds. The number of
-    groups follows the input's bytes. A piece's ``sequence_id`` is its group's number times 2**24
-    plus the number within the group. ``keep_ids`` adds the pieces' ids as an array.
+    Documents are dealt to groups of about ``group_bytes`` of text by a hash of their id, their length
+    and the input partition they lie in, so a row repeated any number of times is spread like others.
+    They are tokenised where they are read, and packed group by group: a group arrives in batches, and
+    every ``group_bytes`` of them (four times, to be exact) are packed on their own (see ``pack``), so
+    that is what a task holds, whatever the group's size. Each such part leaves less than one sequence
+    of padding. The number of groups follows the input's bytes. A piece's ``sequence_id`` is its
+    group's number times 2**32 plus the number within the group. ``keep_ids`` adds the pieces' ids as
+    an array.
 
     Null or empty text: the end id alone. Null ids and repeated rows are documents of their own.
-    A document of any length is cut. An empty table gives no rows. Only the named columns are read.
+    Documents of equal length are packed by id and text. A document of any length is cut. An empty
+    table gives no rows. Only the named columns are read, whatever the others are called.
     """
+    bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     end = np.array([end_id], "<u2").tobytes()
@@ -201,29 +207,43 @@ def pack_documents(
                     ["doc_id", "group", "ids"],
                 )
 
-    def fill(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("ids", "ascending")]))
-        names, held, group = table["doc_id"].to_pylist(), table["ids"].combine_chunks(), table["group"][0].as_py()
-        ids = [np.frombuffer(x.as_buffer(), "<u2") if len(x.as_buffer()) else np.zeros(0, "<u2") for x in held]
-        pieces = pack([len(x) for x in ids], capacity, linear, quadratic)
-        cut = [ids[i][s : s + n] for i, s, n, _, _ in pieces]
-        of = np.array(pieces, np.int64).reshape(-1, 5)
+    def part(group: int, held: list[tuple[int | None, bytes]], first: int) -> tuple[pa.RecordBatch, int]:
+        """The pieces of some documents in sequences from ``first`` on, and how many those are."""
+        held.sort(key=lambda d: (d[0] is None, d[0] or 0, d[1]))
+        ids = [np.frombuffer(x, "<u2") for _, x in held]
+        of = np.array(pack([len(x) for x in ids], capacity, linear, quadratic), np.int64).reshape(-1, 5)
+        cut = [ids[i][s : s + n] for i, s, n, _, _ in of.tolist()]
         length = of[:, 2]
         columns = {
-            "doc_id": pa.array([names[i] for i in of[:, 0]], pa.int64()),
+            "doc_id": pa.array([held[i][0] for i in of[:, 0]], pa.int64()),
             "start": of[:, 1], "length": length,
             "ids_crc32": np.array([zlib.crc32(x.astype("<u4").tobytes()) for x in cut], np.int64),
             "doc_tokens": np.array([len(ids[i]) for i in of[:, 0]], np.int64),
-            "group": np.full(len(of), group, np.int64), "sequence": of[:, 3], "offset": of[:, 4],
+            "group": np.full(len(of), group, np.int64), "sequence": of[:, 3] + first, "offset": of[:, 4],
             "cost": cost(length.astype(float), linear, quadratic),
         }
         if keep_ids:
             columns["ids"] = pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32()))
-        return pa.table({k: pa.array(v) if isinstance(v, np.ndarray) else v for k, v in columns.items()})
+        made = pa.record_batch({k: pa.array(v) if isinstance(v, np.ndarray) else v for k, v in columns.items()})
+        return made, int(of[:, 3].max()) + 1
+
+    def fill(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first, size = key[0].as_py(), 0, 0
+        held: list[tuple[int | None, bytes]] = []
+        for batch in batches:
+            for name, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                held.append((name, x.as_py()))
+                size += len(held[-1][1]) + 32
+                if size > 4 * group_bytes:
+                    made, n = part(group, held, first)
+                    first, size, held = first + n, 0, []
+                    yield made
+        if held:
+            yield part(group, held, first)[0]
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(groups)).alias("group"),
+        F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text_col), F.spark_partition_id()), F.lit(groups)).alias("group"),
         F.col(text_col).alias("text"),
     )
     packed = (
@@ -231,7 +251,7 @@ def pack_documents(
         .groupBy("group")
         .applyInArrow(fill, SCHEMA + (", ids array<int>" if keep_ids else ""))
     )
-    sequence = (F.col("group") * (1 << 24) + F.col("sequence")).alias("sequence_id")
+    sequence = (F.col("group") * (1 << 32) + F.col("sequence")).alias("sequence_id")
     return packed.select(
         F.col("doc_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", sequence, "offset", "cost", *["ids"] * keep_ids
     )

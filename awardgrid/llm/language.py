@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from awardgrid.llm.common import bound_batches
+
 #: Bytes that the n-grams see: lower-case ASCII letters and all bytes of other characters; the rest is one blank.
 _MAP = np.zeros(256, np.uint8)
 _MAP[0x61:0x7B] = np.arange(1, 27)
 _MAP[0x41:0x5B] = np.arange(1, 27)
 _MAP[0x80:] = np.arange(27, 155)
 PROFILE = 400
-MOST_LANGUAGES = 400
+#: More languages than the driver can hold profiles of raise an error.
+MOST_LANGUAGES = 20_000
 
 
 def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,29 +75,34 @@ def fit_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Profiles of the languages of about ``sample`` learning rows, those with the least hashes of their id.
 
     Learning rows: text and language are not null and crc32 of the id as text, modulo 4, is not 2.
-    Each language has an equal share of ``sample`` (the ``MOST_LANGUAGES`` largest of them), so a
-    rare language has a profile too. n-gram counts are summed where the rows are.
+    Each learned language has an equal share of ``sample``, 20 rows at least, so a rare language has a
+    profile too; over ``MOST_LANGUAGES`` of them raise. n-gram counts are summed where the rows are.
+    Equal counts are ranked by the n-gram's code. An empty table gives no profile.
     """
     rows = docs.where(
         F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
         & (F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) != 2)
     ).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, F.lit(9)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     if not counts:
         return Profiles({}, size)
-    rate = None
-    for lang, n in counts.items():
-        share = min(1_000_000, -(-1_000_000 * sample // (len(counts) * n)))
-        rate = F.when(F.col("lang") == lang, share) if rate is None else rate.when(F.col("lang") == lang, share)
-    picked = rows.where(F.pmod("h", F.lit(1_000_000)) < rate)
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(r["lang"], max(20.0, sample / len(counts)) / r["count"]) for r in counts], "lang string, share double")
+    picked = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 52)) < F.col("share") * float(1 << 52))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from awardgrid.llm.kernels import slices
+
         sums: dict[str, dict[int, int]] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = sums.setdefault(lang, {})
-                for c, n in zip(*(x.tolist() for x in grams(np.frombuffer(text.encode(), np.uint8))), strict=True):
-                    own[c] = own.get(c, 0) + n
+            for lo, hi, data, offs in slices(batch.column("text")):
+                langs = batch.column("lang").slice(lo, hi - lo).to_pylist()
+                for lang, a, b in zip(langs, offs[:-1], offs[1:], strict=True):
+                    own = sums.setdefault(lang, {})
+                    for c, n in zip(*(x.tolist() for x in grams(data[a:b])), strict=True):
+                        own[c] = own.get(c, 0) + n
         for lang, own in sums.items():
             yield pa.record_batch([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "code", "n"])
 
@@ -111,10 +119,13 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
     A document's n-grams are ranked by frequency and compared with each profile: the distance sums
     how far each is out of place, ``PROFILE`` where the profile lacks it. ``score`` is the lead of
-    the nearest profile over the next as a share of the latter's distance. Null text or text
-    without a letter: ``und`` with score 0. Without any learning row every document is ``und``.
+    the nearest profile over the next as a share of the latter's distance; of languages at equal
+    distance the first by name wins, with score 0. Null text, empty text or text without a letter:
+    ``und`` with score 0. A text of any length is read whole, one at a time. An empty table gives no
+    rows. Columns in ``keep`` may have any names, those used inside included. Without any learning row every document is ``und``.
     held_out of a null id is false. Repeated rows are kept. One map over the rows, no shuffle.
     """
+    bound_batches(docs.sparkSession)
     schema = docs.select(F.col(id_col), *keep).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from awardgrid.llm.common import bound_batches
 from awardgrid.llm.kernels import mix, slices, windows, words
 
 BITS, BLOCKS = 64, 4
 #: Largest Hamming distance of candidates. At similarity 0.8 the mean is 9.7 and the deviation 2.9.
 RADIUS = 20
-#: Items are held by every task; a longer list is matched in parts, one pass over the documents each.
+#: Items are held by every task (some MB for so many); a longer list is matched in parts, one pass over the documents each.
 ITEMS_PER_PASS = 20_000
 
 
@@ -30,43 +30,42 @@ def fingerprints(shingles: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def neighbours(bits: int, radius: int) -> np.ndarray:
-    """All masks of up to ``radius`` set bits."""
-    masks = [0]
-    for r in range(1, radius + 1):
-        masks += [sum(1 << b for b in some) for some in combinations(range(bits), r)]
-    return np.array(masks, np.uint32)
-
-
 class HammingIndex:
     """Items of one size by block: a fingerprint within ``radius`` of an item agrees with it, up to
-    radius // BLOCKS bits, in one of the blocks at least; each block's table lists the items for every
-    value, so no item within the radius is missed."""
+    radius // BLOCKS bits, in one of the blocks at least. A block's table lists the items by their
+    values there. The values that a probe's block reaches are those existing ones within so many
+    bits, so the table holds each item once, and no item within the radius is missed."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
         self.prints, self.radius = prints, radius
-        width = BITS // BLOCKS
-        masks = neighbours(width, radius // BLOCKS)
         self.tables = []
         for b in range(BLOCKS):
-            own = (prints >> np.uint64(b * width)).astype(np.uint32) & ((1 << width) - 1)
-            value = (own[:, None] ^ masks[None]).ravel()
-            item = np.repeat(np.arange(len(prints)), len(masks))
-            order = np.argsort(value, kind="stable")
-            start = np.searchsorted(value[order], np.arange((1 << width) + 1))
-            self.tables.append((start.astype(np.int64), item[order].astype(np.int32)))
-
-    def candidates(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own = self._block(prints, b)
+            order = np.argsort(own, kind="stable")
+            values, first = np.unique(own[order], return_index=True)
+            self.tables.append((values, np.append(first, len(own)), order))
+
+    @staticmethod
+    def _block(prints: np.ndarray, b: int) -> np.ndarray:
+        width = BITS // BLOCKS
+        return ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.uint16)
+
+    def candidates(self, found: np.ndarray, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
         """(index of the fingerprint, item) of all pairs within the radius."""
-        width, seen = BITS // BLOCKS, []
-        for b, (start, item) in enumerate(self.tables):
-            v = ((found >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            n = start[v + 1] - start[v]
-            i = np.repeat(np.arange(len(found)), n)
-            k = item[np.repeat(start[v] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            near = np.bitwise_count(found[i] ^ self.prints[k]) <= self.radius
-            seen.append(i[near] * len(self.prints) + k[near])
-        pair = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+        seen = [np.zeros(0, np.int64)]
+        step = max(1, chunk // max(1, len(self.prints)))
+        for lo in range(0, len(found), step):
+            own = found[lo : lo + step]
+            for b, (values, first, item) in enumerate(self.tables):
+                probe, back = np.unique(self._block(own, b), return_inverse=True)
+                near = np.bitwise_count(probe[:, None] ^ values[None]) <= self.radius // BLOCKS
+                at, to = np.nonzero(near[back])
+                n = first[to + 1] - first[to]
+                i = np.repeat(at, n)
+                k = item[np.repeat(first[to] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum())]
+                within = np.bitwise_count(own[i] ^ self.prints[k]) <= self.radius
+                seen.append((lo + i[within]) * len(self.prints) + k[within])
+        pair = np.unique(np.concatenate(seen))
         return pair // max(1, len(self.prints)), pair % max(1, len(self.prints))
 
 
@@ -89,7 +88,14 @@ class Benchmark:
             if len(s):
                 self.sizes.setdefault(len(s), []).append(i)
         self.index = {n: HammingIndex(np.array([fingerprints(self.shingles[i], np.zeros(1, np.int64), n)[0] for i in own], np.uint64)) for n, own in self.sizes.items()}
-        self.known = np.unique(np.concatenate([*self.shingles, np.zeros(0, np.uint64)]))
+        # every shingle of the items with the sizes of those that have it
+        order = {n: k for k, n in enumerate(self.sizes)}
+        pairs = [np.unique(s) for s in self.shingles if len(s)] or [np.zeros(0, np.uint64)]
+        keys = np.concatenate(pairs)
+        of = np.concatenate([np.full(len(u), order[len(s)]) for u, s in zip(pairs, [s for s in self.shingles if len(s)], strict=False)] or [np.zeros(0, np.int64)])
+        both = np.unique(np.stack([keys, of.astype(np.uint64)], 1), axis=0)
+        self.known, first = np.unique(both[:, 0], return_index=True)
+        self.sizes_from, self.sizes_of = np.append(first, len(both)), both[:, 1].astype(np.int64)
 
     def similarity(self, window: np.ndarray, item: np.ndarray) -> float:
         """Weighted Jaccard of two lists of shingles with their numbers; unknown shingles weigh as the rarest."""
@@ -108,18 +114,23 @@ class Benchmark:
         """(item, first shingle, shingles, similarity): the best window of each item that is similar enough, the first at a tie.
 
         Windows as long as an item begin at every word; a document shorter than the item is one window
-        as a whole. A window without any shingle of the benchmark has similarity 0 to all items, so
-        only the others are fingerprinted.
+        as a whole. A window without any shingle of the benchmark has similarity 0 to all items, and one
+        without any of an item's has similarity 0 to that, so only windows with some, and only sizes of
+        items that share some with the document, are fingerprinted.
         """
         if not len(shingles) or not len(self.known):
             return []
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        hit = np.concatenate([[0], np.cumsum(self.known[at] == shingles)])
+        known = self.known[at] == shingles
+        hit = np.concatenate([[0], np.cumsum(known)])
         if not hit[-1]:
             return []
+        met = {int(k) for a in np.unique(at[known]) for k in self.sizes_of[self.sizes_from[a] : self.sizes_from[a + 1]]}
         best: dict[int, tuple[float, int, int]] = {}
         whole = None
-        for n, own in self.sizes.items():
+        for place, (n, own) in enumerate(self.sizes.items()):
+            if place not in met:
+                continue
             size = min(n, len(shingles))
             begin = np.flatnonzero(hit[size:] > hit[:-size])
             if not len(begin):
@@ -138,18 +149,19 @@ class Benchmark:
 def load_benchmark(benchmark: DataFrame, shingle: int, percent: int, id_col: str = "item_id", text_col: str = "text") -> list[Benchmark]:
     """The benchmark in parts of at most ``ITEMS_PER_PASS`` items. A shingle's weight falls with the
     number of items of the whole benchmark that have it, from 1 for one item."""
-    rows = [(r[0], r[1]) for r in benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).distinct().orderBy(id_col, text_col).toLocalIterator()]
-    every = [text_shingles(t, shingle) for _, t in rows]
+    told = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).distinct().orderBy(id_col, text_col)
+    rows = [(r[0], *text_shingles(r[1], shingle)) for r in told.toLocalIterator()]  # texts don't stay, only their hashes
+    every = [r[1:] for r in rows]
     known, count = np.unique(np.concatenate([*[np.unique(s) for k, s in every if k == shingle], np.zeros(0, np.uint64)]), return_counts=True)
     repeated, weight = known[count > 1], 1 / (1 + np.log(count[count > 1]))
     out = []
     for lo in range(0, len(rows), ITEMS_PER_PASS):
         own, short = [], {}
-        for (i, _), (k, s) in zip(rows[lo : lo + ITEMS_PER_PASS], every[lo : lo + ITEMS_PER_PASS], strict=True):
+        for i, k, s in rows[lo : lo + ITEMS_PER_PASS]:
             own.append(s if k == shingle else s[:0])
             if 0 < k < shingle:
                 short.setdefault(k, []).append((int(s[0]), i))
-        out.append(Benchmark([i for i, _ in rows[lo : lo + ITEMS_PER_PASS]], own, repeated, weight, percent, short))
+        out.append(Benchmark([i for i, *_ in rows[lo : lo + ITEMS_PER_PASS]], own, repeated, weight, percent, short))
     return out
 
 
@@ -175,10 +187,11 @@ def find_contamination(
     Words are compared without regard to the case of A-Z. An item of fewer words than ``shingle`` has
     its whole sequence as its one shingle, and is looked for as such. Items and documents without
     words or with null text match nothing; so do null item ids. Null document ids are reported as
-    null. Repeated rows are reported each. An empty benchmark or table gives no rows. Whole texts
-    are scanned in one map without a shuffle; the benchmark travels to the tasks in parts of bounded
+    null. Repeated rows are reported each; of windows equally similar the first counts. An empty
+    benchmark or table gives no rows. Other columns are ignored, whatever their names. Whole texts of any length are scanned in one map without a shuffle; the benchmark travels to the tasks in parts of bounded
     numbers of items, each with the weights of all shingles that several items of the whole have.
     """
+    bound_batches(spark)
     out = None
     for part in load_benchmark(benchmark, shingle, percent, item_col, item_text_col):
         held = spark.sparkContext.broadcast(part)

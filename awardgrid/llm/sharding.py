@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +14,14 @@ SEED = 17
 NO_ID = -(1 << 63)
 
 
+KEY = "array<struct<k:bigint,id:bigint,n:bigint>>"
+
+
 def _range_of(splitters: list[tuple], key: Column) -> Column:
-    """Number of splitters at or below the key: a binary search over a literal array."""
+    """Number of splitters at or below the key: a binary search over one literal array."""
     if not splitters:
         return F.lit(0)
-    held = F.array(*[F.struct(F.lit(a).cast("long").alias("k"), F.lit(b).cast("long").alias("id")) for a, b in splitters])
+    held = F.from_json(F.lit(json.dumps([dict(zip(("k", "id", "n"), s, strict=True)) for s in splitters])), KEY)
     steps, n = [], 1
     while n <= len(splitters):
         steps.insert(0, n)
@@ -25,11 +30,14 @@ def _range_of(splitters: list[tuple], key: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 
 
-def _draw(rows: DataFrame, n: int, seed: int) -> list[tuple]:
-    """n keys, each row drawn with a chance in proportion to its size: the n least -ln(u)/size."""
-    u = (F.pmod(F.xxhash64("k", "id", F.lit(seed)), F.lit(1 << 52)) + 1) / float(1 << 52)
-    drawn = rows.select("k", "id", (-F.log(u) / F.col("size")).alias("w")).orderBy("w", "k", "id").limit(n)
-    return sorted((r["k"], NO_ID if r["id"] is None else r["id"]) for r in drawn.collect())
+def _draw(rows: DataFrame, n: int, total: int, seed: int) -> list[tuple]:
+    """About n keys, each row drawn with a chance in proportion to its size of ``total``, independently.
+
+    Rows choose themselves where they are, so nothing is sorted and no task holds more than its own.
+    """
+    u = (F.pmod(F.xxhash64("k", "id", "n", F.lit(seed)), F.lit(1 << 52)) + 1) / float(1 << 52)
+    drawn = rows.where(-F.log(u) / F.col("size") < n / total).select("k", F.coalesce("id", F.lit(NO_ID)).alias("id"), "n")
+    return sorted(tuple(r) for r in drawn.collect())
 
 
 def assign_shards(
@@ -45,8 +53,8 @@ def assign_shards(
 ) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row; law ``bytes``.
 
-    The key is (crc32 of the text, id), so equal texts lie side by side, and a group of copies of
-    any size is still cut by id. Size-weighted key samples give quantile boundaries; rows are
+    The key is (crc32 of the text, id, a number that no two rows share), so equal texts lie side by
+    side, and a group of copies or of repeated rows of any size can still be cut. Size-weighted key samples give quantile boundaries; rows are
     partitioned into the ranges between them; ranges with over twice the mean bytes are subdivided
     at samples of their own rows. Within a range a running sum of sizes, on top of the bytes in all
     lower ranges, puts each row where it lies among all bytes: shard s takes the rows whose middle
@@ -55,7 +63,7 @@ def assign_shards(
 
     Null text: no bytes, crc32 0. Null ids sort first. Equal rows get one place each, in any order.
     An empty table gives no rows. Other columns are ignored, whatever their names.
-    The driver holds splitters only: ``shards * ranges_per_shard`` or rows / ``rows_per_range``.
+    Very long texts are only measured. The driver holds splitters and samples only: ``shards * ranges_per_shard`` or rows / ``rows_per_range``.
     """
     scratch = Scratch(spark, "shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -64,13 +72,14 @@ def assign_shards(
             F.col(id_col).cast("long").alias("id"),
             (F.octet_length(text) + extra_bytes).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("k"),
+            F.monotonically_increasing_id().alias("n"),  # written with the row, so it stays the same
         ),
         "rows",
     )
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n = max(shards * ranges_per_shard, -(-count // rows_per_range))
-    key = F.struct("k", F.coalesce("id", F.lit(NO_ID)).alias("id"))
-    drawn = _draw(rows, n * samples_per_range, SEED) if count else []
+    key = F.struct("k", F.coalesce("id", F.lit(NO_ID)).alias("id"), "n")
+    drawn = _draw(rows, n * samples_per_range, total, SEED) if total else []
     splitters = sorted({drawn[i * len(drawn) // n] for i in range(1, n)} if drawn else set())
     for turn in range(1, 4):
         ranged = rows.withColumn("range", _range_of(splitters, key))
@@ -79,7 +88,7 @@ def assign_shards(
         if not over:
             break
         parts = sum(-(-b * n // total) for b in over.values())
-        more = _draw(ranged.where(F.col("range").isin(list(over))), parts * samples_per_range, SEED + turn)
+        more = _draw(ranged.where(F.col("range").isin(list(over))), parts * samples_per_range, sum(over.values()), SEED + turn)
         grown = sorted({*splitters, *more[::samples_per_range]})
         if grown == splitters:
             break
@@ -91,7 +100,7 @@ def assign_shards(
         F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
     )
-    run = Window.partitionBy("range").orderBy("k", "id").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("range").orderBy("k", "id", "n").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         ranged.withColumn("upto", F.sum("size").over(run))
         .withColumn("nth", F.count("*").over(run))
@@ -106,6 +115,7 @@ def assign_shards(
         )
     )
     placed = scratch.keep(placed, "placed")
+    scratch.drop("rows")
     first = placed.groupBy("shard").agg(F.min("place").alias("first"))
     return placed.join(F.broadcast(first), "shard").select(
         F.col("id").alias(id_col),

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from awardgrid.llm.common import bound_batches
+
 
 def statistics(text: Column) -> dict[str, Column]:
     """Statistics of a whole text; a null text counts as empty."""
@@ -137,13 +139,20 @@ def _third(id_col: str) -> Column:
 
 
 def learn_ensemble(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> RuleEnsemble:
-    """Fit on about ``sample`` labelled documents that aren't held out, those with the least hashes of their id."""
+    """Fit on about ``sample`` labelled documents that aren't held out, those with the least hashes of their id.
+
+    What reaches the driver is a row of numbers for each picked id; of repeated rows the one with the
+    least statistics counts. No labels, or an empty table, give the constant model.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (_third(id_col) != 2)).groupBy(id_col).agg(F.min(label_col).alias("y"))
     n = known.count()
     if n > sample:
-        known = known.where(F.pmod(F.xxhash64(id_col, F.lit(8)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(known), id_col)
-    got = rows.select("y", *[c.alias(k) for k, c in statistics(F.col("text")).items()]).toPandas()
+        known = known.where(F.pmod(F.xxhash64(id_col, F.lit(8)), F.lit(1 << 52)) < float(1 << 52) * sample / n)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(known.withColumnRenamed(id_col, "__id")), "__id")
+    told = rows.select("__id", "y", *[c.cast("double").alias(k) for k, c in statistics(F.col("text")).items()])
+    # a row for each id, however often it is repeated
+    once = told.groupBy("__id").agg(F.min(F.struct("y", *STATISTICS)).alias("r")).select("r.*")
+    got = once.toPandas()
     got = got.sort_values(list(got.columns)).to_numpy(float) if len(got) else np.zeros((0, 1 + len(STATISTICS)))
     return fit_rules(got[:, 1:], got[:, 0])
 
@@ -155,9 +164,11 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, thres
     rows whose crc32 of the id as text, modulo 4, is 2 are never read into the fit; a document with
     two labels counts with the lower. At most about ``sample`` labelled rows are collected. With no
     labels, or of one kind only, every text gets the smoothed share of label 1.
-    Null and empty texts have the statistics of an empty text. held_out of a null id is false.
-    Repeated rows are kept. Scoring is one projection without a shuffle or Python.
+    Null and empty texts have the statistics of an empty text; very long ones are read whole. A score
+    of exactly ``threshold`` predicts 1. held_out of a null id is false. Repeated rows are kept, other
+    columns ignored whatever their names. An empty table gives no rows. Scoring is one projection without a shuffle or Python.
     """
+    bound_batches(spark)
     model = model or learn_ensemble(docs, labels, sample, id_col, text_col, label_col)
     held = F.coalesce(_third(id_col) == 2, F.lit(False))
     told = docs.select(F.col(id_col).alias("__id"), held.alias("held_out"), *[c.cast("double").alias(k) for k, c in statistics(F.col(text_col)).items()])

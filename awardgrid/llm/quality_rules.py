@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from awardgrid.llm.common import bound_batches
 from awardgrid.llm.kernels import BLANK, LOW52, mix, powers, slices, windows, words
 
 SYMBOLS = b"#*$%&|<>"
@@ -118,25 +119,59 @@ def _turns(line_first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield t, order[: np.searchsorted(ranked, -t)]
 
 
+BLOCK = 256
+
+
 def viterbi(model: LineField, x: np.ndarray, line_first: np.ndarray) -> np.ndarray:
-    """The likeliest labels (1: content) of all lines; at a tie, content."""
+    """The likeliest labels (1: content) of all lines; at a tie, content.
+
+    Documents are cut into blocks of ``BLOCK`` lines. All blocks advance together, once for each label
+    that the line before the block may have; a document's blocks are then joined in order, and the
+    labels read back. So a text of a million lines takes some thousand turns, not a million.
+    """
     e = model.scores(x)
-    back = np.zeros((len(x), 2), np.int8)
-    best = np.zeros((len(line_first) - 1, 2))
-    for t, d in _turns(line_first):
-        at = line_first[d] + t
+    n = np.diff(line_first)
+    blocks = -(-n // BLOCK)
+    of = np.repeat(np.arange(len(n)), blocks)  # the document of each block
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = line_first[:-1][of] + nth * BLOCK
+    bounds = np.concatenate([begin, line_first[-1:]]).astype(np.int64)
+    back = np.zeros((len(x), 2, 2), np.int8)  # line, label before the block, own label -> label before
+    best = np.zeros((len(of), 2, 2))  # block, label before the block, last label
+    for t, b in _turns(bounds):
+        at = bounds[b] + t
         if t:
-            via = best[d][:, :, None] + model.between[None]
-            back[at] = np.where(via[:, 1] >= via[:, 0], 1, 0)
-            best[d] = via.max(1) + e[at]
+            via = best[b][:, :, :, None] + model.between[None, None]
+            back[at] = np.where(via[:, :, 1] >= via[:, :, 0], 1, 0)
+            best[b] = via.max(2) + e[at][:, None, :]
+        else:
+            opens = np.where((nth[b] == 0)[:, None, None], model.first[None, None], model.between[None])
+            best[b] = opens + e[at][:, None, :]
+    # join the blocks: the j-th of all documents at once
+    block_first = np.concatenate([[0], np.cumsum(blocks)])
+    total = np.zeros((len(n), 2))
+    came = np.zeros((len(of), 2), np.int8)  # block, last label -> label before the block
+    last = np.zeros(len(of), np.int8)
+    for j, d in _turns(block_first):
+        b = block_first[d] + j
+        if j:
+            via = total[d][:, :, None] + best[b]
+            came[b] = np.where(via[:, 1] >= via[:, 0], 1, 0)
+            total[d] = via.max(1)
         else:
-            best[d] = model.first + e[at]
-    label = np.zeros(len(x), np.int8)
-    now = np.where(best[:, 1] >= best[:, 0], 1, 0)
-    for t, d in reversed(list(_turns(line_first))):
-        at = line_first[d] + t
-        label[at] = now[d]
-        now[d] = back[at, now[d]]
+            total[d] = best[b][:, 0]
+    now = np.where(total[:, 1] >= total[:, 0], 1, 0)
+    for j, d in reversed(list(_turns(block_first))):
+        b = block_first[d] + j
+        last[b] = now[d]
+        now[d] = came[b, now[d]]
+    # labels within the blocks, from their ends
+    prior = came[np.arange(len(of)), last]
+    label, now = np.zeros(len(x), np.int8), last.astype(np.int64).copy()
+    for t, b in reversed(list(_turns(bounds))):
+        at = bounds[b] + t
+        label[at] = now[b]
+        now[b] = back[at, prior[b], now[b]]
     return label
 
 
@@ -204,8 +239,10 @@ def learn_field(docs: DataFrame, labels: DataFrame, sample: int = 1500, most_lin
     if len(counts) < 2:
         return LineField()
     rate = F.when(F.col("y") == 1, sample / 2 / counts[1]).otherwise(sample / 2 / counts[0])
-    picked = known.where(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1_000_000)) < rate * 1_000_000)
-    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(F.broadcast(picked), id_col).select("text", "y")
+    picked = known.where(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 52)) < rate * float(1 << 52)).select(F.col(id_col).alias("__id"), "y")
+    held = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    # a row for each id, however often it is repeated
+    rows = held.join(F.broadcast(picked), "__id").groupBy("__id").agg(F.min(F.struct("text", "y")).alias("r")).select("r.*")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,9 +271,12 @@ def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, least_s
 
     Viterbi decoding marks each line content or boilerplate; ``content_share`` is the share of words
     that stand in content lines, and a document that passes the base is kept if it is at least
-    ``least_share``. Null or empty text has no words, so its base fails. Repeated rows are kept as
-    they are, null ids too. Whole texts of any length; one map over the rows, no shuffle of them.
+    ``least_share``. Where both labels are as likely, a line is content. Null or empty text has no
+    words, so its base fails. Repeated rows are kept as they are, null ids too. Other columns of both
+    tables are ignored, whatever their names. An empty table gives no rows; without labels of both
+    kinds every line is content. Whole texts of any length; one map over the rows, no shuffle of them.
     """
+    bound_batches(spark)
     model = model or learn_field(docs, labels, id_col=id_col, text_col=text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

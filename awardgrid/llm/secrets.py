@@ -11,9 +11,11 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from awardgrid.llm.common import bound_batches
+
 # The base rules and the least length of what they must match.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -52,7 +54,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def labelled_credentials(n: int = 300, seed: int = 5) -> dict[str, list[str]]:
-    """n examples of each well-known credential format, and of plain identifiers (label ``plain``)."""
+    """n made examples of each published credential format, and of plain identifiers (label ``plain``:
+    numbers, words, names, paths, addresses, dates and UUIDs, which look alike and are none).
+
+    For formats that a corpus has no labels of; see ``learn_formats`` for those that it has.
+    """
     r = random.Random(seed)
     upper, alnum = string.ascii_uppercase + string.digits, string.ascii_letters + string.digits
     some = lambda chars, k: "".join(r.choices(chars, k=k))
@@ -67,8 +73,12 @@ def labelled_credentials(n: int = 300, seed: int = 5) -> dict[str, list[str]]:
         "web_token": lambda: "eyJ" + some(alnum + "-_", r.randint(20, 60)) + ".eyJ" + some(alnum + "-_", r.randint(30, 90)) + "." + some(alnum + "-_", 43),
         "digest": lambda: some("0123456789abcdef", r.choice([32, 40, 64])),
         "signing_key": lambda: some(alnum + "/+", 40),
-        "uuid_key": lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
         "plain": lambda: r.choice([
+            lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
+            lambda: "-".join(some(string.digits, 4) for _ in range(4)),
+            lambda: some(string.ascii_lowercase, r.randint(16, 30)),
+            lambda: some(string.ascii_lowercase, r.randint(16, 24)).capitalize(),
+            lambda: word() + r.choice(["=", "/", "."]) + word() + r.choice(["_", "-", "."]) + word() + some(string.digits, r.randint(0, 4)),
             lambda: "-".join(word() for _ in range(r.randint(2, 7))),
             lambda: "_".join(word() for _ in range(r.randint(2, 7))) + some(string.digits, r.randint(0, 3)),
             lambda: "/".join(word() for _ in range(r.randint(2, 7))) + "." + r.choice(["html", "txt", "php", "jpg"]),
@@ -216,8 +226,7 @@ class FormatModel:
         self.begins = re.compile("|".join(map(re.escape, sorted(self.begin))) or "(?!)")
 
     def matches(self, text: str, formats: tuple[str, ...] | None = None) -> bool:
-        if not any(c.isdigit() for c in text) or not any(c.isalpha() for c in text):
-            return False
+        """Whether a candidate is as likely as a format's members are, and likelier than plain by the margin."""
         beyond = self.plain.log_likelihood(text) + self.margin
         return any((score := self.automata[k].log_likelihood(text)) >= self.least[k] and score > beyond for k in formats or self.automata)
 
@@ -232,6 +241,46 @@ def default_model() -> FormatModel:
     return _model[0]
 
 
+def learn_formats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, least: int = 20, longest: int = 200) -> FormatModel:
+    """A model of the corpus's own formats beside the published ones.
+
+    What the base rules match is labelled by them: the values that are assigned, access ids and hex
+    strings are examples of a format each (``least`` of them or more), and letters-only or
+    digits-only runs beside them of plain. They come from about ``sample`` documents with matches,
+    those with the least hashes of their id, ``sample`` distinct examples of a label at most, those
+    with the least hashes, up to ``longest`` characters each. The rest of the corpus isn't drawn.
+    """
+    hints = "|".join([*(f"[{c}{c.upper()}]{rest}" for c, rest in (("p", "assw"), ("s", "ecret"), ("t", "oken"), ("a", "pi"))), "AKIA", "[0-9a-f]{16}"])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(hints))
+    n = rows.count()
+    if not n:
+        return default_model()
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1 << 52)) < float(1 << 52) * min(1.0, sample / n)).select("text")
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[str, str]] = set()
+            for x in batch.column("text"):
+                text = x.as_py()
+                base = base_spans(text)
+                for a, b, kind in base:
+                    found.add(("found_" + kind, ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]))
+                for m in CANDIDATE.finditer(text):
+                    if (m[0].isalpha() or m[0].isdigit()) and not any(a < m.end() and b > m.start() for a, b, _ in base):
+                        found.add(("plain", m[0]))
+            kept = sorted(f for f in found if len(f[1]) <= longest)
+            yield pa.record_batch([pa.array([k for k, _ in kept], pa.string()), pa.array([v for _, v in kept], pa.string())], ["kind", "value"])
+
+    told = picked.mapInArrow(label, "kind string, value string").distinct()
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
+    examples = labelled_credentials()
+    own: dict[str, list[str]] = {}
+    for r in told.withColumn("nth", nth).where(F.col("nth") <= sample).orderBy("kind", "nth").collect():
+        own.setdefault(r["kind"], []).append(r["value"])
+    examples["plain"] = examples["plain"] + own.pop("plain", [])[: len(examples["plain"])]
+    return FormatModel(examples | {k: v[:500] for k, v in own.items() if len(v) >= least})
+
+
 def trimmed(text: str, a: int, b: int) -> int:
     """The end of a candidate: a sentence's end is not part of a key; padding stays out of the test."""
     while b > a and text[b - 1] in ".=-":
@@ -317,17 +366,20 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
     return "".join(out) + text[upto:]
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), model: FormatModel | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), model: FormatModel | None = None, with_redacted: bool = True) -> DataFrame:
     """(id, n_assign, n_access, n_hex, n_format, base_sha256, spans, redacted, and ``keep``) of every row.
 
-    Base rules are exact; what they leave of every run of 16 or more credential characters, with a
-    letter and a digit, is scored by all automata, and is a secret (kind ``format``) if its format
+    Base rules are exact; what they leave of every run of 16 or more credential characters is scored
+    by all automata (see ``learn_formats``), and is a secret (kind ``format``) if its format
     likelihood is one that members of that format have and beats plain identifiers. If the whole is
     none, its parts behind '=', '/' and '.' and from a format's fixed first symbols are scored. ``redacted`` is the text with
     spans replaced, null for null text, which counts as empty. Whole texts are scanned, one map
-    over the rows, no shuffle. Repeated rows and null ids are kept as they are.
+    over the rows, no shuffle. Repeated rows and null ids are kept as they are, columns in ``keep`` too,
+    whatever their names. Of two spans from the same place the one listed first among the kinds comes
+    first. An empty table gives no rows. ``with_redacted`` False leaves ``redacted`` out.
     """
-    model = model or default_model()
+    bound_batches(docs.sparkSession)
+    model = model or learn_formats(docs, id_col, text_col)
     fields = docs.select(F.col(id_col), *keep).schema
     names = [f"c{i}" for i in range(len(fields))]
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=True))
@@ -340,13 +392,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for text in part.column("__text").to_pylist():
                     base, spans = all_spans(text or "", model)
                     n = [sum(s[2] == k for s in spans) for k in KINDS]
-                    rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redact(text, spans) if text is not None else None))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                    rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redact(text, spans) if text is not None and with_redacted else None)[: 6 + with_redacted])
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * (6 + with_redacted)
                 yield pa.record_batch(
                     [*[part.column(c) for c in names], *[pa.array(list(c), pa.int64()) for c in cols[:4]], *[pa.array(list(c), pa.string()) for c in cols[4:]]],
-                    [*names, "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans", "redacted"],
+                    [*names, "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans", "redacted"][: len(names) + 6 + with_redacted],
                 )
 
     plain = docs.select(*[F.col(f.name).alias(n) for n, f in zip(names, fields, strict=True)], F.col(text_col).alias("__text"))
-    out = plain.mapInArrow(scan, f"{kinds}, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string, redacted string")
+    out = plain.mapInArrow(scan, f"{kinds}, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string" + ", redacted string" * with_redacted)
     return out.withColumnsRenamed({n: f.name for n, f in zip(names, fields, strict=True)})

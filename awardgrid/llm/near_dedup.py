@@ -84,6 +84,49 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     return out
 
 
+def near_sketches(n: np.ndarray, b0: np.ndarray, b1: np.ndarray, m: np.ndarray, c0: np.ndarray, c1: np.ndarray, percent: int, least_bits: int) -> np.ndarray:
+    """Which pairs (by broadcasting) have sizes and sketches that a similarity of ``percent`` allows."""
+    differ = np.bitwise_count((b0 ^ c0).view(np.uint64)).astype(np.int16) + np.bitwise_count((b1 ^ c1).view(np.uint64))
+    agree = SKETCH - differ
+    return (agree >= least_bits) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def leaf_links(node: np.ndarray, doc: np.ndarray, n: np.ndarray, b0: np.ndarray, b1: np.ndarray, percent: int, least_bits: int, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of every node are compared; its candidates come back as stars around their least ids.
+
+    Nodes of one size are compared together, ``cells`` pairs at a time.
+    """
+    order = np.lexsort((doc, node))
+    node, doc, n, b0, b1 = (x[order] for x in (node, doc, n, b0, b1))
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    size = np.diff(np.append(first, len(node)))
+    out = []
+    for k in np.unique(size[size > 1]).tolist():
+        starts = first[size == k]
+        step = max(1, cells // (k * k))
+        for lo in range(0, len(starts), step):
+            at = starts[lo : lo + step, None] + np.arange(k)
+            side = lambda x: (x[at][:, :, None], x[at][:, None, :])  # noqa: B023, E731
+            (n1, n2), (p1, p2), (q1, q2) = side(n), side(b0), side(b1)
+            near = near_sketches(n1, p1, q1, n2, p2, q2, percent, least_bits)
+            some = np.flatnonzero(near.sum((1, 2)) > k)  # each is near to itself
+            if not len(some):
+                continue
+            near, at = near[some], at[some]
+            root = np.broadcast_to(np.arange(k), at.shape)
+            while True:
+                new = np.where(near, root[:, None, :], k).min(2)
+                new = np.take_along_axis(new, new, 1)
+                if (new == root).all():
+                    break
+                root = new
+            x, y = np.nonzero(root != np.arange(k))
+            out.append((doc[at[x, root[x, y]]], doc[at[x, y]]))
+    a, b = ([np.concatenate(v) for v in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2)
+    other = a != b  # an id with several texts
+    return a[other], b[other]
+
+
 def _child(node: Column, sig: Column, branch: int) -> Column:
     """The node below, by the minwise token that this branch of the node chooses."""
     at = F.pmod(F.xxhash64(node, F.lit(branch)), F.lit(TOKENS // 2)) + branch * (TOKENS // 2)
@@ -101,10 +144,12 @@ def near_duplicates(
     shingle: int = 5,
     percent: int = 80,
     trees: int = 4,
-    leaf: int = 24,
-    depth: int = 6,
+    leaf: int = 200,
+    depth: int = 12,
     least_bits: int = 100,
     chunk: int = CHUNK,
+    block: int = 4096,
+    bucket_words: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -116,20 +161,25 @@ def near_duplicates(
     documents of similarity s stay together in a branch with chance s. So a pair at 0.8 reaches a
     common leaf in one tree with a chance of at least 0.9375, whatever the depth (the fixed point of
     q = 1 - (1 - 0.8 q)**2), and in one of four with 0.99998. A node of up to ``leaf`` documents is
-    compared exhaustively: sizes and 128-bit sketches sort out what can't be similar (at 0.8 a pair
-    agrees in 115 bits on average, with a deviation of 3.4), and all else is confirmed on full sets.
+    compared exhaustively by sizes and 128-bit sketches, which sort out what can't be similar (at 0.8
+    a pair agrees in 115 bits on average, with a deviation of 3.4).
 
-    Nodes that stay large are *heavy*: half of their documents agree with the node's least id as
-    near-duplicates do, or ``depth`` is reached. Heavy nodes that share documents form a cluster. A
-    cluster is compared in chunks of bounded size, each together with a few pivots of the cluster;
-    then every document outside its largest connected part is compared, in blocks, with the whole
-    cluster. No link between the parts of a cluster is lost and no group of any size meets in one
-    task. Pairs inside the largest part need no comparison, since they are connected.
+    Larger nodes branch on while they shrink. One is *heavy*, and its documents are candidates of
+    its least id, if half of them agree with that one as near-duplicates do, or at ``depth``.
+
+    Documents that are connected by candidates form a cluster, and what is linked is settled there on
+    full sets. Each text goes to its cluster once. A cluster of up to ``chunk`` documents is compared
+    exhaustively. A larger one is compared in chunks of bounded size, each together with a few pivots
+    of the cluster; then the sketches of every document outside its largest connected part are
+    compared, in blocks, with those of the whole cluster, and candidates between different parts are
+    confirmed on full sets. So no link between the parts of a cluster is lost and no group of any size
+    meets in one task. Pairs inside a connected part need no comparison.
 
     A document of fewer words than ``shingle`` has its whole sequence as its one shingle. Null and
     empty texts and texts without words have none, are linked with nothing and kept. A null id is
     its own group (component_id null) and kept. Repeated rows give a row each; the same id counts as
-    one document. Only the named columns are read. Empty tables give no rows.
+    one document. Very long texts are read whole; chunks hold fewer of them. Only the named columns
+    are read, whatever the others are called. Empty tables give no rows.
     """
     scratch = Scratch(spark, "near")
 
@@ -164,24 +214,25 @@ def near_duplicates(
 
     below = [(t, b) for t in range(trees) for b in (0, 1)]
     level = reps.select("doc", "n", "b0", "b1", F.explode(F.array(*[_child(F.xxhash64(F.lit(t), F.lit("root")), F.col("sig"), b) for t, b in below])).alias("node"))
-    leaves, heavies = [], []
+    leaves, heavies, n_leaves = [], [], 0
     for at in range(1, depth + 1):
         level = scratch.keep(level, f"level{at}")
         sizes = level.groupBy("node").agg(F.count("*").alias("c"), F.min("doc").alias("pivot")).where("c > 1")
         sizes = scratch.keep(sizes, f"sizes{at}", n_reps)
-        n_sizes = sizes.count()
-        leaves.append(level.join(few(sizes.where(F.col("c") <= leaf).select("node"), n_sizes), "node"))
-        large = sizes.where(F.col("c") > leaf)
-        if large.isEmpty():
+        small = F.col("c") <= leaf
+        n_sizes, in_leaves, n_large = sizes.agg(F.count("*"), F.coalesce(F.sum(F.when(small, F.col("c"))), F.lit(0)), F.count_if(~small)).first()
+        n_leaves += in_leaves
+        leaves.append(level.join(few(sizes.where(small).select("node"), n_sizes), "node"))
+        if not n_large:
             break
-        large = large.join(reps.select(F.col("doc").alias("pivot"), F.col("b0").alias("p0"), F.col("b1").alias("p1")), "pivot")
-        big = scratch.keep(level.join(few(large, n_sizes), "node").withColumn("like", _agree("b", "p") >= least_bits), f"big{at}", n_reps)
+        large = sizes.where(~small).join(reps.select(F.col("doc").alias("pivot"), F.col("b0").alias("p0"), F.col("b1").alias("p1")), "pivot")
+        big = scratch.keep(level.join(few(large, n_large), "node").withColumn("like", _agree("b", "p") >= least_bits), f"big{at}", n_reps)
         tight = big.groupBy("node").agg((2 * F.sum(F.col("like").cast("long")) >= F.count("*")).alias("tight"))
         if at == depth:
             tight = tight.withColumn("tight", F.lit(True))
-        big = big.join(tight, "node")
-        heavies.append(big.where("tight").select("node", "doc", "pivot"))
-        level = big.where("not tight").select("node", "doc", "n", "b0", "b1").join(reps.select("doc", "sig"), "doc").select(
+        big = big.join(few(tight, n_large), "node")
+        heavies.append(big.where("tight and doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
+        level = big.where("not tight").select("node", "doc").join(reps, "doc").select(
             "doc", "n", "b0", "b1", F.explode(F.array(*[_child(F.col("node"), F.col("sig"), b) for b in (0, 1)])).alias("node")
         )
 
@@ -191,78 +242,104 @@ def near_duplicates(
             out = out.union(p)
         return out
 
-    leaf_rows = union([p.select("node", "doc", "n", "b0", "b1") for p in leaves])
-    other = leaf_rows.select("node", *[F.col(c).alias(f"other_{c}") for c in ("doc", "n")], F.col("b0").alias("o0"), F.col("b1").alias("o1"))
-    pairs = leaf_rows.join(other, "node").where(
-        (F.col("doc") < F.col("other_doc"))
-        & (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n"))
-        & (_agree("b", "o") >= least_bits)
-    ).select(F.col("doc").alias("a"), F.col("other_doc").alias("b")).distinct()
-
-    cluster = None
-    if heavies:
-        heavy = scratch.keep(union(heavies).select("doc", "pivot").distinct(), "heavy", n_reps)
-        if not heavy.isEmpty():
-            roots = connected_components(scratch, heavy.select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
-            cluster = scratch.keep(roots.select(F.col("node").alias("doc"), F.col("root").alias("cluster")), "cluster", n_reps)
-            of = lambda side: cluster.select(F.col("doc").alias(side), F.col("cluster").alias(f"c{side}"))
-            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-    pairs = scratch.keep(pairs, "pairs", n_reps)
-    asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b"))
-    if cluster is not None:
-        asked = asked.union(cluster.select("doc"))
-    asked = scratch.keep(asked.distinct(), "asked", n_reps)
-    texts = scratch.keep(rows.where("text is not null").join(few(asked, asked.count()), "doc", "left_semi"), "texts")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                one, two = sets_of(part.column("text_a"), shingle), sets_of(part.column("text_b"), shingle)
-                both = np.array([np.intersect1d(x, y, assume_unique=True).size for x, y in zip(one, two, strict=True)], np.int64)
-                size = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)], np.int64)
-                near = pa.array((100 * both >= percent * (size - both)) & (both > 0))
-                yield pa.record_batch([part.column("a").filter(near), part.column("b").filter(near)], ["a", "b"])
-        give_back()
-
-    side = lambda s: texts.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}"))
-    links = few(pairs, pairs.count()).join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+    def compare_leaves(table: pa.Table) -> pa.Table:
+        a, b = leaf_links(*(table[c].to_numpy() for c in ("node", "doc", "n", "b0", "b1")), percent, least_bits)
+        return pa.table({"a": a, "b": b})
+
+    buckets = max(1, -(-n_leaves // 100_000))
+    leaf_rows = union([p.select("node", "doc", "n", "b0", "b1") for p in leaves]).withColumn("bucket", F.pmod("node", F.lit(buckets)))
+    edges = leaf_rows.groupBy("bucket").applyInArrow(compare_leaves, "a long, b long")
+    edges = scratch.keep(union([edges, *heavies]), "edges")
+    cluster = connected_components(scratch, edges).select(F.col("node").alias("doc"), F.col("root").alias("cluster"))
+    cluster = scratch.keep(cluster.join(reps.groupBy("doc").agg(F.max("n").alias("n")), "doc"), "cluster", n_reps)
+    scratch.drop_others("sketched", "equal", "reps", "cluster")
+
+    held = cluster.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum("n") / bucket_words)).alias("chunks"))
+    n_words = cluster.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(1, -(-n_words // bucket_words))
+    member = cluster.join(few(held, n_reps), "cluster")
+    member = scratch.keep(member.withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("doc", F.lit(3)), F.col("chunks"))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets)))), "member", n_reps)
+    n_members = member.count()
+    large = member.where("chunks > 1")
+    n_large = large.count()
+    places = member.select("doc", "cluster", "chunks", "chunk")
+    if n_large:
+        pivots = large.withColumn("slot", F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(16))).groupBy("cluster", "slot").agg(F.min("doc").alias("doc"), F.max("chunks").alias("chunks"))
+        places = places.union(pivots.select("doc", "cluster", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids = table["doc"].to_numpy()
-        _, once = np.unique(ids, return_index=True)
-        found = forest(ids[once], sets_of(table["text"].combine_chunks().take(pa.array(once)), shingle), percent)
+        order = np.lexsort((table["doc"].to_numpy(), table["cluster"].to_numpy()))
+        ids, of = table["doc"].to_numpy()[order], table["cluster"].to_numpy()[order]
+        once = np.concatenate([[True], (ids[1:] != ids[:-1]) | (of[1:] != of[:-1])])
+        ids, of, order = ids[once], of[once], order[once]
+        sets = sets_of(table["text"].combine_chunks().take(pa.array(order)), shingle)
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        found: list[tuple[int, int]] = []
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(of)], strict=True):
+            if hi - lo == 2:
+                both = np.intersect1d(sets[lo], sets[lo + 1], assume_unique=True).size
+                if both and 100 * both >= percent * (len(sets[lo]) + len(sets[lo + 1]) - both):
+                    found.append((int(ids[lo]), int(ids[lo + 1])))
+            elif hi - lo > 2:
+                found += forest(ids[lo:hi], sets[lo:hi], percent)
+        give_back()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    def dealt(members: DataFrame, parts: str, salt: int) -> DataFrame:
-        return members.withColumn(parts, F.pmod(F.xxhash64("doc", F.lit(salt)), F.col(f"{parts}s")))
-
-    if cluster is not None:
-        size = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-        member = scratch.keep(dealt(cluster.join(size, "cluster"), "chunk", 3), "member", n_reps)
-        pivots = member.withColumn("slot", F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(16))).groupBy("cluster", "slot").agg(F.min("doc").alias("doc"), F.max("chunks").alias("chunks"))
-        everywhere = pivots.select("doc", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-        groups = member.select("doc", "cluster", "chunk").union(everywhere).join(texts, "doc")
-        links = links.union(groups.groupBy("cluster", "chunk").applyInArrow(compare, "a long, b long"))
-    links = scratch.keep(links, "links")
+    own = F.when(F.col("chunks") > 1, F.col("cluster")).otherwise(F.lit(None).cast("long")).alias("alone")
+    texts = rows.where("text is not null").join(few(places, n_members + 16 * n_large), "doc").select("doc", "cluster", own, "chunk", "text")
+    links = scratch.keep(texts.groupBy("alone", "chunk").applyInArrow(compare, "a long, b long"), "links")
     roots = scratch.keep(connected_components(scratch, links), "roots", n_reps)
-    if cluster is not None:
-        part = scratch.keep(member.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")), "part", n_reps)
-        parts = part.groupBy("cluster", "root").count()
-        main = parts.groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("total")).where("parts > 1")
-        main = main.select("cluster", F.col("m.root").alias("main"), F.ceil((F.col("total") - F.col("m.count")) / (chunk // 2)).alias("blocks"))
-        rest = scratch.keep(part.join(main, "cluster"), "rest", n_reps)
+
+    if n_large:
+        part = large.join(few(roots.select(F.col("node").alias("doc"), "root"), n_reps), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        part = scratch.keep(part.join(reps.select("doc", "b0", "b1"), "doc"), "part", n_reps)
+        main = part.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("total")).where("parts > 1")
+        main = main.select("cluster", F.col("m.root").alias("main"), F.ceil((F.col("total") - F.col("m.count")) / block).alias("asking"), F.ceil(F.col("total") / block).alias("asked"))
+        rest = scratch.keep(part.join(few(main, n_large), "cluster"), "rest", n_reps)
         if not rest.isEmpty():
-            asking = dealt(rest.where("root <> main"), "block", 4).select("doc", "cluster", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-            asked = rest.select("doc", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "chunk")
-            groups = asking.union(asked).join(texts, "doc")
-            more = groups.groupBy("cluster", "block", "chunk").applyInArrow(compare, "a long, b long")
-            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = scratch.keep(connected_components(scratch, scratch.keep(more.union(known), "links2")), "roots2", n_reps)
+            of = lambda salt, n: F.pmod(F.xxhash64("doc", F.lit(salt)), F.col(n))
+            every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+            kept = ["doc", "cluster", "n", "b0", "b1", "root"]
+            asking = rest.where("root <> main").select(*kept, of(4, "asking").alias("i"), every("asked").alias("j"), F.lit(True).alias("asks"))
+            asked = rest.select(*kept, every("asking").alias("i"), of(6, "asked").alias("j"), F.lit(False).alias("asks"))
+
+            def between(table: pa.Table) -> pa.Table:
+                asks = table["asks"].to_numpy()
+                one, two = ({c: table[c].to_numpy()[x] for c in ("doc", "n", "b0", "b1", "root")} for x in (asks, ~asks))
+                out = []
+                for lo in range(0, len(one["doc"]), 256):
+                    x = {c: v[lo : lo + 256, None] for c, v in one.items()}
+                    near = near_sketches(x["n"], x["b0"], x["b1"], two["n"], two["b0"], two["b1"], percent, least_bits) & (x["root"] != two["root"])
+                    i, j = np.nonzero(near)
+                    out.append((one["doc"][lo + i], two["doc"][j]))
+                a, b = ([np.concatenate(v) for v in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2)
+                return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+            pairs = asking.union(asked).groupBy("cluster", "i", "j").applyInArrow(between, "a long, b long").distinct()
+            pairs = scratch.keep(pairs, "pairs", n_reps)
+
+            def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    one, two = sets_of(batch.column("text_a"), shingle), sets_of(batch.column("text_b"), shingle)
+                    both = np.array([np.intersect1d(x, y, assume_unique=True).size for x, y in zip(one, two, strict=True)], np.int64)
+                    size = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)], np.int64)
+                    near = pa.array((100 * both >= percent * (size - both)) & (both > 0))
+                    yield pa.record_batch([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
+                give_back()
+
+            n_pairs = pairs.count()
+            if n_pairs:
+                asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+                told = scratch.keep(rows.where("text is not null").join(few(asked, 2 * n_pairs), "doc", "left_semi"), "told")
+                side = lambda s: told.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}"))
+                more = few(pairs, n_pairs).join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+                known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                roots = scratch.keep(connected_components(scratch, scratch.keep(more.union(known), "links2")), "roots2", n_reps)
+    scratch.drop_others("sketched", "equal", "roots", "roots2")
 
     out = sketched.select("doc", "n", "h0", "h1").join(few(equal, n_equal), ["h0", "h1"], "left")
     out = out.withColumn("rep", F.when(F.col("n") > 0, F.col("rep"))).withColumn("rep", F.coalesce("rep", "doc"))
-    out = out.join(few(roots.withColumnRenamed("node", "rep"), roots.count()), "rep", "left")
+    out = out.join(few(roots.withColumnRenamed("node", "rep"), n_members), "rep", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("root", "rep"))
     return out.select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept")

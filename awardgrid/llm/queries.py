@@ -10,8 +10,11 @@ import public_tokenizers
 from awardgrid.llm import decontamination, language, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, url_filter
 from awardgrid.llm.common import parquet
 
-#: Host names on the URL list that op6 screens against: fixed values.
-LISTED_HOSTS = ("spam-farm", "cheap-pills")
+#: The URL list that op6 screens against, made by a rule and not from the pages: on each of these hosts,
+#: in each language, every third number below ``LISTED_BELOW``. Fixed values.
+LISTED_HOSTS = ("blog.tionsh.example.com", "tionble.example.org", "www.tiontion.example.net", "ththan.example.com", "ththti.example.net", "spam-farm.example.com")
+LISTED_LANGS = ("en", "de", "fr", "es")
+LISTED_BELOW = 10_000
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,7 +33,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(spark, parquet(spark, sf_dir, "documents")).drop("spans")
+    return substring_dedup.remove_repeats(spark, parquet(spark, sf_dir, "documents"), with_spans=False)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +42,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = parquet(spark, sf_dir, "pages")
-    listed = pages.where(url_filter.url_host(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_HOSTS)})\."))
-    return url_filter.filter_urls(spark, pages, listed)
+    listed = spark.range(0, LISTED_BELOW, 3).select(
+        F.explode(F.array(*[F.lit(f"https://{host}/{lang}/") for host in LISTED_HOSTS for lang in LISTED_LANGS])).alias("at"), "id"
+    ).select(F.concat("at", F.col("id").cast("string")).alias("url"))
+    return url_filter.filter_urls(spark, pages, listed).drop("maybe_listed")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +61,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(parquet(spark, sf_dir, "documents")).drop("redacted")
+    return secrets.scan_secrets(parquet(spark, sf_dir, "documents"), with_redacted=False)
 
 
 QUERIES = {
@@ -106,7 +111,8 @@ k AS (
               WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
               WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
   FROM u),
-l AS (SELECT DISTINCT key FROM k WHERE regexp_matches(host, '(^|\.)({"|".join(LISTED_HOSTS)})\.'))
+l AS (SELECT regexp_replace(h.host, '^www\.', '') || '/' || g.lang || '/' || n.id AS key
+      FROM unnest([{", ".join(f"'{h}'" for h in LISTED_HOSTS)}]) h(host), unnest([{", ".join(f"'{x}'" for x in LISTED_LANGS)}]) g(lang), range(0, {LISTED_BELOW}, 3) n(id))
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
             WHEN key IN (SELECT key FROM l) THEN 'block' ELSE 'allow' END AS verdict,

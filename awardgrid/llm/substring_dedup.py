@@ -61,6 +61,20 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int = ANCHOR) ->
     return g[pos], pos, mix((total[end] - total[begin]) * down[begin])
 
 
+def _least_documents(h: np.ndarray, doc: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, ascending, with their least document and whether any other has them."""
+    if not len(h):
+        return h, doc, np.zeros(0, bool)
+    order = np.argsort(h)
+    h, doc = h[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    low = np.minimum.reduceat(doc, first)
+    others = np.maximum.reduceat(doc, first) > low
+    if more is not None:
+        others |= np.logical_or.reduceat(more[order], first)
+    return h[first], low, others
+
+
 def bloom_filter(spark: SparkSession, keys: DataFrame, n: int):
     """The 64-bit keys ``h`` as a broadcast bit table of two bytes a key; each task looks bits up by ``passes``."""
     slots = 1 << max(12, (16 * n).bit_length() - 1)
@@ -85,7 +99,8 @@ def suffix_array(text: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.nda
     Larsson-Sadakane refinement: positions are ranked by eight bytes, and each turn sorts only the
     groups that are still tied, by the rank of what lies as far on as the depth reached, which
     doubles the depth. ``stop[i]`` is the end of the piece that position i lies in; beyond it there
-    is nothing, which sorts first.
+    is nothing, which sorts first. What is tied to the end stays in text order, so with a depth of a
+    piece's length the order is one that Kasai's bound holds for.
     """
     n = len(text)
     padded = np.concatenate([text.astype(np.uint64), np.zeros(8, np.uint64)])
@@ -115,34 +130,55 @@ def suffix_array(text: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.nda
         new[slot] = fresh
         rank[at] = np.maximum.accumulate(np.where(fresh, slot, 0))
         reach *= 2
+    slot = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
+    if len(slot):
+        at = order[slot]
+        order[slot] = at[np.argsort((rank[at].astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64))]
     return order, rank
 
 
-def common_prefixes(text: np.ndarray, stop: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
+LANE = 32
+
+
+def common_prefixes(text: np.ndarray, stop: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each place in the order, the common prefix with the place before, at most ``most``.
 
-    As in Kasai's algorithm the positions are taken in text order, each against the one sorted just
-    before it; all of them advance together, eight bytes at a time, until they differ.
+    Kasai's algorithm: positions are taken in text order, each against the one sorted just before it,
+    and a position's prefix is at least its left neighbour's less one, so comparing goes on from
+    there. The text is cut into lanes of ``LANE`` positions that advance together, eight bytes at a
+    time; only a lane's first position, or a piece's, begins at nothing.
     """
     n = len(text)
-    padded = np.concatenate([text.astype(np.uint64), np.zeros(most + 8, np.uint64)])
-    word = np.zeros(n + most, np.uint64)
+    padded = np.concatenate([text.astype(np.uint64), np.zeros(most + 16, np.uint64)])
+    word = np.zeros(n + most + 8, np.uint64)
     for j in range(8):
-        word = (word << np.uint64(8)) | padded[j : n + most + j]
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.where(place > 0, order[place - 1], -1)
+        word = (word << np.uint64(8)) | padded[j : n + most + 8 + j]
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    room = np.minimum(stop - np.arange(n), np.where(before >= 0, (stop - np.arange(n))[before], 0))
+    room = np.minimum(room, most)
+    opens = np.ones(n, bool)
+    opens[1:] = stop[1:] != stop[:-1]
     common = np.zeros(n, np.int64)
-    live = np.flatnonzero(before >= 0)
-    for j in range(0, most, 8):
-        diff = word[live + j] ^ word[before[live] + j]
-        same = diff == 0
-        part = live[~same]
-        common[part] = j + (63 - np.floor(np.log2(diff[~same].astype(np.float64))).astype(np.int64)) // 8
-        live = live[same]
-        common[live] = j + 8
-    room = stop - np.arange(n)
-    common = np.minimum(np.minimum(common, most), np.minimum(room, np.where(before >= 0, room[before], 0)))
+    for lane in range(LANE):
+        at = np.arange(lane, n, LANE)
+        low = np.where(opens[at], 0, np.maximum(common[at - 1] - 1, 0)) if lane else np.zeros(len(at), np.int64)
+        low = np.minimum(low, room[at])
+        live = np.flatnonzero(low < room[at])
+        i, h = at[live], low[live]
+        while len(i):
+            diff = word[i + h] ^ word[before[i] + h]
+            # the number of leading zero bytes of the difference; eight if there is none
+            same = np.full(len(i), 8)
+            some = np.flatnonzero(diff)
+            top = diff[some] >> np.uint64(32)
+            bits = np.frexp(np.where(top > 0, top, diff[some]).astype(np.float64))[1] + np.where(top > 0, 32, 0)
+            same[some] = (64 - bits) // 8
+            h = h + same
+            on = (same == 8) & (h < room[i])
+            low[live[~on]] = h[~on]
+            live, i, h = live[on], i[on], h[on]
+        common[at] = np.minimum(low, room[at])
     return common[order]
 
 
@@ -166,8 +202,8 @@ def shard_owners(pieces: list[bytes], owners: np.ndarray, length: int) -> tuple[
     text = np.frombuffer(b"".join(pieces), np.uint8)
     piece = np.repeat(np.arange(len(pieces)), size)
     stop = end[piece]
-    order, rank = suffix_array(text, stop, length)
-    common = common_prefixes(text, stop, order, rank, length)
+    order, _ = suffix_array(text, stop, int(size.max(initial=0)))
+    common = common_prefixes(text, stop, order, length)
     whole = stop[order] - order >= length
     # a short suffix sorts before the windows that it begins, never between equal ones
     at = order[whole]
@@ -213,14 +249,18 @@ def remove_repeats(
     shard_bytes: int = 1 << 20,
     hot_pieces: int = 50_000,
     filter_keys: int = 16_000_000,
+    part_bytes: int = 16 << 20,
+    hot_windows: int = 5_000,
+    with_spans: bool = True,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row.
 
     Every byte is removed that a string of ``length`` bytes covers which also starts in a document
     with a smaller id, as the input has it; ``spans`` lists the removed runs (start, end) in bytes.
 
-    1. Anchors are counted over all documents: (hash, least id, greatest id, number), summed before
-       the shuffle. Those of two documents or more are *shared*.
+    1. The anchors of all documents are dealt by their hashes, packed, the same ones of a few slices
+       as one. Those of two documents or more are *shared*. A part is the anchors of about
+       ``part_bytes`` of text.
     2. A second scan keeps the texts with shared anchors; the rest is settled there. Shared hashes
        are looked up in a Bloom filter (broadcast, two bytes a key) while they are at most
        ``filter_keys``, and by the exact join that follows in any case.
@@ -228,28 +268,63 @@ def remove_repeats(
        least lose those bytes. The others' bytes go to their shard (see ``shard_owners``), equal
        pieces once. An anchor of over ``hot_pieces`` pieces has no shard: its windows are spread over
        all tasks by their own bytes, with their owners' minimum taken before the shuffle, and joined
-       back.
+       back; strings of over ``hot_windows`` windows, of which there can't be many, by a broadcast
+       that is counted first.
     4. Covered windows come back by document and are united there.
 
     Null text counts as empty. Null ids are left alone: they neither lose bytes nor own strings.
-    Rows with the same id don't take strings from each other. Repeated rows give equal rows.
-    Empty tables give no rows. Other columns are ignored.
+    Rows with the same id don't take strings from each other. Repeated rows give equal rows. Texts of
+    any length are read whole, slice by slice of at least one text. Empty tables give no rows. Other
+    columns are ignored, whatever their names. ``with_spans`` False leaves the spans out.
     """
     scratch = Scratch(spark, "substrings")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 << max(4, (total // part_bytes).bit_length())
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each part of the hashes, the anchors of some slices: hashes, their least documents, whether there are others."""
+
+        def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            h, low, more = _least_documents(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            cut = np.searchsorted(h, np.arange(1, parts, dtype=np.uint64) << np.uint64(65 - parts.bit_length()))
+            cut = np.concatenate([[0], cut, [len(h)]])
+            some = np.flatnonzero(np.diff(cut))
+            take = lambda v: pa.array([v[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
+            return pa.record_batch([pa.array(some.astype(np.int32)), take(h), take(low), take(more)], ["part", "h", "low", "more"])
+
+        held, size = [], 0
         for batch in batches:
-            ids = batch.column("doc")
+            ids = batch.column("doc").to_numpy()
             for lo, hi, data, offs in slices(batch.column("text"), SLICE):
                 h, pos, _ = anchors(data, offs, length)
-                doc = ids.slice(lo, hi - lo).take(pa.array(np.searchsorted(offs, pos, "right") - 1))
-                yield pa.record_batch([pa.array(h.view(np.int64)), doc], ["h", "doc"])
+                held.append((h, ids[lo:hi][np.searchsorted(offs, pos, "right") - 1]))
+                size += len(h)
+                if size > 1 << 18:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+        give_back()
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hashes of one part that several documents have."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size, last = 0, 0
+        for batch in batches:
+            for h, low, more in zip(*(batch.column(c) for c in ("h", "low", "more")), strict=True):
+                held.append((np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(low.as_buffer(), np.int64), np.frombuffer(more.as_buffer(), bool)))
+                size += len(held[-1][0])
+            if size > 2 * last + (1 << 20):  # what many slices share is merged on the way
+                held = [_least_documents(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                size = last = len(held[0][0])
+        h, _, more = _least_documents(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.record_batch([pa.array(h[more].view(np.int64))], ["h"])
         give_back()
 
-    found = rows.where("doc is not null").mapInArrow(find, "h long, doc long")
-    shared = found.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high")
-    shared = scratch.keep(shared.select("h"), "shared")
+    found = rows.where("doc is not null").mapInArrow(find, "part int, h binary, low binary, more binary")
+    shared = scratch.keep(found.groupBy("part").applyInArrow(together, "h long"), "shared")
     keys = shared.count()
     bits = bloom_filter(spark, shared, keys) if keys <= filter_keys else None
 
@@ -349,10 +424,19 @@ def remove_repeats(
         windows = windows.withColumn("o", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - length))).select(
             "doc", "uid", (F.col("start") + F.col("o")).alias("s"), F.expr(f"substring(piece, o + 1, {length})").alias("string")
         )
-        least = windows.groupBy("string").agg(F.min("doc").alias("least"))
-        lost = lost.union(windows.join(least, "string").where("doc > least").select("uid", "s", (F.col("s") + length).cast("int")))
+        least = windows.groupBy("string").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most")
+        least = scratch.keep(least.select("string", "least", "n"), "least")
+        many = least.where(F.col("n") > hot_windows).select("string", "least")
+        rest = least.where(F.col("n") <= hot_windows).select("string", "least")
+        if (n := many.count()) and n <= 1_000_000:
+            met = windows.join(F.broadcast(many), "string").select("uid", "s", "doc", "least")
+            cool = windows.join(F.broadcast(many.select("string")), "string", "left_anti")
+            met = met.union(cool.join(rest, "string").select("uid", "s", "doc", "least"))
+        else:
+            met = windows.join(least.select("string", "least"), "string").select("uid", "s", "doc", "least")
+        lost = lost.union(met.where("doc > least").select("uid", "s", (F.col("s") + length).cast("int")))
     lost = scratch.keep(lost, "lost_mixed").union(scratch.keep(same, "lost_same"))
-    scratch.drop("kinds", "hot")
+    scratch.drop_others("looked", "lost_mixed", "lost_same")
     spans = lost.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("lost"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,11 +459,14 @@ def remove_repeats(
                     sha = hashlib.sha256(b"".join([*kept, data[upto:]])).hexdigest()
                 out.append((sum(b - a for a, b in runs), len(runs), sha, runs))
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())))
-            yield pa.record_batch([batch.column("doc"), batch.column("n_bytes"), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())))[: 3 + with_spans]
+            yield pa.record_batch(
+                [batch.column("doc"), batch.column("n_bytes"), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=False)]],
+                ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"][: 5 + with_spans],
+            )
 
-    judged = near.join(spans, "uid", "left").select("doc", "n_bytes", "sha", "raw", "lost").mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
+    judged = near.join(spans, "uid", "left").select("doc", "n_bytes", "sha", "raw", "lost").mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<int>>" * with_spans)
     clean = looked.where("raw is null").select(
-        "doc", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast("array<array<int>>").alias("spans")
+        "doc", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), *[F.array().cast("array<array<int>>").alias("spans")] * with_spans
     )
     return judged.union(clean).withColumnRenamed("doc", id_col)

@@ -65,23 +65,25 @@ def filter_urls(
     urls_per_block: int = 16,
     filter_bytes: int = FILTER_BYTES,
 ) -> DataFrame:
-    """(id, host, path, rule, verdict, listed) of every page; blocked if a rule or the list says so.
+    """(id, host, path, rule, verdict, listed, maybe_listed) of every page; blocked if a rule or the list says so.
 
     A blocked Bloom filter is a table of blocks of four 64-bit words; a listed canonical URL sets
     one bit in each word of one block, so a probe touches one row. A page whose four bits are all
-    set may be listed: only such pages go on to the exact hash join with the list, which removes
-    the false positives; the rest are settled at once. The filter's size follows from the length of
-    the list and is checked: up to ``filter_bytes`` it is broadcast, beyond that it is joined by
-    block in a shuffle. Pages with equal URLs need no care: the list is distinct, so the join adds
-    no rows, and Spark may split its large partitions.
+    set may be listed (``maybe_listed``): only such pages ask the exact hash join with the list by
+    their URL, which removes the false positives. Pages are read once. The filter's size follows
+    from the length of the list and is checked: up to ``filter_bytes`` it is broadcast, beyond that
+    it is joined by block in a shuffle; so is the list, at 200 bytes a URL. Pages with equal URLs need
+    no care: the list is distinct, so the join adds no rows, and Spark may split its large partitions.
 
     Null url, or one without ``://``: empty host and path, no rule, ``allow``. Repeated rows are
-    kept. Empty tables work on both sides. Only the named columns are read.
+    kept; very long URLs are read whole. Empty tables work on both sides. Only the named columns are
+    read, whatever the others are called.
     """
     scratch = Scratch(spark, "urls")
     host, path = url_host(F.col(listed_col)), url_path(F.col(listed_col))
     keys = scratch.keep(listed.select(canonical(host, path).alias("key")).where("key is not null").distinct(), "keys")
-    blocks = max(1, math.ceil(keys.count() / urls_per_block))
+    n = keys.count()
+    blocks = max(1, math.ceil(n / urls_per_block))
     words = [f"w{i}" for i in range(WORDS_PER_BLOCK)]
     bloom = keys.select(*_bits(F.col("key"), blocks)).groupBy("block").agg(*[F.bit_or(f"bit{i}").alias(w) for i, w in enumerate(words)])
     if blocks * (8 + 8 * WORDS_PER_BLOCK) <= filter_bytes:
@@ -94,13 +96,16 @@ def filter_urls(
         .select("id", "host", "path", "key", rule.alias("rule"), says.alias("says"), *_bits(F.col("key"), blocks))
         .join(bloom, "block", "left")
     )
-    hit = F.lit(True)
+    hit = F.col("key").isNotNull()
     for i, w in enumerate(words):
         hit = hit & (F.col(w).bitwiseAND(F.col(f"bit{i}")) != 0)
-    probed = probed.withColumn("maybe", F.coalesce(hit & F.col("key").isNotNull(), F.lit(False)))
-    out = ["id", "host", "path", "rule", "says"]
-    sure = probed.where("not maybe").select(*out, F.lit(False).alias("listed"))
-    exact = probed.where("maybe").select(*out, "key").join(keys.select("key", F.lit(True).alias("found")), "key", "left")
-    both = sure.union(exact.select(*out, F.coalesce("found", F.lit(False)).alias("listed")))
-    verdict = F.coalesce("says", F.when(F.col("listed"), "block").otherwise("allow"))
-    return both.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "listed")
+    # what the filter rules out looks for a key that no list has, another one for each page, so it
+    # neither finds anything nor gathers in one partition
+    asked = F.when(F.coalesce(hit, F.lit(False)), F.col("key")).otherwise(F.concat(F.lit("\n"), F.hash("id", "host", "path").cast("string")))
+    known = keys.select(F.col("key").alias("asked"), F.lit(True).alias("found"))
+    if n * 200 <= filter_bytes:
+        known = F.broadcast(known)
+    found = probed.withColumn("asked", asked).join(known, "asked", "left")
+    listed_in = F.coalesce("found", F.lit(False))
+    verdict = F.coalesce("says", F.when(listed_in, "block").otherwise("allow"))
+    return found.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), listed_in.alias("listed"), F.coalesce(hit, F.lit(False)).alias("maybe_listed"))

@@ -87,7 +87,7 @@ def brute_components(rows, k):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf": 2, "depth": 2, "chunk": 4}])
+@pytest.mark.parametrize("options", [{}, {"leaf": 2, "depth": 2, "chunk": 4, "block": 3}, {"leaf": 3, "depth": 3, "chunk": 5, "bucket_words": 100}])
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_duplicates(spark, docs, rows, k, options):
     """With tiny leaves nearly every group goes the heavy way."""
@@ -251,7 +251,7 @@ def test_pack_fills_sequences():
         assert len(used) * 256 - sum(lengths) < 256
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_pieces": 3}, {"filter_keys": -1}, {"shard_bytes": 5000}])
+@pytest.mark.parametrize("options", [{}, {"hot_pieces": 3}, {"hot_pieces": 3, "hot_windows": 4}, {"filter_keys": -1}, {"shard_bytes": 5000}, {"part_bytes": 1000}])
 def test_substrings(spark, docs, rows, options):
     length = 50
     owner, want = {}, {}
@@ -285,11 +285,12 @@ def test_suffix_array_sorts():
     text = np.frombuffer(b"".join(pieces), np.uint8)
     end = np.cumsum([len(p) for p in pieces])
     stop = np.repeat(end, [len(p) for p in pieces])
-    order, rank = substring_dedup.suffix_array(text, stop, 64)
+    order, _ = substring_dedup.suffix_array(text, stop, 128)
     raw = text.tobytes()
     suffix = [raw[i : stop[i]][:64] for i in order]
     assert suffix == sorted(suffix)
-    common = substring_dedup.common_prefixes(text, stop, order, rank, 50)
+    assert [raw[i : stop[i]] for i in order] == sorted(raw[i : stop[i]] for i in range(len(raw)))
+    common = substring_dedup.common_prefixes(text, stop, order, 50)
     for a, b, n in zip(suffix, suffix[1:], common[1:], strict=False):
         k = 0
         while k < min(len(a), len(b), 50) and a[k] == b[k]:

@@ -171,8 +171,8 @@ def near_duplicates(
     full sets. Each text goes to its cluster once. A cluster of up to ``chunk`` documents is compared
     exhaustively. A larger one is compared in chunks of bounded size, each together with a few pivots
     of the cluster; then the sketches of every document outside its largest connected part are
-    compared, in blocks, with those of the whole cluster, and candidates between different parts are
-    confirmed on full sets. So no link between the parts of a cluster is lost and no group of any size
+    compared, in blocks, with those of the whole cluster, and documents with candidates in another
+    part are compared on full sets, in blocks again. So no link between the parts of a cluster is lost and no group of any size
     meets in one task. Pairs inside a connected part need no comparison.
 
     A document of fewer words than ``shingle`` has its whole sequence as its one shingle. Null and
@@ -304,35 +304,54 @@ def near_duplicates(
             asked = rest.select(*kept, every("asking").alias("i"), of(6, "asked").alias("j"), F.lit(False).alias("asks"))
 
             def between(table: pa.Table) -> pa.Table:
+                """The documents of two blocks that have any candidate in another connected part."""
                 asks = table["asks"].to_numpy()
                 one, two = ({c: table[c].to_numpy()[x] for c in ("doc", "n", "b0", "b1", "root")} for x in (asks, ~asks))
-                out = []
+                met = np.zeros(len(two["doc"]), bool)
+                found = [np.zeros(0, np.int64)]
                 for lo in range(0, len(one["doc"]), 256):
                     x = {c: v[lo : lo + 256, None] for c, v in one.items()}
                     near = near_sketches(x["n"], x["b0"], x["b1"], two["n"], two["b0"], two["b1"], percent, least_bits) & (x["root"] != two["root"])
-                    i, j = np.nonzero(near)
-                    out.append((one["doc"][lo + i], two["doc"][j]))
-                a, b = ([np.concatenate(v) for v in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2)
-                return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-            pairs = asking.union(asked).groupBy("cluster", "i", "j").applyInArrow(between, "a long, b long").distinct()
-            pairs = scratch.keep(pairs, "pairs", n_reps)
-
-            def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    one, two = sets_of(batch.column("text_a"), shingle), sets_of(batch.column("text_b"), shingle)
-                    both = np.array([np.intersect1d(x, y, assume_unique=True).size for x, y in zip(one, two, strict=True)], np.int64)
-                    size = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)], np.int64)
-                    near = pa.array((100 * both >= percent * (size - both)) & (both > 0))
-                    yield pa.record_batch([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
-                give_back()
-
-            n_pairs = pairs.count()
-            if n_pairs:
-                asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-                told = scratch.keep(rows.where("text is not null").join(few(asked, 2 * n_pairs), "doc", "left_semi"), "told")
-                side = lambda s: told.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}"))
-                more = few(pairs, n_pairs).join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+                    found.append(x["doc"][near.any(1), 0])
+                    met |= near.any(0)
+                asking = np.concatenate(found)
+                return pa.table({"doc": np.concatenate([asking, two["doc"][met]]), "asks": np.concatenate([np.ones(len(asking), bool), np.zeros(met.sum(), bool)])})
+
+            live = scratch.keep(asking.union(asked).groupBy("cluster", "i", "j").applyInArrow(between, "doc long, asks boolean").distinct(), "live", 2 * n_reps)
+            n_live = live.count()
+            if n_live:
+                # those are compared on full sets, in blocks of half a chunk
+                half = chunk // 2
+                held = rest.select("doc", "cluster", "n", "root").join(few(live, n_live), "doc")
+                parts = held.groupBy("cluster").agg(*[F.greatest(F.lit(1), F.ceil(F.greatest(F.count_if(w) / half, 2 * F.sum(F.when(w, F.col("n")).otherwise(0)) / bucket_words))).alias(k) for k, w in (("asking", F.col("asks")), ("asked", ~F.col("asks")))])
+                held = held.join(few(parts, n_large), "cluster")
+                kept = ["doc", "root", "cluster"]
+                sides = [held.where("asks").select(*kept, of(4, "asking").alias("i"), every("asked").alias("j"), "asks"), held.where("not asks").select(*kept, every("asking").alias("i"), of(6, "asked").alias("j"), "asks")]
+                told = scratch.keep(rows.where("text is not null").join(few(live.select("doc").distinct(), n_live), "doc", "left_semi").dropDuplicates(["doc"]), "told")
+
+                def across(table: pa.Table) -> pa.Table:
+                    """Links between the connected parts of two blocks, no more than connect them."""
+                    ids, asks, root = (table[c].to_numpy() for c in ("doc", "asks", "root"))
+                    sets = sets_of(table["text"].combine_chunks(), shingle)
+                    size, both = np.array([len(x) for x in sets]), overlaps(sets)
+                    near = (100 * both >= percent * (size[:, None] + size[None] - both)) & (both > 0) & asks[:, None] & ~asks[None] & (root[:, None] != root[None])
+                    part = {int(r): int(r) for r in root}
+
+                    def top(x: int) -> int:
+                        while part[x] != x:
+                            x = part[x]
+                        return x
+
+                    found = []
+                    for i, j in zip(*np.nonzero(near), strict=True):
+                        x, y = top(int(root[i])), top(int(root[j]))
+                        if x != y:
+                            part[max(x, y)] = min(x, y)
+                            found.append((int(ids[i]), int(ids[j])))
+                    give_back()
+                    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+                more = sides[0].union(sides[1]).join(told, "doc").groupBy("cluster", "i", "j").applyInArrow(across, "a long, b long")
                 known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
                 roots = scratch.keep(connected_components(scratch, scratch.keep(more.union(known), "links2")), "roots2", n_reps)
     scratch.drop_others("sketched", "equal", "roots", "roots2")

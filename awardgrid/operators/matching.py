@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,17 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def merge_veto(rows: DataFrame, reference: str, label: str, value: str, tolerance: float) -> DataFrame:
-    """For each pair of labels: references where both occur with no close values, with close ones, and the veto.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own if the driver is the only
+    machine (tests), else one below the warehouse, which all machines see."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            found = "file://" + tempfile.mkdtemp(prefix="awardgrid-")
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
-    Labels of one reference are paired by a self equi-join on the reference; values are distinct
-    first, so the pairs are bounded by a reference's own labels and values.
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and reread: what several later steps read is made once, and
+    outlives a lost executor. Deleted when the driver ends."""
+    spark = df.sparkSession
+    home = f"{shared_folder(spark)}/awardgrid/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(home)
+    return spark.read.schema(df.schema).parquet(home)
+
+
+def merge_veto(rows: DataFrame, reference: str, label: str, value: str, source: str, told: int = 60) -> DataFrame:
+    """For each pair of labels: tenders where they have no value in common, those where they have one, and the veto.
+
+    Tenders where two labels share a source line (its first ``told`` characters) don't count: they were
+    read from one line. More tenders that differ than agree veto a merge. A tender's labels meet in a
+    self equi-join on the tender; their values and lines travel as sets.
     """
-    base = rows.select(F.col(reference).alias("r"), F.col(label).alias("a"), F.col(value).alias("v")).distinct()
-    other = base.select("r", F.col("a").alias("b"), F.col("v").alias("w"))
-    near = (F.abs(F.col("v") - F.col("w")) < tolerance).cast("int")
-    pair = base.join(other, "r").where("a < b").groupBy("r", "a", "b").agg(F.max(near).alias("same"))
-    out = pair.groupBy("a", "b").agg(F.count_if(F.col("same") == 0).alias("diff"), F.count_if(F.col("same") == 1).alias("same"))
+    per = rows.groupBy(F.col(reference).alias("r"), F.col(label).alias("a")).agg(F.collect_set(value).alias("v"), F.collect_set(F.substring(source, 1, told)).alias("s"))
+    other = per.select("r", F.col("a").alias("b"), F.col("v").alias("w"), F.col("s").alias("t"))
+    pair = per.join(other, "r").where((F.col("a") < F.col("b")) & ~F.arrays_overlap("s", "t")).select("a", "b", F.arrays_overlap("v", "w").alias("same"))
+    out = pair.groupBy("a", "b").agg(F.count_if(~F.col("same")).alias("diff"), F.count_if("same").alias("same"))
     return out.withColumn("veto", F.col("diff") > F.col("same"))
 
 
@@ -29,11 +54,9 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     Each round takes the least label among a node and its neighbours and then the label's own label,
     so labels travel in doubling steps; rounds are written to the checkpoint folder.
     """
-    root_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root_dir:
-        root_dir = "file://" + tempfile.mkdtemp(prefix="awardgrid-")
-        spark.conf.set("spark.checkpoint.dir", root_dir)
-    home = f"{root_dir.rstrip('/')}/awardgrid/components-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/awardgrid/components-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{home}/{name}")

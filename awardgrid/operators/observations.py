@@ -6,7 +6,6 @@ A document's lines are rows; what a line needs from its neighbours comes from wi
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +69,8 @@ def harvest(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         .withColumn("label_src", F.when(F.col("own").isNotNull(), "inline").when(F.col("up").isNotNull(), "above"))
         .where("label_src is not null")
         .withColumn("label", F.coalesce("own", "up.key")).withColumn("raw_label", F.substring(F.when(F.col("own").isNotNull(), F.col("raw")).otherwise(F.col("up.raw")), 1, 120))
-        .withColumn("v", F.explode("values"))
+        .select("*", F.posexplode("values").alias("nth", "v"))
+        .withColumn("row_seq", F.col("line_no") * 1000 + F.col("nth"))
     )
     unit = F.col("v.unit")
     rows = rows.withColumn("unit_resolved", M.resolved_unit(unit, F.col("v.tail"))).withColumn("value", M.parse_number(F.col("v.value_text")))
@@ -79,7 +79,7 @@ def harvest(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     kept = F.max(F.col("in_scope")).over(Window.partitionBy(*keys))
     rows = rows.withColumn("kept", kept).where("in_scope or not kept").withColumn("scope", F.when((F.col("scope") == "section") & ~F.col("kept"), "whole_empty").otherwise(F.col("scope")))
     return rows.select(
-        *keys, "line_no", "label", "raw_label", "label_src", "comparator", "comp_src", "value", F.col("v.value_text").alias("value_text"), unit.alias("unit"), "unit_resolved",
+        *keys, "line_no", "row_seq", "label", "raw_label", "label_src", "comparator", "comp_src", "value", F.col("v.value_text").alias("value_text"), unit.alias("unit"), "unit_resolved",
         M.dimension(unit).alias("dimension"), unit.isin(*M.SOFT_UNITS).alias("soft_unit"), line.rlike(M.PART_NUMBER).alias("part_number_line"), "scope",
         F.coalesce("section", F.lit("")).alias("section"), "context", F.substring(F.regexp_replace("line", r"\s+", " "), 1, 200).alias("source_line"),
     )
@@ -110,14 +110,14 @@ def fold_restatements(rows: DataFrame, keys: list[str], tolerance: float = 0.02)
     """Values of one label and dimension on one line that agree within 2 % are one: the metric one, met first.
 
     The fold is greedy and depends on the order, so a line's values are folded in one small array:
-    ``aggregate`` keeps a list of survivors. Rows that didn't convert pass through.
+    ``aggregate`` keeps a list of survivors. Rows, in the order of ``row_seq`` within their line, that
+    didn't convert pass through.
     """
     on = [*keys, "line_no", "label", "dimension"]
     other = [c for c in rows.columns if c not in on]
     plain = rows.where("base_value is null").select(*on, *other, F.lit(1).alias("restated"), F.lit("").alias("also_stated_as"))
     first = F.when(F.col("unit").isin(*M.METRIC_FIRST), 0).otherwise(1)
-    seq = "row_seq" if "row_seq" in rows.columns else "value_text"
-    row = F.struct(first.alias("_o"), F.col(seq).alias("_s"), *other)
+    row = F.struct(first.alias("_o"), F.col("row_seq").alias("_s"), *other)
     kept_type = rows.select(F.struct(F.struct(*other).alias("row"), F.lit(1).alias("restated"), F.lit("").alias("also_stated_as")).alias("k")).schema["k"].dataType.simpleString()
     plain_row = lambda r: F.struct(*[r[c].alias(c) for c in other])
     same = lambda k, r: F.abs(k["row"]["base_value"] - r["base_value"]) <= tolerance * F.greatest(F.abs(r["base_value"]), F.lit(1e-9))
@@ -140,63 +140,46 @@ def apply_label_map(rows: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def dedup_observations(rows: DataFrame, reference: str, family: Column, order: list[Column]) -> DataFrame:
-    """One row per reference, family, label, value and upper end; ``restated`` counts afresh."""
-    key = F.struct(F.col(reference), family, "label", F.coalesce(F.col("base_value").cast("string"), "value"), F.coalesce("base_unit", "unit"), F.coalesce(F.col("base_hi").cast("string"), F.lit("")))
+    """One row per reference, family, label, value and upper end, the first in ``order``; ``restated`` counts afresh."""
+    key = F.struct(F.col(reference), family, "label", F.coalesce(F.col("base_value").cast("string"), "value"), F.coalesce("base_unit", "unit"), F.coalesce(F.col("base_hi").cast("string"), F.col("value_hi").cast("string") if "value_hi" in rows.columns else F.lit(None).cast("string"), F.lit("")))
     keyed = rows.withColumn("_k", key)
     w = Window.partitionBy("_k")
     return keyed.withColumn("restated", F.count("*").over(w)).withColumn("_n", F.row_number().over(w.orderBy(*order))).where("_n = 1").drop("_k", "_n")
 
 
-def label_statistics(rows: DataFrame, keys: list[str], reference: str) -> DataFrame:
-    """Per label: tenders, rows, comparators, inferred labels, converted values and their median, dates."""
+def label_statistics(rows: DataFrame, keys: list[str], reference: str, most: int = 4) -> DataFrame:
+    """Per label: tenders, rows, comparators, labels from above, converted values and their median, first and
+    last date, and its most frequent raw spellings (the first by name at a tie)."""
+    from awardgrid.operators.selection import top_k
+
+    on = [*keys, "dimension", "label"]
     counts = [F.count_if(F.col("comparator") == c).alias(c.lower()) for c in ("GE", "LE", "RANGE", "EQ", "NONE")]
-    return rows.groupBy(*keys, "dimension", "label").agg(
+    out = rows.groupBy(*on).agg(
         F.count_distinct(reference).alias("tenders"), F.count("*").alias("observations"), *counts, F.count_if(F.col("label_src") == "above").alias("above"),
-        F.count("base_value").alias("converted"), F.median("base_value").alias("median_value"),
+        F.count("base_value").alias("converted"), F.median("base_value").alias("median_value"), F.min("pub_date").alias("first_date"), F.max("pub_date").alias("last_date"),
+    )
+    raw = top_k(rows.groupBy(*on, "raw_label").agg(F.count("*").alias("_n")), on, [F.desc("_n"), F.asc("raw_label")], most, "_r")
+    raw = raw.groupBy(*on).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "raw_label"))), lambda x: x["raw_label"]).alias("spellings"))
+    return out.join(raw, on, "left")
+
+
+def hygiene(rows: DataFrame) -> DataFrame:
+    """How observations came about: shares of sources, scopes, soft units, part numbers and unknown dimensions."""
+    share = lambda c: (F.count_if(c) / F.count("*"))
+    return rows.agg(
+        F.count("*").alias("observations"), *[share(F.col("comp_src") == x).alias(f"comparator_{x}") for x in ("inline", "window", "none")], *[share(F.col("label_src") == x).alias(f"label_{x}") for x in ("inline", "above")],
+        *[share(F.col("scope") == x).alias(f"scope_{x}") for x in ("section", "whole", "whole_empty")], share(F.col("soft_unit")).alias("soft_unit"), share(F.col("part_number_line")).alias("part_number"), share(F.col("dimension").isNull()).alias("no_dimension"),
     )
 
 
-def question_mask(lines: DataFrame, keys: list[str], question: str = r"(?i)^\s*(?:Q|Question)\s*\d*\s*[:.)]", answer: str = r"(?i)^\s*(?:A|R|Answer|Réponse)\s*\d*\s*[:.)]", reach: int = 40) -> DataFrame:
-    """Adds ``asked``: the line is a bidder's question.
+def extract_observations(docs: DataFrame, notices: DataFrame, run_id: str, group: str) -> DataFrame:
+    """The observations of tenders as the knowledge base stores them: read, banded, converted, folded.
 
-    A question runs from its marker to the next answer marker, if that comes within ``reach`` lines
-    and before another question, else to the first blank line after its text. One document's lines
-    are walked in order.
+    docs: reference, document, text. notices: reference, unspsc8, pub_date. A tender without a code
+    has its group's.
     """
-    import re
-
-    q, a = re.compile(question), re.compile(answer)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        text, asked = pdf["line"].fillna("").tolist(), [False] * len(pdf)
-        i = 0
-        while i < len(text):
-            if not q.match(text[i]):
-                i += 1
-                continue
-            end = next((j for j in range(i + 1, min(len(text), i + reach + 1)) if a.match(text[j]) or q.match(text[j])), None)
-            if end is None or not a.match(text[end]):
-                end = next((j for j in range(i + 1, len(text)) if not text[j].strip()), len(text)) if end is None else end
-            asked[i:end] = [True] * (end - i)
-            i = end
-        return pdf.assign(asked=asked)
-
-    return lines.groupBy(*keys).applyInPandas(walk, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema) + ", asked boolean")
-
-
-def merge_spellings(findings: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Longer names that begin with a shorter one's words join it: (keys, name, also_written)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = list(dict.fromkeys(pdf[name].dropna()))
-        words = {n: n.lower().split() for n in names}
-        hosts: dict[str, list[str]] = {}
-        for n in sorted(names, key=lambda n: (len(words[n]), names.index(n))):
-            host = next((h for h in hosts if words[n][: len(words[h])] == words[h]), None)
-            hosts[host].append(n) if host else hosts.setdefault(n, [])
-        rows = [{**{k: pdf[k].iloc[0] for k in keys}, name: h, "also_written": hosts[h]} for h in names if h in hosts]
-        return pd.DataFrame(rows, columns=[*keys, name, "also_written"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in findings.select(*keys, name).schema)
-    return findings.groupBy(*keys).applyInPandas(one, kinds + ", also_written array<string>")
+    keys = ["reference", "document"]
+    rows = fold_restatements(convert_units(collapse_bands(harvest(docs, keys), keys)), keys)
+    told = rows.join(notices.select("reference", "unspsc8", "pub_date"), "reference", "left")
+    file = F.concat("reference", F.lit("__"), "document", F.lit(".txt"))
+    return told.withColumns({"unspsc8": F.coalesce(F.when(F.col("unspsc8") != "", F.col("unspsc8")), F.lit(group)), "pub_date": F.coalesce("pub_date", F.lit("")), "run_id": F.lit(run_id), "file": file})

@@ -23,6 +23,50 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Adds the place of each row in ``order``, from 1, whatever the keys look like.
+
+    Rows are sorted into ranges and written; each range's rows are numbered where they lie, on top of
+    the sizes of the ranges before it. No task sees more than a range.
+    """
+    import uuid
+
+    from awardgrid.operators.matching import shared_folder
+
+    spark = df.sparkSession
+    home = f"{shared_folder(spark)}/awardgrid/numbered-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    at = _fresh(df, "_at")
+    df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()).write.parquet(home)
+    rows = spark.read.schema(df.schema.add(at, "long")).parquet(home).withColumn("_range", F.shiftright(at, 33))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_range", before.alias("_before"))  # a row for each range
+    return rows.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col(at).bitwiseAND((1 << 33) - 1) + 1).drop(at, "_range", "_before")
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], stretch: Column, aggregates: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Adds, for each row, aggregates over the rows of its key that come before it in ``order``.
+
+    ``stretch`` cuts a key's order into stretches (a day, say) and never falls along it. A window only
+    sorts a key's stretch; what lies in earlier stretches is one row for each. aggregates: name ->
+    (count, sum, min or max, column).
+    """
+    kinds = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    joins = {"count": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "sum": lambda a, b: F.when(a.isNull(), b).otherwise(a + F.coalesce(b, F.lit(0))), "min": F.least, "max": F.greatest}
+    rows = df.withColumn("_stretch", stretch).withColumns({f"_v_{n}": c for n, (_, c) in aggregates.items()})
+    whole = rows.groupBy(*keys, "_stretch").agg(*[kinds[k](f"_v_{n}").alias(f"_w_{n}") for n, (k, _) in aggregates.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    over = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    carried = whole.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_stretch").alias("_s"), *[over[k](f"_w_{n}").over(earlier).alias(f"_c_{n}") for n, (k, _) in aggregates.items()])
+    here = Window.partitionBy(*keys, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_h_{n}": kinds[k](f"_v_{n}").over(here) for n, (k, _) in aggregates.items()})
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_stretch").eqNullSafe(F.col("_s"))]
+    out = rows.join(carried, on, "left").withColumns({n: joins[k](F.col(f"_c_{n}"), F.col(f"_h_{n}")) for n, (k, _) in aggregates.items()})
+    return out.select(*df.columns, *aggregates)
+
+
 def evenly_spaced(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """At most k rows of each group, evenly spaced in its order: those at int(i * n / k)."""
     w = Window.partitionBy(*keys)
@@ -54,8 +98,12 @@ def collapse_pairs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return pair.where("n = 2 and d = 2").select(*keys, "low", "high", (F.col("high") - F.col("low")).alias("width"), ((F.col("high") + F.col("low")) / 2).alias("middle"))
 
 
-def keep_first_counted(df: DataFrame, keys: list[str], order: list[Column], count: str = "restated") -> DataFrame:
-    """The first row of each key with the number of rows that share the key."""
-    name = _fresh(df, "nth")
-    w = Window.partitionBy(*keys)
-    return df.withColumn(count, F.count("*").over(w)).withColumn(name, F.row_number().over(w.orderBy(*order))).where(F.col(name) == 1).drop(name)
+def keep_first_counted(df: DataFrame, keys: list[str], order: list[str], count: str = "restated") -> DataFrame:
+    """The row of each key that is least by the columns ``order``, with the number of rows that share the key.
+
+    Both are combined before the shuffle.
+    """
+    other = [c for c in df.columns if c not in keys]
+    first = F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*other).alias("_row")))
+    out = df.groupBy(*keys).agg(first.alias("_first"), F.count("*").alias("_count"))
+    return out.select(*keys, *[F.col(f"_first._row.{c}").alias(c) for c in other if c != count], F.col("_count").alias(count))

@@ -13,21 +13,31 @@ from pyspark.sql import functions as F
 MAD_SCALE = 1.4826
 
 
-def group_median_mad(df: DataFrame, keys: list[str], value: str, least: int = 20, digits: tuple[int, int] | None = None) -> DataFrame:
+def group_median_mad(df: DataFrame, keys: list[str], value: str, least: int = 20, digits: tuple[int, int] | None = None, large: bool = False) -> DataFrame:
     """Per group: n, median and scaled median absolute deviation, for groups of ``least`` values or more.
 
-    Null values are left out; a null key is a group. ``digits`` rounds the median and the deviation,
-    the latter taken from the rounded median.
+    Null values are left out; a null key is a group. The deviation is taken from the median as it is;
+    ``digits`` rounds both afterwards. ``large``: few groups, each of which may be too large for a task.
     """
-    rows = df.where(F.col(value).isNotNull())
-    centre = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.median(value).alias("median")).where(F.col("n") >= least)
-    if digits:
-        centre = centre.withColumn("median", F.bround("median", digits[0]))
-    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    far = rows.alias("r").join(F.broadcast(centre).alias("c") if len(keys) == 0 else centre.alias("c"), on)
-    mad = (F.median(F.abs(F.col(f"r.{value}") - F.col("c.median"))) * MAD_SCALE).alias("mad")
-    out = far.groupBy(*[F.col(f"c.{k}").alias(k) for k in keys], F.col("c.n").alias("n"), F.col("c.median").alias("median")).agg(mad)
-    return out.withColumn("mad", F.bround("mad", digits[1])) if digits else out
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    centre = large_group_median(rows, keys, "_x") if large else rows.groupBy(*keys).agg(F.count("*").alias("n"), F.median("_x").alias("median"))
+    centre = centre.where(F.col("n") >= least)
+    on = [F.col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)]
+    far = rows.join(centre.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], "n", "median"), on)
+    far = far.select(*keys, "n", "median", F.abs(F.col("_x") - F.col("median")).alias("_far"))
+    if large:
+        out = _deviation(far, keys)
+    else:
+        out = far.groupBy(*keys, "n", "median").agg(F.median("_far").alias("mad"))
+    out = out.withColumn("mad", F.col("mad") * MAD_SCALE)
+    return out.withColumns({"median": F.bround("median", digits[0]), "mad": F.bround("mad", digits[1])}) if digits else out
+
+
+def _deviation(far: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, median, mad) from rows with their distance from the group's median."""
+    own = far.select(*keys, F.col("median").alias("_median"), "_far")
+    found = large_group_median(own, [*keys, "_median"], "_far")
+    return found.select(*keys, "n", F.col("_median").alias("median"), F.col("median").alias("mad"))
 
 
 def z_score(value: Column, median: Column, mad: Column) -> Column:
@@ -35,56 +45,103 @@ def z_score(value: Column, median: Column, mad: Column) -> Column:
     return F.when(mad > 0, (value - median) / mad)
 
 
-def nested_peer_stats(df: DataFrame, keys: list[str], member: str, value: str, least: int = 8) -> DataFrame:
-    """Per key: statistics over its members' medians, so that a member with many values counts once."""
-    inner = df.where(F.col(value).isNotNull()).groupBy(*keys, member).agg(F.median(value).alias("v"))
+def nested_peer_stats(df: DataFrame, keys: list[str], member: str, value: str, least: int = 8, low: str | None = None, high: str | None = None) -> DataFrame:
+    """Per key: statistics over its members' medians, so that a member with many values counts once.
+
+    With the ends ``low`` and ``high`` of bands also ``median_band``, over the members' median widths,
+    and ``n_bands``, the members that state a band.
+    """
+    width = F.median(F.col(high) - F.col(low)) if low and high else F.lit(None).cast("double")
+    inner = df.where(F.col(value).isNotNull()).groupBy(*keys, member).agg(F.median(value).alias("v"), width.alias("w"))
     stats = group_median_mad(inner, keys, "v", least)
-    spread = inner.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    return stats.join(spread, keys).withColumn("spread", F.col("high") - F.col("low"))
+    ends = inner.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.median("w").alias("median_band"), F.count("w").alias("n_bands"))
+    out = stats.join(ends, keys).withColumn("spread", F.col("high") - F.col("low"))
+    return out if low and high else out.drop("median_band", "n_bands")
 
 
 def leave_one_out(df: DataFrame, keys: list[str], member: str, value: str, least: int = 8) -> DataFrame:
     """Each member's value with the median and scaled deviation of its peers: the key's other members.
 
-    A key's values are sorted once into an array; without the member at place i, the median comes
-    from the neighbours of the middle. Deviations need the values around each member's own median
-    and are taken from the same array. Keys are peer groups, whose size is that of a product family;
-    the array is built per key, never for the table.
+    Without the member at place i, the median is one of at most three values around the middle. So a
+    key's members are ranked once by value, and once by their distance from each of those medians; the
+    deviation again lies around the middle of that. Two sorts of each key, no arrays, and rows are
+    only tripled. Only keys with over ``least`` members.
     """
-    one = df.where(F.col(value).isNotNull()).groupBy(*keys, member).agg(F.median(value).alias("v"))
-    peers = one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", member))).alias("all")).where(F.size("all") > least)
-    rows = peers.select(*keys, F.posexplode("all").alias("at", "own"), "all")
-    rest = F.transform(F.filter("all", lambda x, i: i != F.col("at")), lambda x: x["v"])
-    rows = rows.select(*keys, F.col(f"own.{member}").alias(member), F.col("own.v").alias("value"), rest.alias("rest"))
-    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
-    rows = rows.withColumn("median", middle(F.col("rest"))).withColumn("n", F.size("rest").cast("long"))
-    far = F.array_sort(F.transform("rest", lambda x: F.abs(x - F.col("median"))))
-    return rows.withColumn("far", far).withColumn("mad", middle(F.col("far")) * MAD_SCALE).select(*keys, member, "value", "n", "median", "mad", (F.element_at("rest", -1) - F.element_at("rest", 1)).alias("spread"))
+    one = df.where(F.col(value).isNotNull()).groupBy(*keys, member).agg(F.median(value).alias("value"))
+    w = Window.partitionBy(*keys)
+    rows = one.withColumn("_at", F.row_number().over(w.orderBy("value", member)) - 1).withColumn("_n", F.count("*").over(w)).where(F.col("_n") > least)
+    k, at, n = F.floor((F.col("_n") - 2) / 2), F.col("_at"), F.col("_n")
+
+    def middle(pick, own: Column) -> Column:
+        """The median without the row at place ``own``; ``pick(i)`` is the value at place k + i."""
+        first = F.when(own > k, pick(0)).otherwise(pick(1))
+        second = F.when(own > k + 1, pick(1)).otherwise(pick(2))
+        return F.when(n % 2 == 0, first).otherwise((first + second) / 2)
+
+    around = {f"_a{i}": F.max(F.when(at == k + i, F.col("value"))).over(w) for i in range(3)}
+    ends = {"_lo": F.min("value").over(w), "_lo2": F.max(F.when(at == 1, F.col("value"))).over(w), "_hi": F.max("value").over(w), "_hi2": F.max(F.when(at == n - 2, F.col("value"))).over(w)}
+    rows = rows.withColumns(around | ends).withColumn("median", middle(lambda i: F.col(f"_a{i}"), at))
+    high, low = F.when(at == n - 1, F.col("_hi2")).otherwise(F.col("_hi")), F.when(at == 0, F.col("_lo2")).otherwise(F.col("_lo"))
+    rows = rows.select(*keys, member, "value", "median", "_n", low.alias("low"), high.alias("high"))
+    centres = rows.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("median").alias("_c")).distinct()
+    far = rows.join(centres, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]).withColumn("_far", F.abs(F.col("value") - F.col("_c")))
+    w = Window.partitionBy(*keys, "_c")
+    far = far.withColumn("_at", F.row_number().over(w.orderBy("_far", member)) - 1)
+    far = far.withColumns({f"_a{i}": F.max(F.when(at == k + i, F.col("_far"))).over(w) for i in range(3)}).where(F.col("median") == F.col("_c"))
+    mad = middle(lambda i: F.col(f"_a{i}"), at) * MAD_SCALE
+    return far.select(*keys, member, "value", (F.col("_n") - 1).alias("n"), "median", mad.alias("mad"), "low", "high", (F.col("high") - F.col("low")).alias("spread"))
 
 
 def judge_level(direction: Column, value: Column, median: Column, mad: Column, spread: Column, width: Column) -> Column:
     """narrow_band, extreme_threshold or null, from a requirement and its peers.
 
-    A band is only tested for being narrow. Otherwise the z of the value, in the direction that
+    A band is only tested for being narrow, if peers differ at all. Otherwise the z of the value, in the direction that
     makes the requirement stricter, must reach 3, and peers must differ by 5 % of their median.
     """
     narrow = F.when((spread > 0) & (width / spread <= 0.25), "narrow_band")
     flat = (mad <= 0) | (mad < 0.05 * F.abs(median))
     strict = F.when(~flat & ((value - median) / mad * direction >= 3), "extreme_threshold")
-    return F.when(width.isNotNull(), narrow).when(direction.isNotNull(), strict)
+    return F.when(width.isNotNull() & (spread > 0), narrow).when(direction.isNotNull(), strict)
 
 
-def nearest_rank_quantiles(df: DataFrame, keys: list[str], value: str, shares=(0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """The values at index min(int(p * n), n - 1) of each group's sorted values, one row for each share.
+def values_at(df: DataFrame, keys: list[str], value: str, places: Column, bins: int = 1024) -> DataFrame:
+    """(keys, n, at, value): the values at some places of each group's sorted values, for groups of any size.
 
-    Ranks come from a window over (keys), sorted by the shuffle, so no group is gathered in memory.
+    ``places`` is an array of places from 0, in terms of the column ``n``. Values are counted by range
+    between a group's ends; only ranges that hold a place are looked into, by distinct value. So no
+    task holds or sorts a group. Ranges of a group are a table of ``bins`` rows at most.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    index = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.least(F.floor(F.col("n") * p), F.col("n") - 1).cast("int").alias("at")) for p in shares]))
-    wanted = sizes.withColumn("q", index).select(*keys, "n", F.col("q.p").alias("p"), F.col("q.at").alias("at"))
-    return wanted.join(ranked, [*keys, "at"]).select(*keys, "p", F.col(value).alias("quantile"), "n")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    own = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_lo", "_hi")
+    same = lambda side: [F.col(c).eqNullSafe(F.col(f"{side}{i}")) for i, c in enumerate(keys)]
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    ranged = rows.join(own, same("_k")).select(*keys, "_v", place.alias("_bin"))
+    up = lambda *by: Window.partitionBy(*keys, *by)
+    counts = ranged.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_upto", F.sum("_c").over(up().orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)))
+    asked = ends.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(keys)], "n", F.explode(F.array_distinct(places)).alias("at"))
+    held = counts.join(asked, same("_w")).where("_upto - _c <= at and at < _upto")
+    held = held.select(*[F.col(f"_w{i}") for i in range(len(keys))], F.col("_bin").alias("_b"), "n", "at", (F.col("at") - F.col("_upto") + F.col("_c")).alias("_inside"))
+    inside = ranged.join(held.select(*[F.col(f"_w{i}").alias(f"_x{i}") for i in range(len(keys))], F.col("_b").alias("_xb")).distinct(), [*same("_x"), F.col("_bin") == F.col("_xb")], "left_semi")
+    inside = inside.groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
+    inside = inside.withColumn("_upto", F.sum("_c").over(up("_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = inside.join(held, [*same("_w"), F.col("_bin") == F.col("_b")]).where("_upto - _c <= _inside and _inside < _upto")
+    return found.select(*keys, "n", "at", F.col("_v").alias(value))
+
+
+def large_group_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, median) for few groups of any size."""
+    middle = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
+    return values_at(df, keys, value, middle).groupBy(*keys, "n").agg(F.avg(value).alias("median"))
+
+
+def nearest_rank_quantiles(df: DataFrame, keys: list[str], value: str, shares=(0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """The values at index min(int(p * n), n - 1) of each group's sorted values, one row for each share."""
+    place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    found = values_at(df, keys, value, F.array(*[place(p) for p in shares]))
+    share = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), place(p).alias("at")) for p in shares])).alias("q")
+    return found.select(*keys, "n", "at", F.col(value).alias("quantile"), share).where("q.at = at").select(*keys, "q.p", "quantile", "n")
 
 
 def share_histogram(df: DataFrame, key: str) -> DataFrame:

@@ -45,7 +45,7 @@ s AS (SELECT m.method, m.n, m.median, median(abs(o.o_totalprice - m.median)) * 1
 
 
 def _stats(orders: DataFrame) -> DataFrame:
-    return stats.group_median_mad(orders.withColumnRenamed("o_orderpriority", "method"), ["method"], "o_totalprice")
+    return stats.group_median_mad(orders.withColumnRenamed("o_orderpriority", "method"), ["method"], "o_totalprice", large=True)
 
 
 @query(f"WITH {_STATS} SELECT * FROM s")
@@ -55,7 +55,7 @@ def group_window_stats(spark, sf_dir):
 
 
 def _signals(orders: DataFrame) -> DataFrame:
-    rows = orders.join(F.broadcast(_stats(orders)), F.col("o_orderpriority") == F.col("method"), "left")
+    rows = orders.join(_stats(orders), F.col("o_orderpriority") == F.col("method"), "left")
     return rows.withColumn("z", stats.z_score(F.col("o_totalprice"), F.col("median"), F.col("mad")))
 
 
@@ -82,29 +82,6 @@ def _routed(orders: DataFrame) -> DataFrame:
     return rows.withColumn("route", screening.route(F.col("strong"), F.col("weak"), F.lit(True)))
 
 
-@query(f"WITH {_ROUTED} SELECT * FROM r")
-def screen_routes(spark, sf_dir):
-    """Strong and weak signals to a route."""
-    return _routed(*t(spark, sf_dir, "orders"))
-
-
-@query(f"WITH {_ROUTED} SELECT route, count(*) AS n, sum(strong) AS strong, sum(weak) AS weak, count(*) * 100.0 / (SELECT count(*) FROM orders) AS percent FROM r GROUP BY route")
-def route_counts(spark, sf_dir):
-    """Routes with their share of all."""
-    routed = _routed(*t(spark, sf_dir, "orders"))
-    total = routed.agg(F.count("*").alias("total"))
-    return routed.groupBy("route").agg(F.count("*").alias("n"), F.sum("strong").alias("strong"), F.sum("weak").alias("weak")).join(F.broadcast(total)).select("route", "n", "strong", "weak", (F.col("n") * 100.0 / F.col("total")).alias("percent"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) >= 0
-          THEN date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) END AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
-def window_days(spark, sf_dir):
-    """Whole days between two dates, negative ones null."""
-    li, o = t(spark, sf_dir, "lineitem", "orders")
-    days = F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date"))
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(days >= 0, days.cast("long")).alias("days"))
-
-
 @query("""WITH r AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS pos,
                  count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
           q AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS p)
@@ -149,12 +126,6 @@ def _awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_AWARDS} SELECT buyer, grp, count(*) AS awards, count(DISTINCT supplier) AS suppliers FROM a GROUP BY 1, 2")
-def award_dedup(spark, sf_dir):
-    """A2: awards deduplicated on contract and supplier, counted by buyer and group."""
-    return _awards(spark, sf_dir).groupBy("buyer", "grp").agg(F.count("*").alias("awards"), F.count_distinct("supplier").alias("suppliers"))
-
-
 _SHARE = f"""{_AWARDS},
 e AS (SELECT buyer, grp, supplier, count(*) AS mine FROM a GROUP BY 1, 2, 3),
 c AS (SELECT *, sum(mine) OVER (PARTITION BY buyer, grp) AS total, count(*) OVER (PARTITION BY buyer, grp) AS suppliers,
@@ -195,22 +166,6 @@ def distinct_winners(spark, sf_dir):
     return best.select("l_orderkey", "l_suppkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("d"), "l_suppkey")).alias("place"))
 
 
-@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01'),
-          c AS (SELECT l.s, o.o_custkey, max(o.o_orderkey) AS other FROM l JOIN orders o ON l.k = o.o_orderkey GROUP BY 1, 2)
-          SELECT o.o_orderkey, l.s AS supplier, 'number' AS via FROM orders o JOIN l ON o.o_orderkey = l.k
-          UNION ALL
-          SELECT o.o_orderkey, c.s, 'buyer' FROM orders o JOIN c ON o.o_custkey = c.o_custkey WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.k = o.o_orderkey)""")
-def cascade_match(spark, sf_dir):
-    """Match by number, else by buyer; the key that matched is kept."""
-    li, o = t(spark, sf_dir, "lineitem", "orders")
-    late = li.where("l_shipdate >= timestamp_ntz'1996-01-01'").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("supplier")).distinct()
-    known = late.join(o, F.col("k") == F.col("o_orderkey")).select("k", "supplier", F.col("o_custkey").alias("b"))
-    by_buyer = known.select(F.lit(None).cast("long").alias("k"), "supplier", "b").distinct()
-    both = known.select("k", "supplier", F.lit(None).cast("long").alias("b")).union(by_buyer)
-    found = awards.cascade_match(o.select("o_orderkey", "o_custkey"), both, [("number", [("o_orderkey", "k")]), ("buyer", [("o_custkey", "b")])], "o_orderkey")
-    return found.select("o_orderkey", "supplier", "via")
-
-
 @query("""WITH s AS (SELECT o_custkey AS buyer, l_suppkey AS supplier, o_orderkey, o_orderdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)
           SELECT supplier, buyer, o_orderkey, rk, n - 6 AS more FROM (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY o_orderdate DESC, o_orderkey, buyer) AS rk, count(*) OVER (PARTITION BY supplier) AS n FROM s) WHERE rk <= 6""")
 def newest_awards(spark, sf_dir):
@@ -221,13 +176,6 @@ def newest_awards(spark, sf_dir):
     return selection.top_k(s, ["supplier"], [F.desc("o_orderdate"), F.asc("o_orderkey"), F.asc("buyer")], 6, "rk").select("supplier", "buyer", "o_orderkey", "rk", "more")
 
 
-@query("""SELECT a.p_partkey, b.s_suppkey FROM part a JOIN supplier b ON contains(lower(a.p_name), lower(substr(b.s_name, 10, 9)))""".replace("contains(lower(a.p_name), lower(substr(b.s_name, 10, 9)))", "a.p_size = b.s_nationkey AND a.p_retailprice < b.s_acctbal AND b.s_acctbal > 9000"))
-def other_awards_of_winner(spark, sf_dir):
-    """An equi-join with a further condition; J13 itself is ``winner_other_awards``."""
-    p, s = t(spark, sf_dir, "part", "supplier")
-    return p.join(s, (F.col("p_size") == F.col("s_nationkey")) & (F.col("p_retailprice") < F.col("s_acctbal")) & (F.col("s_acctbal") > 9000)).select("p_partkey", "s_suppkey")
-
-
 @query("""WITH a AS (SELECT l_suppkey AS supplier, o_orderkey AS aref, o_custkey AS asol, p_name AS title, o_orderdate AS day, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
           n AS (SELECT aref AS ref, asol AS sol, supplier AS winner, upper(string_split(title, ' ')[1]) AS needle FROM (SELECT *, row_number() OVER (PARTITION BY aref ORDER BY line, supplier, title) AS i FROM a) WHERE i = 1),
           m AS (SELECT n.ref, a.aref, a.line, a.day FROM n JOIN a ON a.supplier = n.winner AND contains(lower(a.title), lower(n.needle)) AND a.aref <> n.ref AND a.asol <> n.sol),
@@ -242,21 +190,6 @@ def winner_other_awards(spark, sf_dir):
     return awards.other_awards_of_winner(n, a, [F.desc("day"), F.asc("aref"), F.asc("line")]).select("ref", "total", "place", "aref", "line")
 
 
-@query("SELECT s_suppkey, trim(regexp_replace(regexp_replace(upper(s_name), '[^A-Z0-9& ]+', ' ', 'g'), ' +', ' ', 'g')) AS name, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS squashed FROM supplier")
-def name_norm(spark, sf_dir):
-    """Normalised and squashed names."""
-    return t(spark, sf_dir, "supplier")[0].select("s_suppkey", names.normal_name(F.col("s_name")).alias("name"), names.squash(F.col("s_name")).alias("squashed"))
-
-
-@query("""WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS ws FROM part)
-          SELECT a.p_partkey, b.p_partkey AS host FROM w a JOIN w b ON a.ws[1] = b.ws[1] AND a.p_partkey <> b.p_partkey AND len(list_filter(a.ws, lambda x: NOT list_contains(b.ws, x))) = 0""")
-def name_subset(spark, sf_dir):
-    """Names all of whose words another one has, met by their first word."""
-    p = t(spark, sf_dir, "part")[0].select("p_partkey", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("ws"))
-    a, b = p.withColumn("w", F.get("ws", F.lit(0))), p.select(F.col("p_partkey").alias("host"), F.col("ws").alias("hs"), F.get("ws", F.lit(0)).alias("w"))
-    return a.join(b, "w").where("p_partkey <> host and size(array_except(ws, hs)) = 0").select("p_partkey", "host")
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT a.c_custkey AS u, b.c_custkey AS v FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND abs(a.c_acctbal - b.c_acctbal) < 2 AND a.c_custkey <> b.c_custkey),
           r AS (SELECT c_custkey AS node, c_custkey AS root FROM customer UNION SELECT e.v, r.root FROM r JOIN e ON r.node = e.u)
           SELECT node, min(root) AS root FROM r GROUP BY node HAVING count(*) > 1""")
@@ -291,15 +224,7 @@ def peer_stats(spark, sf_dir):
 @query(f"WITH {_PEER_SQL} SELECT * FROM j")
 def peers_without_self(spark, sf_dir):
     """Each member against all others of its key."""
-    return stats.leave_one_out(t(spark, sf_dir, "part")[0], ["p_type", "p_brand"], "p_partkey", "p_retailprice")
-
-
-@query(f"WITH {_PEER_SQL} SELECT p_partkey, value, median, mad FROM j WHERE mad > 0 AND mad >= 0.05 * abs(median) AND (value - median) / mad >= 3")
-def extreme_threshold(spark, sf_dir):
-    """values three deviations above their peers."""
-    rows = stats.leave_one_out(t(spark, sf_dir, "part")[0], ["p_type", "p_brand"], "p_partkey", "p_retailprice")
-    kind = stats.judge_level(F.lit(1), F.col("value"), F.col("median"), F.col("mad"), F.col("spread"), F.lit(None).cast("double"))
-    return rows.where(kind == "extreme_threshold").select("p_partkey", "value", "median", "mad")
+    return stats.leave_one_out(t(spark, sf_dir, "part")[0], ["p_type", "p_brand"], "p_partkey", "p_retailprice").drop("low", "high")
 
 
 @query("""WITH b AS (SELECT l_suppkey, l_orderkey, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -317,16 +242,18 @@ def narrow_band(spark, sf_dir):
 @query("""SELECT event_id, count(*) OVER w AS peers, min(value) OVER w AS least, max(value) OVER w AS most FROM events
           WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def asof_peers(spark, sf_dir):
-    """What was there before, of the same kind."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return t(spark, sf_dir, "events")[0].select("event_id", F.count("*").over(w).alias("peers"), F.min("value").over(w).alias("least"), F.max("value").over(w).alias("most"))
+    """What was there before, of the same kind; day by day, with what earlier days carry over."""
+    e = t(spark, sf_dir, "events")[0]
+    v = F.col("value")
+    out = selection.running(e, ["event_type"], [F.asc("ts"), F.asc("event_id")], F.to_date("ts"), {"peers": ("count", F.lit(1)), "least": ("min", v), "most": ("max", v)})
+    return out.select("event_id", F.coalesce("peers", F.lit(0)).alias("peers"), "least", "most")
 
 
 @query("""SELECT event_id, CAST(coalesce(sum(CASE WHEN value < 50 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS peers_at_time FROM events""")
 def peers_at_time(spark, sf_dir):
     """W12, ST3: members of the base that came earlier."""
     e = t(spark, sf_dir, "events")[0].withColumn("pile", F.when(F.col("value") < 50, "base").otherwise("none"))
-    return kb.peers_before(e, "event_type", ["ts", "event_id"]).select("event_id", "peers_at_time")
+    return kb.peers_before(e, "event_type", ["ts", "event_id"], F.to_date("ts")).select("event_id", "peers_at_time")
 
 
 @query("WITH d AS (SELECT p_type, p_brand, count(DISTINCT p_size) AS m FROM part GROUP BY ALL), l AS (SELECT p_type || '/' || p_brand AS label, p_size FROM part), c AS (SELECT label, count(DISTINCT p_size) AS m FROM l GROUP BY 1), s AS (SELECT unnest([2,4,6,8,12,20,30]) AS least) SELECT s.least, count(DISTINCT c.label) AS labels, count(DISTINCT l.p_size) AS covered FROM s JOIN c ON c.m >= s.least JOIN l USING (label) GROUP BY 1")
@@ -336,16 +263,6 @@ def coverage_histogram(spark, sf_dir):
     return stats.depth_histogram(rows, "label", "p_size")
 
 
-@query("SELECT p_type, p_brand, count(*) AS observations, count(DISTINCT p_size) AS tenders, count_if(p_size < 10) AS ge, count_if(p_size BETWEEN 10 AND 30) AS le, count_if(p_size > 30) AS eq, median(p_retailprice) AS median_value, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY 1, 2")
-def label_table(spark, sf_dir):
-    """One row per label with conditional counts."""
-    size = F.col("p_size")
-    return t(spark, sf_dir, "part")[0].groupBy("p_type", "p_brand").agg(
-        F.count("*").alias("observations"), F.count_distinct("p_size").alias("tenders"), F.count_if(size < 10).alias("ge"), F.count_if(size.between(10, 30)).alias("le"), F.count_if(size > 30).alias("eq"),
-        F.median("p_retailprice").alias("median_value"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"),
-    )
-
-
 @query("""WITH p AS (SELECT l_orderkey, l_suppkey, count(*) AS n, count(DISTINCT l_quantity) AS d, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY 1, 2)
           SELECT l_orderkey, l_suppkey, low, high, high - low AS width, (high + low) / 2 AS middle FROM p WHERE n = 2 AND d = 2""")
 def band_collapse(spark, sf_dir):
@@ -353,21 +270,6 @@ def band_collapse(spark, sf_dir):
     return selection.collapse_pairs(t(spark, sf_dir, "lineitem")[0], ["l_orderkey", "l_suppkey"], "l_quantity")
 
 
-@query("SELECT doc_id, source, restated FROM (SELECT *, count(*) OVER (PARTITION BY text) AS restated, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rk FROM documents) WHERE rk = 1")
-def dedup_restated(spark, sf_dir):
-    """The first of equal texts with their number; texts meet by their digest."""
-    d = t(spark, sf_dir, "documents")[0].select("doc_id", "source", F.sha2("text", 256).alias("k"))
-    return selection.keep_first_counted(d, ["k"], [F.asc("doc_id")]).select("doc_id", "source", "restated")
-
-
-@query("""WITH p AS (SELECT DISTINCT user_id, event_type, value FROM events),
-          q AS (SELECT a.user_id, a.event_type AS a, b.event_type AS b, max(CAST(abs(a.value - b.value) < 1 AS INT)) AS same FROM p a JOIN p b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY 1, 2, 3)
-          SELECT a, b, count_if(same = 0) AS diff, count_if(same = 1) AS same, count_if(same = 0) > count_if(same = 1) AS veto FROM q GROUP BY 1, 2""")
-def cooccurrence_veto(spark, sf_dir):
-    """Label pairs of one reference; more differing than equal votes veto a merge."""
-    return matching.merge_veto(t(spark, sf_dir, "events")[0], "user_id", "event_type", "value", 1.0)
-
-
 @query("""WITH v AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2)
           SELECT p_type, p_brand AS spelling, n FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) AS rk FROM v) WHERE rk = 1""")
 def canonical_spelling(spark, sf_dir):
@@ -399,12 +301,6 @@ def line_table(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "line_no", F.length("line").alias("chars"))
 
 
-@query(f"WITH {_LINES} SELECT doc_id, line_no, line FROM l WHERE {_HEAD}")
-def heading_lines(spark, sf_dir):
-    """F8: short lines in capitals."""
-    return _lines(spark, sf_dir).where(_heading(F.col("line")))
-
-
 @query(f"WITH {_LINES} SELECT doc_id, line_no, last_value(CASE WHEN {_HEAD} THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM l")
 def section_fill(spark, sf_dir):
     """The last heading at or above each line."""
@@ -430,13 +326,6 @@ def comparator_window(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "line_no", F.array_join(F.collect_list(F.length("line").cast("string")).over(w), "|").alias("near"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS numbers, len(regexp_extract_all(text, '[#*$%&|<>]')) AS signs, length(text) AS chars FROM documents")
-def number_extract(spark, sf_dir):
-    """numbers and signs of a text."""
-    x = F.col("text")
-    return t(spark, sf_dir, "documents")[0].select("doc_id", F.size(F.regexp_extract_all(x, F.lit("[0-9]+"), 0)).cast("long").alias("numbers"), F.regexp_count(x, F.lit("[#*$%&|<>]")).cast("long").alias("signs"), F.length(x).cast("long").alias("chars"))
-
-
 @query("SELECT doc_id, sha256(text) AS digest, sha256(lower(source)) AS source_key, length(text) // 4 AS tokens FROM documents")
 def text_hash(spark, sf_dir):
     """F32: cache keys and token estimates."""
@@ -449,29 +338,6 @@ def html_strip(spark, sf_dir):
     return t(spark, sf_dir, "pages")[0].select("page_id", html_text(F.col("html")).alias("text"))
 
 
-@query("SELECT page_id, CASE WHEN url LIKE '%.html%' THEN 'direct' WHEN url LIKE '%?%' THEN 'portal' ELSE 'none' END AS kind, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages")
-def attachment_class(spark, sf_dir):
-    """Attachment links by kind, with their host."""
-    u = F.col("url")
-    kind = F.when(u.contains(".html"), "direct").when(u.contains("?"), "portal").otherwise("none")
-    return t(spark, sf_dir, "pages")[0].select("page_id", kind.alias("kind"), F.regexp_extract(u, "://([^/?#]+)", 1).alias("host"))
-
-
-@query("SELECT page_id, substr(regexp_replace(trim(url), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) AS name FROM pages")
-def safe_names(spark, sf_dir):
-    """File names of links."""
-    return t(spark, sf_dir, "pages")[0].select("page_id", names.safe_component(F.col("url")).alias("name"))
-
-
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS asked_at, role <> 'user' AND count_if(role = 'user') OVER w > 0 AS answers FROM conversations
-          WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
-def turns_question_mask(spark, sf_dir):
-    """Each turn with the question it belongs to."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    ask = F.col("role") == "user"
-    return t(spark, sf_dir, "conversations")[0].select("conv_id", "turn", F.last(F.when(ask, F.col("turn")), True).over(w).alias("asked_at"), (~ask & (F.count_if(ask).over(w) > 0)).alias("answers"))
-
-
 # ---------------------------------------------------------------- knowledge base
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events) WHERE rk = 1")
@@ -500,31 +366,6 @@ def _cases(events: DataFrame) -> DataFrame:
     return s.withColumn("route", F.when(F.col("score") >= 10, "alert").when(F.col("score") >= 5, "watch").otherwise("close"))
 
 
-@query(f"WITH {_CASES} SELECT * FROM p")
-def capped_score(spark, sf_dir):
-    """Points up to a cap for each kind; unverified rows use up no cap."""
-    return _counted(*t(spark, sf_dir, "events"))
-
-
-@query(f"WITH {_CASES} SELECT user_id, score, route, CASE WHEN route IN ('alert', 'watch') THEN 'quarantine' WHEN user_id % 3 = 0 THEN 'base' ELSE 'none' END AS pile FROM q")
-def pile_routing(spark, sf_dir):
-    """route and pile of each case."""
-    q = _cases(*t(spark, sf_dir, "events"))
-    return q.withColumn("pile", scoring.pile(F.col("route"), F.col("user_id") % 3 == 0))
-
-
-@query(f"WITH {_CASES} SELECT user_id, score, route, row_number() OVER (ORDER BY CASE route WHEN 'alert' THEN 0 WHEN 'watch' THEN 1 ELSE 2 END, score DESC, user_id) AS position FROM q")
-def rank_queue(spark, sf_dir):
-    """The review queue."""
-    return scoring.rank_queue(_cases(*t(spark, sf_dir, "events")), "user_id")
-
-
-@query(f"WITH {_CASES} SELECT route, count(*) AS cases, max(score) AS most, CAST(sum(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS with_documents FROM q GROUP BY 1")
-def kb_status(spark, sf_dir):
-    """The knowledge base by route."""
-    return _cases(*t(spark, sf_dir, "events")).groupBy("route").agg(F.count("*").alias("cases"), F.max("score").alias("most"), F.count_if(F.col("user_id") % 3 == 0).alias("with_documents"))
-
-
 @query("""WITH s AS (SELECT user_id, event_type, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events) WHERE rk = 1)
           SELECT e.event_id, e.user_id FROM events e SEMI JOIN s ON e.user_id = s.user_id AND e.event_type = s.event_type""")
 def semi_current_run(spark, sf_dir):
@@ -541,14 +382,6 @@ def anti_todo(spark, sf_dir):
     return d.select("doc_id", "lang").join(lab.select("doc_id"), "doc_id", "left_anti")
 
 
-@query("""SELECT d.doc_id, d.source FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR (l.toxic = 1 AND d.n_chars > 500) OR l.quality = 0""")
-def work_list(spark, sf_dir):
-    """ST2: new ones and two kinds of registered ones."""
-    d, lab = t(spark, sf_dir, "documents", "labels")
-    rows = d.join(lab.withColumn("_l", F.lit(True)), "doc_id", "left")
-    return rows.where("_l is null or (toxic = 1 and n_chars > 500) or quality = 0").select("doc_id", "source")
-
-
 @query("SELECT d.doc_id, d.lang, coalesce(l.quality, -1) AS quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def notice_join(spark, sf_dir):
     """Left join with a default."""
@@ -556,14 +389,6 @@ def notice_join(spark, sf_dir):
     return d.select("doc_id", "lang").join(lab, "doc_id", "left").select("doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"), "toxic")
 
 
-@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS calls, count(DISTINCT user_id) AS users, count_if(value >= 50) AS large, max(value) AS most FROM events GROUP BY 1, 2")
-def usage_by_day(spark, sf_dir):
-    """Calls per kind and day."""
-    return t(spark, sf_dir, "events")[0].groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(
-        F.count("*").alias("calls"), F.count_distinct("user_id").alias("users"), F.count_if(F.col("value") >= 50).alias("large"), F.max("value").alias("most")
-    )
-
-
 @query("SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
     """a field of a JSON cell."""
@@ -607,13 +432,6 @@ def spread_sample(spark, sf_dir):
     return selection.evenly_spaced(c, ["c_nationkey"], [F.asc("c_custkey")], 5)
 
 
-@query("SELECT p_partkey, list_sort(list_distinct(string_split(upper(p_type), ' '))) AS cats, list_contains(string_split(upper(p_type), ' '), 'ECONOMY') AS wanted FROM part")
-def category_set(spark, sf_dir):
-    """A cell's set of categories, and whether one is in it."""
-    parts = F.split(F.upper("p_type"), " ")
-    return t(spark, sf_dir, "part")[0].select("p_partkey", F.array_sort(F.array_distinct(parts)).alias("cats"), F.array_contains(parts, "ECONOMY").alias("wanted"))
-
-
 @query("SELECT doc_id, 'quality' AS split, quality AS verdict FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels WHERE toxic = 1")
 def union_labels(spark, sf_dir):
     """Two label tables as one."""
@@ -631,10 +449,12 @@ def exclude_seen(spark, sf_dir):
 
 @query("SELECT event_id, CAST(sum(value > 50) OVER (PARTITION BY event_type ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM events".replace("sum(value > 50)", "sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)"))
 def token_window(spark, sf_dir):
-    """What fell into the last stretch of time."""
-    w = Window.partitionBy("event_type").orderBy(F.col("s")).rangeBetween(-3600, 0)
-    e = t(spark, sf_dir, "events")[0].withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return e.select("event_id", F.sum(F.when(F.col("value") > 50, 1).otherwise(0)).over(w).alias("recent"))
+    """What fell into the last hour; hour by hour, each with the rows of the hour before."""
+    e = t(spark, sf_dir, "events")[0].select("event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), F.when(F.col("value") > 50, 1).otherwise(0).alias("v"))
+    hour = F.floor(F.col("s") / 3600)
+    rows = e.withColumn("own", hour).withColumn("hour", F.explode(F.array(hour, hour + 1)))
+    w = Window.partitionBy("event_type", "hour").orderBy("s").rangeBetween(-3600, 0)
+    return rows.withColumn("recent", F.sum("v").over(w)).where("own = hour").select("event_id", "recent")
 
 
 @query("""WITH x AS (SELECT r_name, n_nationkey FROM region JOIN nation ON r_regionkey = n_regionkey)

@@ -9,44 +9,12 @@ from awardgrid.operators import awards, scoring, screening, selection
 from awardgrid.plans.registry import _CASES, _LINES, _cases, _lines, query, t
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1-%' THEN 'advance' WHEN o_orderpriority LIKE '2-%' THEN 'limited' WHEN o_orderpriority LIKE '%SPECIFIED' THEN 'none' ELSE 'open' END AS method, o_orderstatus IN ('F', 'P') AS closed FROM orders")
-def method_predicates(spark, sf_dir):
-    """What a method cell says."""
-    p = F.col("o_orderpriority")
-    kind = F.when(p.rlike("^1-"), "advance").when(p.rlike("^2-"), "limited").when(p.rlike("SPECIFIED$"), "none").otherwise("open")
-    return t(spark, sf_dir, "orders")[0].select("o_orderkey", kind.alias("method"), F.col("o_orderstatus").isin("F", "P").alias("closed"))
-
-
-@query("SELECT event_id, CASE WHEN lower(trim(event_type)) LIKE '%cancel%' THEN 'cancelled' WHEN lower(trim(event_type)) IN ('active', 'open') THEN 'open' WHEN regexp_matches(lower(trim(props)), 'request for information|rfi') THEN 'request_for_information' WHEN regexp_matches(lower(trim(props)), 'supply arrangement|rfsa') THEN 'supply_arrangement' END AS reason FROM events")
-def no_contract_reason(spark, sf_dir):
-    """Why there is no contract yet."""
-    return t(spark, sf_dir, "events")[0].select("event_id", screening.no_contract_reason(F.col("event_type"), F.col("props")).alias("reason"))
-
-
-@query("SELECT page_id, CASE WHEN regexp_matches(url, 'spam|pills') THEN 'other' WHEN regexp_matches(url, '\\.html') THEN 'spec' WHEN regexp_matches(url, '[?]') THEN 'form' WHEN regexp_matches(url, '#') THEN 'annex' ELSE 'solicitation' END AS role FROM pages")
-def document_role(spark, sf_dir):
-    """P10: an ordered cascade of patterns."""
-    u = F.col("url")
-    role = F.when(u.rlike("spam|pills"), "other").when(u.rlike(r"\.html"), "spec").when(u.rlike("[?]"), "form").when(u.rlike("#"), "annex").otherwise("solicitation")
-    return t(spark, sf_dir, "pages")[0].select("page_id", role.alias("role"))
-
-
 @query("SELECT l_orderkey, count(*) AS lines, count_if(l_discount > 0.05) / count(*) AS share FROM lineitem GROUP BY 1")
 def within_document_share(spark, sf_dir):
     """The share of two-sided rows in a document."""
     return t(spark, sf_dir, "lineitem")[0].groupBy("l_orderkey").agg(F.count("*").alias("lines"), (F.count_if(F.col("l_discount") > 0.05) / F.count("*")).alias("share"))
 
 
-@query("SELECT count(*) AS n, count_if(l_returnflag = 'R') / count(*) AS returned, count_if(l_linestatus = 'O') / count(*) AS open_share, count_if(l_tax = 0) / count(*) AS untaxed, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")
-def hygiene_shares(spark, sf_dir):
-    """Shares of all rows."""
-    share = lambda c: F.count_if(c) / F.count("*")
-    return t(spark, sf_dir, "lineitem")[0].agg(
-        F.count("*").alias("n"), share(F.col("l_returnflag") == "R").alias("returned"), share(F.col("l_linestatus") == "O").alias("open_share"),
-        share(F.col("l_tax") == 0).alias("untaxed"), F.count_distinct("l_suppkey").alias("suppliers"),
-    )
-
-
 @query("SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last, count_if(o_orderstatus = 'F') / count(*) AS closed FROM orders GROUP BY 1")
 def date_spread(spark, sf_dir):
     """A10: rows by year."""
@@ -55,25 +23,6 @@ def date_spread(spark, sf_dir):
     )
 
 
-@query("SELECT role, count(*) AS turns, max(turn) AS most_steps, avg(turn) AS average_steps, count(DISTINCT conv_id) AS runs FROM conversations GROUP BY 1")
-def agent_runs(spark, sf_dir):
-    """Steps of runs by role."""
-    return t(spark, sf_dir, "conversations")[0].groupBy("role").agg(F.count("*").alias("turns"), F.max("turn").alias("most_steps"), F.avg("turn").alias("average_steps"), F.count_distinct("conv_id").alias("runs"))
-
-
-@query("""WITH m AS (SELECT doc_id, toxic = 1 AS truth, n_chars > 1000 AS a, n_chars > 3000 AS b FROM labels JOIN documents USING (doc_id))
-          SELECT count_if(a) AS flagged_a, count_if(b) AS flagged_b, count_if(a AND truth) AS hits_a, count_if(b AND truth) AS hits_b, count_if(a AND NOT truth) AS false_a, count_if(b AND NOT truth) AS false_b, count_if(a <> b) AS differ FROM m""")
-def mode_comparison(spark, sf_dir):
-    """Two modes on the same labels."""
-    lab, d = t(spark, sf_dir, "labels", "documents")
-    m = lab.join(d.select("doc_id", "n_chars"), "doc_id").select((F.col("toxic") == 1).alias("truth"), (F.col("n_chars") > 1000).alias("a"), (F.col("n_chars") > 3000).alias("b"))
-    a, b, truth = F.col("a"), F.col("b"), F.col("truth")
-    return m.agg(
-        F.count_if(a).alias("flagged_a"), F.count_if(b).alias("flagged_b"), F.count_if(a & truth).alias("hits_a"), F.count_if(b & truth).alias("hits_b"),
-        F.count_if(a & ~truth).alias("false_a"), F.count_if(b & ~truth).alias("false_b"), F.count_if(a != b).alias("differ"),
-    )
-
-
 _STATE = "st AS (SELECT user_id, event_type AS status, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events) WHERE rk = 1)"
 
 
@@ -83,39 +32,6 @@ def _state(spark, sf_dir):
     return last_event(t(spark, sf_dir, "events")[0], "user_id", F.desc("ts"), F.desc("event_id")).select("user_id", F.col("event_type").alias("status"), "event_id", "value")
 
 
-@query(f"WITH {_CASES}, {_STATE} SELECT q.user_id, q.score, q.route, st.status FROM q JOIN st USING (user_id) WHERE st.value >= 10")
-def queue_replay(spark, sf_dir):
-    """J4, ST7: the case that counts for each reference."""
-    return _cases(*t(spark, sf_dir, "events")).join(_state(spark, sf_dir).where("value >= 10").select("user_id", "status"), "user_id")
-
-
-@query(f"WITH {_CASES}, {_STATE} SELECT q.user_id, CASE WHEN st.status = 'purchase' THEN 'quarantine' WHEN q.user_id % 2 = 0 THEN 'base' ELSE 'none' END AS moved FROM q JOIN st USING (user_id) WHERE q.route IN ('alert', 'watch') OR st.status = 'purchase'")
-def apply_verdicts(spark, sf_dir):
-    """ST5: verdicts move cases between piles."""
-    rows = _cases(*t(spark, sf_dir, "events")).join(_state(spark, sf_dir), "user_id")
-    moved = F.when(F.col("status") == "purchase", "quarantine").when(F.col("user_id") % 2 == 0, "base").otherwise("none")
-    return rows.where(F.col("route").isin("alert", "watch") | (F.col("status") == "purchase")).select("user_id", moved.alias("moved"))
-
-
-@query(f"WITH {_CASES}, {_STATE} SELECT q.user_id FROM q WHERE route IN ('alert', 'watch') AND NOT EXISTS (SELECT 1 FROM st WHERE st.user_id = q.user_id AND st.status = 'purchase')")
-def reprocess_list(spark, sf_dir):
-    """ST6: the quarantine without judged cases."""
-    judged = _state(spark, sf_dir).where("status = 'purchase'").select("user_id")
-    return _cases(*t(spark, sf_dir, "events")).where(F.col("route").isin("alert", "watch")).join(judged, "user_id", "left_anti").select("user_id")
-
-
-@query(f"WITH {_CASES} SELECT user_id, score, row_number() OVER (ORDER BY score DESC, user_id) AS against, row_number() OVER (ORDER BY score DESC, user_id DESC) AS favour FROM q QUALIFY row_number() OVER (ORDER BY score DESC, user_id) <= 50")
-def top_with_ties(spark, sf_dir):
-    """The first fifty, ties broken for and against."""
-    q = _cases(*t(spark, sf_dir, "events")).withColumn("route", F.lit("close"))
-    against = scoring.rank_queue(q, "user_id").where("position <= 50").withColumnRenamed("position", "against")
-    cells = q.groupBy("score").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("score").orderBy(F.desc("user_id")))
-    favour = q.join(F.broadcast(cells.select("score", before.alias("b"))), "score").select("user_id", (F.col("b") + nth).alias("favour"))
-    return against.join(favour, "user_id").select("user_id", "score", "against", "favour")
-
-
 @query("SELECT o_orderstatus, count_if(o_orderpriority LIKE '1-%') AS p1, count_if(o_orderpriority LIKE '2-%') AS p2, count_if(o_orderpriority LIKE '3-%') AS p3, max(o_totalprice) AS most FROM orders GROUP BY 1")
 def demo_matrix(spark, sf_dir):
     """Cases by setup in columns."""
@@ -132,42 +48,3 @@ def rate_projection(spark, sf_dir):
     return rows.where("sampled > 0").withColumn("projected", F.col("total") * F.col("rich") / F.col("sampled"))
 
 
-@query("""WITH d AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'finding' WHEN toxic = 1 THEN 'unresolved' ELSE 'ok' END AS result FROM labels),
-          p AS (SELECT source, result, row_number() OVER (PARTITION BY source ORDER BY CASE result WHEN 'finding' THEN 0 WHEN 'ok' THEN 1 ELSE 2 END, doc_id) AS rk, doc_id FROM documents JOIN d USING (doc_id))
-          SELECT source, result, doc_id FROM p WHERE rk = 1""")
-def label_detector(spark, sf_dir):
-    """The result that takes precedence."""
-    d, lab = t(spark, sf_dir, "documents", "labels")
-    result = F.when(F.col("quality") == 0, "finding").when(F.col("toxic") == 1, "unresolved").otherwise("ok")
-    rows = d.select("doc_id", "source").join(lab.select("doc_id", result.alias("result")), "doc_id")
-    rank = F.when(F.col("result") == "finding", 0).when(F.col("result") == "ok", 1).otherwise(2)
-    return selection.latest_per_key(rows, ["source"], [rank, F.asc("doc_id")]).select("source", "result", "doc_id")
-
-
-@query(f"WITH {_LINES} SELECT doc_id, line_no, len(list_distinct(list(substr(line, 1, 1)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING))) AS makes FROM l")
-def make_list_window(spark, sf_dir):
-    """Distinct makes within six lines."""
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(-6, 6)
-    return _lines(spark, sf_dir).select("doc_id", "line_no", F.size(F.collect_set(F.substring("line", 1, 1)).over(w)).cast("long").alias("makes"))
-
-
-@query("SELECT s_nationkey AS buyer, s_suppkey, s_acctbal, count(*) OVER (PARTITION BY s_nationkey) AS listed, s_acctbal >= 0.25 * max(s_acctbal) OVER (PARTITION BY s_nationkey) AS strong FROM supplier")
-def strongest_claims(spark, sf_dir):
-    """Rows near their group's best."""
-    w = Window.partitionBy("s_nationkey")
-    return t(spark, sf_dir, "supplier")[0].select(F.col("s_nationkey").alias("buyer"), "s_suppkey", "s_acctbal", F.count("*").over(w).alias("listed"), (F.col("s_acctbal") >= 0.25 * F.max("s_acctbal").over(w)).alias("strong"))
-
-
-@query("SELECT CAST(o_custkey AS VARCHAR) AS brand_key, count(DISTINCT CASE WHEN p_brand = 'Brand#11' THEN l_orderkey END) AS matched, count(DISTINCT l_orderkey) AS all_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1")
-def brand_matches(spark, sf_dir):
-    """How often a buyer's awards carry a brand."""
-    li, o, p = t(spark, sf_dir, "lineitem", "orders", "part")
-    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.groupBy(F.col("o_custkey").cast("string").alias("brand_key")).agg(F.count_distinct(F.when(F.col("p_brand") == "Brand#11", F.col("l_orderkey"))).alias("matched"), F.count_distinct("l_orderkey").alias("all_orders"))
-
-
-@query(None)
-def supplier_variants(spark, sf_dir):
-    """Names that share a nation (as a postal code) or a first word, twelve at most; tested on fixtures."""
-    s = t(spark, sf_dir, "supplier")[0].select("s_name", F.col("s_nationkey").cast("string").alias("postal"))
-    return awards.spelling_variants(s, "s_name", "postal")

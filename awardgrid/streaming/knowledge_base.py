@@ -13,9 +13,10 @@ EVENTS = "seq long, reference string, run_id string, pub_date string, event stri
 class KnowledgeBase:
     """Tables below one folder: observations, cases and events, appended in that order.
 
-    An event is what makes a case count, so a run that stops after the first two appends leaves rows
-    that no view shows, and is repeated. Batches carry a ``run_id``; appending one that is there
-    already does nothing, so a replayed streaming batch is harmless.
+    A run's rows lie in a folder of their own in each table, and writing them again replaces them. An
+    event is what makes a case count, and events come last: a run that stops before leaves rows that no
+    view shows, and its replay writes the same folders. Once its events are there a run is over, and
+    replaying it does nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -23,22 +24,29 @@ class KnowledgeBase:
 
     def table(self, name: str, schema: str | None = None) -> DataFrame:
         try:
-            return self.spark.read.parquet(f"{self.root}/{name}")
+            return self.spark.read.parquet(f"{self.root}/{name}").drop("run")
         except Exception as e:  # no batch so far
             if schema is None or "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def append(self, name: str, rows: DataFrame, schema: str | None = None) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{name}")
+    def append(self, name: str, rows: DataFrame, run_id: str) -> None:
+        rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{self.root}/{name}/run={run_id}")
 
     def commit(self, run_id: str, observations: DataFrame, cases: DataFrame, events: DataFrame) -> bool:
         """False if this run's events are there already."""
         if not self.table("events", EVENTS).where(F.col("run_id") == run_id).isEmpty():
             return False
-        self.append("observations", observations.withColumn("run_id", F.lit(run_id)))
-        self.append("cases", cases.withColumn("run_id", F.lit(run_id)))
-        self.append("events", events.withColumn("run_id", F.lit(run_id)))
+        self.append("observations", observations, run_id)
+        self.append("cases", cases, run_id)
+        self.append("events", events.coalesce(1), run_id)  # one file: there as a whole or not at all
+        return True
+
+    def record(self, run_id: str, events: DataFrame) -> bool:
+        """Events without observations or cases: reviewers' verdicts."""
+        if not self.table("events", EVENTS).where(F.col("run_id") == run_id).isEmpty():
+            return False
+        self.append("events", events.coalesce(1), run_id)
         return True
 
     def state(self) -> DataFrame:
@@ -54,6 +62,32 @@ class KnowledgeBase:
         """Cases that their reference's last event points at."""
         return self.table("cases").join(self.state().select("reference", "run_id", "pile", "status"), ["reference", "run_id"])
 
+    def batch(self, run_ids: list[str]) -> DataFrame:
+        """The cases of some runs as they were logged."""
+        return self.table("cases").where(F.col("run_id").isin(*run_ids))
+
+    def export_rows(self) -> DataFrame:
+        """Raw observations of the run that counts for every tender in the base or the quarantine."""
+        return self.observations("base").unionByName(self.observations("quarantine"))
+
+    def status_counts(self) -> DataFrame:
+        return self.state().groupBy("pile", "status").agg(F.count("*").alias("tenders"))
+
+
+def base_rows(observations: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Level-2 rows of raw observations: labels mapped, unknown ones dropped, each requirement of a tender once, converted ones only."""
+    from awardgrid.operators import level2
+    from awardgrid.operators.observations import apply_label_map, dedup_observations
+
+    mapped = apply_label_map(observations, mapping)
+    return level2.prepare(dedup_observations(mapped, "reference", F.substring("unspsc8", 1, 8), [F.asc("file"), F.asc("line_no"), F.asc("row_seq"), F.asc_nulls_last("base_value")]))
+
+
+def comparable_attributes(rows: DataFrame, least: int = 8, most: int = 15) -> DataFrame:
+    """The attributes with enough tenders to be judged, those with most first: a top-k report."""
+    counts = rows.groupBy("family", "dimension", "label").agg(F.count_distinct("reference").alias("tenders")).where(F.col("tenders") >= least)
+    return counts.orderBy(F.desc("tenders"), F.desc("family"), F.desc("dimension"), F.desc("label")).limit(most)
+
 
 def last_event(events: DataFrame, key: str, *order: Column) -> DataFrame:
     return events.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
@@ -69,7 +103,7 @@ def work_list(notices: DataFrame, state: DataFrame, documents: DataFrame, until:
     rows = notices.join(known, "reference", "left").join(have, "reference", "left")
     due = F.col("_status").isNull() | ((F.col("_status") == "no_documents") & F.col("_doc").isNotNull()) | (F.col("_status") == "still_open")
     if until:
-        due = due & (F.coalesce("pub_date", F.lit("9999")) <= until)
+        due = due & F.coalesce(F.col("pub_date") <= until, F.lit(False))  # undated ones wait
     return rows.where(due).drop("_status", "_doc").orderBy(F.coalesce("pub_date", F.lit("9999")), "reference")
 
 
@@ -82,19 +116,48 @@ def reprocess_list(state: DataFrame, feedback: DataFrame, which: str | list[str]
 
 
 def verdict_events(state: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Events that reviewers' latest verdicts call for: ``clean`` moves a case out of the quarantine,
-    ``confirmed`` holds it there; a status that is there already calls for nothing."""
-    latest = last_event(feedback, "reference", F.desc("seq")).select("reference", "verdict", F.substring("note", 1, 200).alias("verdict_note"))
-    rows = state.join(latest, "reference")
-    moved = F.when(F.col("verdict") == "confirmed", "quarantine").when(F.col("observations") > 0, "base").otherwise("none")
-    due = (F.col("status") != F.col("verdict")) & ((F.col("verdict") == "confirmed") | (F.col("pile") == "quarantine"))
-    return rows.where(due).select("reference", "run_id", "pub_date", F.lit("verdict").alias("event"), F.col("verdict").alias("status"), moved.alias("pile"), "score", "observations", F.col("verdict_note").alias("note"))
-
-
-def peers_before(cases: DataFrame, key: str, order: list[str], pile: str = "pile") -> DataFrame:
-    """Adds ``peers_at_time``: how many cases of the key were in the base before this one."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return cases.withColumn("peers_at_time", F.coalesce(F.sum((F.col(pile) == "base").cast("long")).over(w), F.lit(0)))
+    """Events that reviewers' latest verdicts call for, and what is said of all of them.
+
+    (reference, said, and an event's columns, null where nothing is to be done.) ``confirmed`` holds a
+    case in the quarantine from any pile; ``clean`` moves one out of it, to the base if it had documents;
+    a status that is there already calls for nothing; other verdicts and unknown references are skipped.
+    """
+    latest = last_event(feedback.where("reference is not null").withColumn("reference", F.trim("reference")), "reference", F.desc("seq"))
+    latest = latest.select("reference", F.lower(F.trim("verdict")).alias("verdict"), F.substring("note", 1, 200).alias("_note"))
+    rows = latest.join(state, "reference", "left")
+    becomes = F.when(F.col("verdict") == "clean", "reviewed_clean").otherwise("confirmed")
+    moved = F.when(F.col("verdict") == "confirmed", "quarantine").when(F.col("status") != "no_documents", "base").otherwise("none")
+    skip = (
+        F.when(~F.coalesce(F.col("verdict").isin("clean", "confirmed"), F.lit(False)), "skip: verdict must be 'clean' or 'confirmed'").when(F.col("run_id").isNull(), "skip: not in the register")
+        .when(F.col("status") == becomes, "already applied").when((F.col("pile") != "quarantine") & (F.col("verdict") == "clean"), F.concat(F.lit("skip: not in quarantine (pile="), "pile", F.lit(")")))
+    )
+    due = lambda c: F.when(skip.isNull(), c)
+    return rows.select(
+        "reference", F.coalesce(skip, F.concat("verdict", F.lit(" -> "), moved)).alias("said"), due(F.col("run_id")).alias("run_id"), due(F.col("pub_date")).alias("pub_date"), due(F.lit("feedback")).alias("event"),
+        due(becomes).alias("status"), due(moved).alias("pile"), due(F.col("score")).alias("score"), due(F.col("observations")).alias("observations"), due(F.col("_note")).alias("note"),
+    )
+
+
+def record_verdict(kb: KnowledgeBase, run_id: str, reference: str, verdict: str, note: str = "") -> str:
+    """Apply one reviewer's verdict, and append its event unless it is skipped or applied already."""
+    said = verdict_events(kb.state(), kb.spark.createDataFrame([(1, reference, verdict, note)], "seq long, reference string, verdict string, note string"))
+    row = said.first()
+    if row is None or row["run_id"] is None:
+        return row["said"] if row else "skip: no reference"
+    seq = kb.table("events").agg(F.max("seq")).first()[0] + 1
+    kb.record(run_id, said.select(F.lit(seq).cast("long").alias("seq"), "reference", "pub_date", "event", "status", "pile", "score", "observations", "note"))
+    return row["said"]
+
+
+def peers_before(cases: DataFrame, key: str, order: list[str], stretch: Column, pile: str = "pile") -> DataFrame:
+    """Adds ``peers_at_time``: how many cases of the key were in the base before this one.
+
+    ``stretch`` cuts the order, as ``running`` explains.
+    """
+    from awardgrid.operators.selection import running
+
+    out = running(cases, [key], [F.asc(c) for c in order], stretch, {"peers_at_time": ("count", F.when(F.col(pile) == "base", 1))})
+    return out.withColumn("peers_at_time", F.coalesce("peers_at_time", F.lit(0)))
 
 
 def run_stream(kb: KnowledgeBase, notices: DataFrame, evaluate: Callable[[DataFrame, KnowledgeBase], tuple[DataFrame, DataFrame, DataFrame]], checkpoint: str):

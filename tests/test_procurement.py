@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import statistics
 from collections import Counter
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from awardgrid.functions import measures, names
 from awardgrid.operators import awards, matching, observations, scoring, screening, selection, stats
 from awardgrid.sources import feeds
-from awardgrid.streaming.knowledge_base import KnowledgeBase, last_event, reprocess_list, run_stream, verdict_events, work_list
+from awardgrid.streaming.knowledge_base import KnowledgeBase, last_event, record_verdict, reprocess_list, run_stream, verdict_events, work_list
 
 
 def column(spark, values, f):
@@ -20,12 +21,17 @@ def column(spark, values, f):
 
 
 def test_names(spark):
-    assert column(spark, ["Acme Tools Inc.", "ACME, TOOLS LTD", "Société Générale Ltée", None, "Co-op Ltd."], names.normal_name) == ["ACME TOOLS", "ACME TOOLS", "SOCIÉTÉ GÉNÉRALE LTÉE", None, "OP"]
+    assert column(spark, ["Acme Tools Inc.", "ACME, TOOLS LTD", "Société Générale Ltée", None, "Co-op Ltd.", "Smith & Sons SRL", "Bell LLP"], names.normal_name) == ["ACME TOOLS", "ACME TOOLS", "SOCIÉTÉ GÉNÉRALE", None, "OP", "SMITH SONS", "BELL LLP"]
     assert column(spark, ["K1A 0B1", " k1a-0b1", "", None], names.postal_code) == ["K1A0B1", "K1A0B1", None, None]
-    assert column(spark, ["The Northern Group Ltd", "12345 Canada Inc", "Abc Marine"], names.first_word) == ["NORTHERN", None, "MARINE"]
-    assert column(spark, ["W8476-123456/A", "AB-01", None], names.base_solicitation) == ["W8476-123456", "AB-01", None]
-    assert column(spark, ["*GD\n*SRV\n*GD", "", None], names.categories) == [["GD", "SRV"], [], None]
-    assert column(spark, ["*12\n*25101500 x", "*1"], names.first_code) == ["25101500", None]
+    assert column(spark, ["AGILENT TECHNOLOGIES CANADA", "THE GROUP"], names.core_name) == ["AGILENT TECHNOLOGIES", ""]
+    assert column(spark, ["THE NORTHERN GROUP", "12345 CANADA", "ABC MARINE"], names.first_word) == ["NORTHERN", None, "MARINE"]
+    assert column(spark, ["BELL J V", "ACME JOINT VENTURE", "CONSORTIUM X"], names.joint_venture) == [True, True, False]
+    assert column(spark, ["W8476-246744/A", "23-58204 Version B", "AB-01", "E60HP_1A", "SOL123456C", None], names.base_solicitation) == ["W8476-246744", "23-58204", "AB-01", "E60HP_1A", "SOL123456", None]
+    assert column(spark, ["*GD\n*SRV\n*GD", "", None, "*cnst; GD"], names.categories) == [["GD", "SRV"], [], [], ["CNST", "GD"]]
+    assert column(spark, ["*12\n*25101500 x", "*1", "25101500, 4110", "2510|4110", None], names.first_code) == ["25101500", None, "25101500", "2510", None]
+    assert column(spark, ["Acme Ltd - Ottawa (K2E7L6); 6 award(s)", "acme"], names.listed_name) == ["ACME LTD", "ACME"]
+    frame = spark.createDataFrame([("https://x/d/An Annex.PDF?x=1", 3), ("https://x/d/plain", 12), ("https://x/.hidden", 100)], "u string, i int")
+    assert [r[0] for r in frame.select(names.url_filename(F.col("u"), F.col("i"))).collect()] == ["03_An_Annex.pdf", "12_plain", "100_hidden"]
 
 
 def test_numbers(spark):
@@ -70,11 +76,15 @@ def test_harvest(spark):
     assert len(band) == 1 and (band[0].value_lo, band[0].value_hi, band[0].band_width, band[0].base_value) == (38.0, 100.0, 62.0, 69.0)
     folded = observations.fold_restatements(bands, keys).where("reference = 'r1'")
     assert {(r.label, r.unit, r.restated, r.also_stated_as) for r in folded.collect()} == {("chamber depth", "cm", 2, "27.5 in"), ("gross weight", "kg", 2, "29983 lbs"), ("operating", "mm", 1, "")}
-    once = observations.dedup_observations(folded.union(folded), "reference", F.lit("f"), [F.asc("line_no")])
+    once = observations.dedup_observations(folded.union(folded), "reference", F.lit("f"), [F.asc("line_no"), F.asc("row_seq")])
     assert once.count() == 3 and {r.restated for r in once.collect()} == {2}
     mapped = observations.apply_label_map(folded.drop("restated"), spark.createDataFrame([("operating", "unknown"), ("gross weight", "mass")], "label string, canonical string"))
     assert {r.label for r in mapped.collect()} == {"chamber depth", "mass"}
-    assert observations.label_statistics(folded, [], "reference").where("label = 'gross weight'").first().tenders == 1
+    told = observations.label_statistics(folded.withColumn("pub_date", F.lit("2026-01-01")), [], "reference").where("label = 'gross weight'").first()
+    assert (told.tenders, told.above, told.first_date, told.spellings) == (1, 1, "2026-01-01", ["Gross weight"])
+    # two values met in their order on the line: the metric one first, whatever its text sorts like
+    twice = observations.extract_observations(spark.createDataFrame([("r9", "a", "STATEMENT OF WORK\nThe tank volume is 9 L (2 L) and 10 cm (3.937 in)")], "reference string, document string, text string"), spark.createDataFrame([("r9", "", "2026-02-03")], "reference string, unspsc8 string, pub_date string"), "run", "2510")
+    assert {(r.value, r.unit, r.restated, r.also_stated_as, r.unspsc8, r.run_id) for r in twice.collect()} == {("9", "L", 1, "", "2510", "run"), ("2", "L", 1, "", "2510", "run"), ("10", "cm", 2, "3.937 in", "2510", "run")}
 
 
 def test_section_found_but_empty_reads_the_whole(spark):
@@ -83,19 +93,6 @@ def test_section_found_but_empty_reads_the_whole(spark):
     assert [(r.scope, r.value) for r in rows.collect()] == [("whole_empty", "5")]
 
 
-def test_question_mask(spark):
-    lines = ["Q1: is brand X needed?", "more of it", "A1: no", "text", "Question 2: or Y", "", "after"]
-    frame = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)], "doc string, line_no int, line string")
-    got = observations.question_mask(frame, ["doc"]).orderBy("line_no").collect()
-    assert [r.asked for r in got] == [True, True, False, False, True, False, False]
-
-
-def test_merge_spellings(spark):
-    frame = spark.createDataFrame([("r", n) for n in ("Acme Pro 500", "Acme", "Bolt", "Acme Pro")], "reference string, name string")
-    got = {r.name: sorted(r.also_written) for r in observations.merge_spellings(frame, ["reference"], "name").collect()}
-    assert got == {"Acme": ["Acme Pro", "Acme Pro 500"], "Bolt": []}
-
-
 def test_statistics(spark):
     rows = [("a", float(v)) for v in range(1, 22)] + [("b", 1.0)] + [("a", None)]
     got = stats.group_median_mad(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()
@@ -103,6 +100,18 @@ def test_statistics(spark):
     peers = spark.createDataFrame([("k", i, float(i)) for i in range(10)], "k string, m int, v double")
     alone = {r.m: r for r in stats.leave_one_out(peers, ["k"], "m", "v").collect()}
     assert alone[0].median == 5.0 and alone[9].median == 4.0 and alone[9].n == 9 and alone[9].spread == 8.0
+    r = random.Random(4)
+    many = [(f"k{r.randint(0, 5)}", i, float(r.choice([1, 2, 2, 3, 50, r.random()]))) for i in range(90)]
+    got = {(x.k, x.m): x for x in stats.leave_one_out(spark.createDataFrame(many, "k string, m int, v double"), ["k"], "m", "v", 3).collect()}
+    for k, m, _ in many:
+        rest = [v for a, b, v in many if a == k and b != m]
+        if len(rest) >= 3:
+            mid = statistics.median(rest)
+            want = (len(rest), mid, statistics.median(abs(v - mid) for v in rest) * 1.4826, min(rest), max(rest))
+            assert (got[k, m].n, got[k, m].median, pytest.approx(got[k, m].mad), got[k, m].low, got[k, m].high) == want
+    large = {x.k: (x.n, x.median, x.mad) for x in stats.group_median_mad(spark.createDataFrame(many, "k string, m int, v double"), ["k"], "v", 1, large=True).collect()}
+    plain = {x.k: (x.n, x.median, x.mad) for x in stats.group_median_mad(spark.createDataFrame(many, "k string, m int, v double"), ["k"], "v", 1).collect()}
+    assert {k: pytest.approx(v) for k, v in large.items()} == plain and len(plain) > 4
     q = {r.p: r.quantile for r in stats.nearest_rank_quantiles(peers, ["k"], "v").collect()}
     assert q == {0.0: 0.0, 0.25: 2.0, 0.5: 5.0, 0.75: 7.0, 1.0: 9.0}
     none = stats.precision_recall(peers, F.lit(False), F.lit(False)).first()
@@ -141,7 +150,7 @@ def test_spelling_variants_of_crowded_keys(spark):
     rows = [(f"{r.choice(['Marine', 'Marine', 'Bolts', '12'])} {r.choice(['North', 'South'])} {i:03}", r.choice(["K1A 0B1", "k1a0b1", "H2X", "", None])) for i in range(160)]
     rows += [(n, r.choice(["H2X", "Z9", None])) for n, _ in r.sample(rows, 50)] + [(f"Marine Zed {i:03}", "Z9") for i in range(5)] + [("Marine Alone", None), (None, "H2X")]
     frame = spark.createDataFrame(rows, "name string, postal string")
-    word = {x.name: x.w or "" for x in frame.select("name", names.first_word(F.col("name")).alias("w")).collect()}
+    word = {x.name: x.w or "" for x in frame.select("name", names.first_word(names.normal_name(F.col("name"))).alias("w")).collect()}
     codes = {n: {c for m, p in rows if m == n and (c := re.sub("[^A-Z0-9]", "", (p or "").upper()))} for n in word if n}
     want = set()
     for n in codes:
@@ -185,19 +194,28 @@ def test_screen(spark):
 def test_scoring(spark):
     claims = [("r", i, *c) for i, c in enumerate([
         ("M2", "brand_without_equivalent", False), ("M2", "brand_without_equivalent", True), ("M2", "brand_without_equivalent", True), ("M2", "brand_without_equivalent", True),
-        ("M2", "narrow_band", True), ("M1", "no_trade_agreement", True)])]
-    claims += [("w", 0, "M1", "no_trade_agreement", True), ("w", 1, "M1", "acan", True), ("o", 0, "M3", "dependent_supplier", True)]
+        ("M2", "narrow_band", True), ("M1", "no_trade_agreement", True), ("M3", "recurring_supplier", True)])]
+    claims += [("w", 0, "M1", "no_trade_agreement", True), ("w", 1, "M1", "acan", True), ("o", 0, "M3", "dependent_supplier", True), ("s", 0, "M1", "acan", True), ("s", 1, "M1", "short_window", True)]
     frame = spark.createDataFrame(claims, "reference string, seq int, agent string, kind string, verified boolean")
     scored = scoring.score_claims(frame, ["reference"], "seq")
     got = [(r.points, r.why_zero) for r in scored.where("reference = 'r'").orderBy("seq").collect()]
-    assert got == [(0, "unverified"), (3, None), (3, None), (0, "over_cap"), (1, None), (1, None)]
+    assert got == [(0, "unverified"), (3, None), (3, None), (0, "over_cap"), (1, None), (1, None), (1, None)]
     routes = {r.reference: (r.score, r.route) for r in scoring.decide_routes(scored, ["reference"]).collect()}
-    assert routes == {"r": (8, "alert"), "w": (2, "close"), "o": (2, "watch")}
+    assert routes == {"r": (9, "alert"), "w": (3, "close"), "o": (0, "close"), "s": (3, "watch")}
     queue = scoring.rank_queue(scoring.decide_routes(scored, ["reference"]), "reference").orderBy("position").collect()
-    assert [(r.position, r.reference) for r in queue] == [(1, "r"), (2, "o"), (3, "w")]
+    assert [(r.position, r.reference) for r in queue] == [(1, "r"), (2, "s"), (3, "w"), (4, "o")]
     assert [r[0] for r in spark.createDataFrame([("alert", False), ("close", True), ("close", False)], "r string, d boolean").select(scoring.pile(F.col("r"), F.col("d"))).collect()] == ["quarantine", "base", "none"]
 
 
+def test_winner_claims(spark):
+    finding = lambda ref, i, brand, checked: (ref, i, "M2", "brand_without_equivalent", 1, "medium", brand, "c", None, None, None, None, "spec", "p1", "words", checked)
+    rows = [finding("a", 1, "Ford", True), finding("a", 2, "GE Healthcare", True), finding("a", 3, "Ford", False), finding("b", 1, "Bendix Commercial", True), finding("c", 1, "Zed", True)]
+    found = spark.createDataFrame(rows, f"reference string, i int, {scoring.CLAIM}")
+    won = spark.createDataFrame([("a", "FORD MOTOR COMPANY", ["FORD MOTOR COMPANY"], [], "2026"), ("b", "BENDIX CVS", ["BENDIX CVS"], ["BENDIX COMMERCIAL VEHICLE SYSTEMS"], ""), ("c", "A", ["A", "ZED LTD"], None, None)], "reference string, supplier string, winners array<string>, other_spellings array<string>, award_date string")
+    got = {(r.reference, r.i): r.claim for r in scoring.winner_claims(found, won).collect()}
+    assert set(got) == {("a", 1), ("b", 1), ("c", 1)} and "(also written BENDIX COMMERCIAL" in got["b", 1] and "one of the 2 suppliers" in got["c", 1]
+
+
 def test_selection(spark):
     frame = spark.createDataFrame([("g", i) for i in range(10)], "k string, v int")
     assert sorted(r.v for r in selection.evenly_spaced(frame, ["k"], [F.asc("v")], 4).collect()) == [0, 2, 5, 7]
@@ -222,11 +240,26 @@ def test_knowledge_base(spark, tmp_path):
     docs = spark.createDataFrame([("b",)], "reference string")
     assert [r.reference for r in work_list(notices, kb.state(), docs).collect()] == ["e", "b", "c", "d"]
     assert [r.reference for r in work_list(notices, kb.state(), docs, "2026-01-01").collect()] == ["e"]
+    assert {(r.pile, r.status, r.tenders) for r in kb.status_counts().collect()} == {("quarantine", "alert", 1), ("none", "no_documents", 1), ("base", "still_open", 1)}
     feedback = spark.createDataFrame([(1, "a", "confirmed", "x"), (2, "a", "clean", "y" * 300), (3, "c", "clean", "")], "seq long, reference string, verdict string, note string")
-    moved = verdict_events(kb.state(), feedback).collect()
-    assert [(r.reference, r.pile, r.status, len(r.note)) for r in moved] == [("a", "base", "clean", 200)]
+    moved = {r.reference: r for r in verdict_events(kb.state(), feedback).collect()}
+    assert (moved["a"].pile, moved["a"].status, len(moved["a"].note), moved["a"].said) == ("base", "reviewed_clean", 200, "clean -> base")
+    assert moved["c"].said == "skip: not in quarantine (pile=base)" and moved["c"].run_id is None
     assert [r.reference for r in reprocess_list(kb.state(), feedback, "all").collect()] == ["b"]
     assert last_event(feedback, "reference", F.desc("seq")).count() == 2
+    assert record_verdict(kb, "v1", "a", "Confirmed", "seen") == "confirmed -> quarantine" and record_verdict(kb, "v2", "a", "confirmed") == "already applied"
+    assert {r.reference: (r.status, r.pile) for r in kb.state().collect()}["a"] == ("confirmed", "quarantine") and feeds.known_groups(spark, str(tmp_path)) == ["kb"]
+
+
+def test_replay_after_a_crash(spark, tmp_path):
+    """A run that stopped after its first append is written again, not twice."""
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    rows = spark.createDataFrame([("a", "x")], "reference string, label string")
+    kb.append("observations", rows, "r1")
+    kb.append("cases", rows, "r1")
+    events = spark.createDataFrame([(1, "a", "2026", "processed", "close", "base", 0, 1, "")], "seq long, reference string, pub_date string, event string, status string, pile string, score int, observations int, note string")
+    assert kb.commit("r1", rows, rows, events) and not kb.commit("r1", rows, rows, events)
+    assert kb.observations("base").count() == 1 and kb.queue().count() == 1
 
 
 def test_stream(spark, tmp_path):
@@ -252,10 +285,11 @@ def test_sources(spark, tmp_path):
     notices.write_text('﻿ref,ttl\nr1,"two\nlines"\nr1,last\n,no reference\nr2,\n', encoding="utf-8")
     got = feeds.read_notices(spark, str(notices), {"reference": "ref", "title": "ttl", "missing": "none"}).orderBy("reference").collect()
     assert [(r.reference, r.title, r.missing) for r in got] == [("r1", "last", None), ("r2", None, None)]
-    header = ["referenceNumber-fra", "referenceNumber-eng", "solicitationNumber-eng", "supplierLegalName-eng", "contractingEntityName-eng", "totalContractValue"]
-    assert feeds.detect_columns(header)["reference"] == "referenceNumber-eng"
+    header = ["referenceNumber-fra", "referenceNumber-eng", "solicitationNumber-eng", "supplierLegalName-eng", "supplierStandardName-eng", "contractingEntityName-eng", "totalContractValue", "unspsc", "title-eng"]
+    found = feeds.detect_columns(header)
+    assert found["reference"] == "referenceNumber-eng" and found["supplier"] == "supplierStandardName-eng" and (found["unspsc"], found["title"]) == ("unspsc", "title-eng")
     with pytest.raises(ValueError):
-        feeds.detect_columns(["supplier", "date"])
+        feeds.detect_columns(["supplierLegalName", "date"])
     (tmp_path / "text/2510").mkdir(parents=True)
     (tmp_path / "text/2510/r1__Annex A.txt").write_text("body\n\x0cpage")
     doc = feeds.read_documents(spark, str(tmp_path / "text")).first()
@@ -264,8 +298,53 @@ def test_sources(spark, tmp_path):
     log.write_text(json.dumps({"run_id": "1", "batch": "b"}) + "\n" + '{"run_id": "2", "ba')
     cases, broken = feeds.read_cases(spark, str(log), "run_id string, batch string")
     assert cases.count() == 1 and broken == 1
-    blobs = spark.createDataFrame([(bytearray(b"%PDF-1.4 /Type /Page /Type /Pages /Type/Page"),), (bytearray(b"PK\x03\x04"),), (bytearray(b"<!DOCTYPE html>"),), (bytearray(b"x"),)], "c binary")
-    assert [r[0] for r in blobs.select(feeds.file_kind(F.col("c"))).collect()] == ["pdf", "zip", "html", "text"]
+    blobs = spark.createDataFrame([(bytearray(b"%PDF-1.4 /Type /Page /Type /Pages /Type/Page"),), (bytearray(b"PK\x03\x04"),), (bytearray(b" <!DOCTYPE html>"),), (bytearray(b"x"),)], "c binary")
+    assert [r[0] for r in blobs.select(feeds.file_kind(F.col("c"))).collect()] == ["pdf", "zip", "html", "unknown"]
     assert blobs.select(feeds.pdf_pages(F.col("c"))).first()[0] == 2
     feeds.write_queue(spark.createDataFrame([("r", 1, [1])], "reference string, score int, claims array<int>"), str(tmp_path / "queue"))
     assert spark.read.option("header", True).csv(str(tmp_path / "queue/csv")).columns == ["reference", "score"]
+
+
+def test_office_files_and_logs(spark, tmp_path):
+    import io
+    import zipfile
+
+    def archive(files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in files.items():
+                z.writestr(name, body)
+        return bytearray(out.getvalue())
+
+    docx = archive({"word/document.xml": "<w:p>One &amp; two</w:p><w:tc>cell</w:tc><w:tab/>x<w:br/>y", "word/header1.xml": "<w:p>head</w:p>"})
+    xlsx = archive({"xl/sharedStrings.xml": "<si><t>70</t></si><si>cm</si>"})
+    files = spark.createDataFrame([("a", docx), ("b", xlsx), ("c", archive({"ppt/x": ""})), ("d", bytearray(b"PK\x03\x04broken")), ("e", bytearray(b"<html><p>Hi</p>")), ("f", bytearray(b"%PDF"))], "path string, content binary")
+    cache = str(tmp_path / "texts")
+    got = {r.path: (r.kind, r.text) for r in feeds.extracted_text(spark, files, cache).collect()}
+    assert got == {"a": ("docx", "One & two\ncell\t\tx\ny\nhead\n"), "b": ("xlsx", "70\ncm\n"), "e": ("html", "Hi")}
+    assert feeds.extracted_text(spark, files.where("path = 'a'"), cache).count() == 1
+    frame = spark.createDataFrame([("x/a.pdf", "docx"), ("a.PDF", "pdf"), ("noend", "zip"), ("a.b", "unknown")], "n string, k string")
+    assert [r[0] for r in frame.select(feeds.retyped_name(F.col("n"), F.col("k"))).collect()] == ["x/a.docx", "a.PDF", "noend.zip", "a.b"]
+    log = tmp_path / "usage.csv"
+    log.write_text("ts,provider,model,tag,prompt_tokens,completion_tokens,total_tokens,cached\n2026-01-01 10:00,g,m,m2_agent,1,2,30,\x00\n2026-01-01 11:00,g,m,m2_agent,1,2,40,1\n")
+    used = feeds.usage_by_agent(feeds.read_log(spark, str(log)), "2026-01-01", {"m2_agent": "M2"}).first()
+    assert (used.agent, used.calls, used.cached, used.tokens, used.today) == ("M2", 2, 1, 30, True)
+    path = tmp_path / "map.json"
+    feeds.save_map({"b": "x", "a": "y"}, {"n": 1}, str(path))
+    assert feeds.load_map(str(path)) == {"a": "y", "b": "x"} and feeds.load_map(str(tmp_path / "none")) == {}
+    path.write_text("{")
+    with pytest.raises(SystemExit):
+        feeds.load_map(str(path))
+    old, new = tmp_path / "feed.csv", tmp_path / "new.csv"
+    old.write_text("ref,x\n" + "1,2\n" * 50)
+    new.write_text("ref,x\n" + "1,3\n" * 50)
+    assert feeds.replace_if_plausible(str(old), str(new), "ref") == "replaced" and (tmp_path / "previous/feed.csv").exists()
+    new.write_text("ref,x\n1,3\n")
+    with pytest.raises(ValueError):
+        feeds.replace_if_plausible(str(old), str(new), "ref")
+    rows = spark.createDataFrame([("r1", "weight", 5.0, "a, \"b\"\nc")], "reference string, label string, base_value double, context string")
+    feeds.write_observations(rows, str(tmp_path / "obs"))
+    back = feeds.read_observations(spark, str(tmp_path / "obs")).first()
+    assert (back.reference, back.base_value, back.context, back.run_id) == ("r1", 5.0, 'a, "b"\nc', None)
+    feeds.write_settings(str(tmp_path / "batches"), "r1", {"a": 1, "b": object()}, ["x"])
+    assert json.loads((tmp_path / "batches/r1_settings.json").read_text())["settings"] == {"a": 1}

@@ -241,21 +241,22 @@ def default_model() -> FormatModel:
     return _model[0]
 
 
-def learn_formats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, least: int = 20, longest: int = 200) -> FormatModel:
+def learn_formats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, looked: int = 40_000, least: int = 20, longest: int = 200) -> FormatModel:
     """A model of the corpus's own formats beside the published ones.
 
     What the base rules match is labelled by them: the values that are assigned, access ids and hex
     strings are examples of a format each (``least`` of them or more), and letters-only or
-    digits-only runs beside them of plain. They come from about ``sample`` documents with matches,
-    those with the least hashes of their id, ``sample`` distinct examples of a label at most, those
-    with the least hashes, up to ``longest`` characters each. The rest of the corpus isn't drawn.
+    digits-only runs beside them of plain. They come from about ``looked`` documents, those with the
+    least hashes of their id: ``sample`` distinct examples of a label at most, those with the least
+    hashes, up to ``longest`` characters each. The rest of the corpus isn't read for this.
     """
-    hints = "|".join([*(f"[{c}{c.upper()}]{rest}" for c, rest in (("p", "assw"), ("s", "ecret"), ("t", "oken"), ("a", "pi"))), "AKIA", "[0-9a-f]{16}"])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(hints))
-    n = rows.count()
+    n = docs.count()
     if not n:
         return default_model()
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1 << 52)) < float(1 << 52) * min(1.0, sample / n)).select("text")
+    hints = "|".join([*(f"[{c}{c.upper()}]{rest}" for c, rest in (("p", "assw"), ("s", "ecret"), ("t", "oken"), ("a", "pi"))), "AKIA", "[0-9a-f]{16}"])
+    near = F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1 << 52)) < float(1 << 52) * min(1.0, looked / n)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(near)
+    picked = rows.where(F.col("text").rlike(hints)).select("text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,6 +278,8 @@ def learn_formats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own: dict[str, list[str]] = {}
     for r in told.withColumn("nth", nth).where(F.col("nth") <= sample).orderBy("kind", "nth").collect():
         own.setdefault(r["kind"], []).append(r["value"])
+    if not any(k != "plain" and len(v) >= least for k, v in own.items()):
+        return default_model()
     examples["plain"] = examples["plain"] + own.pop("plain", [])[: len(examples["plain"])]
     return FormatModel(examples | {k: v[:500] for k, v in own.items() if len(v) >= least})
 

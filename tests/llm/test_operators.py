@@ -351,9 +351,12 @@ def test_quality_rules(spark, docs, rows, awkward, empty):
     assert quality_rules.apply_rules(spark, docs, labels.where("false")).where("not base_failed and not kept").collect() == []
 
 
-def test_viterbi_is_the_best_path():
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_viterbi_is_the_best_path(monkeypatch, block):
     from itertools import product
 
+    monkeypatch.setattr(quality_rules, "BLOCK", block)
+
     r = np.random.Generator(np.random.PCG64(4))
     x = r.normal(size=(23, len(quality_rules.FEATURES)))
     first = np.array([0, 1, 1, 7, 15, 23])
@@ -455,3 +458,91 @@ def test_shingle_kernel(texts):
             _, bounds = kernels.shingle_sets(kernels.words(data, offs, lower=True), k)
             sizes += np.diff(bounds).tolist()
         assert sizes == [len(shingle_set(t, k)) for t in texts]
+
+
+def test_statistics_of_texts(spark, docs, rows):
+    """The classifier's columns against plain Python."""
+    want = {}
+    for d, t, *_ in rows:
+        t = t or ""
+        words, lines = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w], [x for x in t.split("\n") if x]
+        n, n_words = max(len(t), 1), max(len(words), 1)
+        count = lambda p: len(re.findall(p, t)) / n  # noqa: B023, E731
+        want[d] = (
+            count(r"[#*$%&|<>{}\\^~=_@]"), count("!"), count("[A-Z]"), count("[0-9]"), count("[.,]"), n / n_words, len(set(words)) / n_words, len(set(lines)) / max(len(lines), 1), n_words / max(len(lines), 1), np.log(n_words),
+        )
+    labels = spark.createDataFrame([(d, int(i % 2), 0) for i, (d, *_) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: tuple(r[c] for c in quality_classifier.STATISTICS) for r in quality_classifier.score_quality(spark, docs, labels).collect()}
+    assert all(got[d] == pytest.approx(want[d]) for d in want) and len(got) == len(want)
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    """A labelled row repeated many times is learned from once."""
+    made = [(i, "JUNK!! ### " * 10 if i % 2 else "some plain words here. " * 10, None, None, None) for i in range(60)]
+    once, often = spark.createDataFrame(made, DOCS), spark.createDataFrame(made + made[:1] * 300, DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.learn_ensemble(once, labels) == quality_classifier.learn_ensemble(often, labels)
+    a, b = quality_rules.learn_field(once, labels), quality_rules.learn_field(often, labels)
+    assert np.allclose(a.weight, b.weight)
+
+
+def test_out_of_place_distance(spark, monkeypatch):
+    """Rank profiles and distances against a version with dictionaries; languages beyond the bound raise."""
+    r = random.Random(9)
+    made = [(i, " ".join("".join(r.choices({"aa": "abcde", "bb": "cdefé"}[k], k=r.randint(1, 6))) for _ in range(12)), k, None, None) for i, k in enumerate(["aa", "bb"] * 30)]
+    frame = spark.createDataFrame([m + ("x", "y", "z") for m in made], DOCS + ", c0 string, lang_pred string, h string")
+
+    def ranks(text, most):
+        blank = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode())
+        raw = b" " + blank.strip(b" ") + b" "
+        count = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(raw) - n + 1):
+                g = raw[i : i + n]
+                if (n == 1 and g != b" ") or (n == 2 and g[1:] != b" ") or (n == 3 and g[1:2] != b" "):
+                    count[g] += 1
+        return count
+
+    size = 50
+    learned = [m for m in made if zlib.crc32(str(m[0]).encode()) % 4 != 2]
+    code = lambda g: sum(int(language._MAP[c]) << (8 * (len(g) - 1 - k)) for k, c in enumerate(g)) | {1: 1 << 25, 2: 1 << 24, 3: 0}[len(g)]
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))][:size]
+    profiles = {}
+    for k in ("aa", "bb"):
+        total = Counter()
+        for m in learned:
+            if m[2] == k:
+                total += ranks(m[1], size)
+        profiles[k] = {g: i for i, g in enumerate(order(total))}
+    model = language.fit_profiles(frame, sample=10_000, size=size)
+    for m in made:
+        own = order(ranks(m[1], size))
+        far = {k: sum(abs(p[g] - i) if g in p else size for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        other = max(far.values()) if far["aa"] != far["bb"] else far[best]
+        assert model.predict(np.frombuffer(m[1].encode(), np.uint8)) == (best, pytest.approx((other - far[best]) / other))
+    assert language.predict_languages(spark, frame).count() == len(made)
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language.fit_profiles(frame)
+
+
+def test_url_filter_removes_false_positives(spark):
+    """A crowded Bloom filter lets unlisted pages pass; the exact join takes them out again."""
+    listed = spark.range(3000).selectExpr("concat('https://listed.org/p/', id) url")
+    pages = spark.range(9000).selectExpr("id page_id", "concat('http://www.listed.org/p/', id, '.html') url")
+    out = url_filter.filter_urls(spark, pages, listed, urls_per_block=120).toPandas()
+    assert out.listed.sum() == 3000 and (out.page_id[out.listed] < 3000).all() and (out.verdict == "block").sum() == 3000
+    assert 3100 < out.maybe_listed.sum() < 9000
+
+
+def test_learned_formats(spark):
+    """What the base rules label becomes a format of its own, which is found without the rules' context."""
+    r = random.Random(12)
+    key = lambda: "QX" + "".join(r.choices("0123456789", k=6)) + "-" + "".join(r.choices("ABCDEFGHJK", k=8))
+    texts = [f"some words password = {key()} and more" for _ in range(60)] + ["plain words and 4111111111111111 numbers"] * 5
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    model = secrets.learn_formats(frame)
+    assert np.mean([model.matches(key()) for _ in range(50)]) > 0.9 and not secrets.default_model().matches(key())
+    assert not model.matches("4111111111111112") and not model.matches("someratherlongword")
+    assert secrets.learn_formats(frame.where("false")) is secrets.default_model()

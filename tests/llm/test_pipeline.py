@@ -57,3 +57,18 @@ def test_awkward_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, out, SF)
         out.collect()
+
+
+def test_clashing_columns(spark):
+    """Columns that stages use inside, on the documents: they are dropped, and nothing else changes."""
+    rows = [(i, f"plain words that make document number {i} what it is and nothing else", "en", "s", 60) for i in range(6)]
+    plain = "doc_id long, text string, lang string, source string, n_chars long"
+    more = "kept boolean, lang_pred string, redacted string, rep long, group long, h long, n long, doc long, item long, score double"
+    extra = tuple([None] * len(more.split(",")))
+    one, two = spark.createDataFrame(rows, plain), spark.createDataFrame([r + extra for r in rows], f"{plain}, {more}")
+    for name, stage in corpus_pipeline.STAGES:
+        a, b = stage(spark, one, SF), stage(spark, two, SF)
+        assert a.columns == b.columns
+        by = ["doc_id", "start"] if name == "packing" else ["doc_id"]
+        assert a.drop("sequence_id", "offset").orderBy(*by).collect() == b.drop("sequence_id", "offset").orderBy(*by).collect()
+        one = two = a.cache()

@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 
 #: Fixed value: makes a median absolute deviation comparable with a standard deviation.
 MAD_SCALE = 1.4826
+#: Groups of up to so many values are sorted by a task; larger ones are counted by ranges of values.
+TASK_VALUES = 1_000_000
 
 
-def group_median_mad(df: DataFrame, keys: list[str], value: str, least: int = 20, digits: tuple[int, int] | None = None, large: bool = False) -> DataFrame:
+def group_median_mad(df: DataFrame, keys: list[str], value: str, least: int = 20, digits: tuple[int, int] | None = None, large: bool = False, task_values: int = TASK_VALUES) -> DataFrame:
     """Per group: n, median and scaled median absolute deviation, for groups of ``least`` values or more.
 
     Null values are left out; a null key is a group. The deviation is taken from the median as it is;
-    ``digits`` rounds both afterwards. ``large``: few groups, each of which may be too large for a task.
+    ``digits`` rounds both afterwards. ``large``: few groups, each of which may be too large for a task;
+    they are counted first, and with over ``task_values`` values in any of them, medians come from
+    ranges of values (see ``values_at``).
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    large = large and _largest(rows, keys) > task_values
     centre = large_group_median(rows, keys, "_x") if large else rows.groupBy(*keys).agg(F.count("*").alias("n"), F.median("_x").alias("median"))
     centre = centre.where(F.col("n") >= least)
     on = [F.col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)]
@@ -33,6 +38,18 @@ def group_median_mad(df: DataFrame, keys: list[str], value: str, least: int = 20
     return out.withColumns({"median": F.bround("median", digits[0]), "mad": F.bround("mad", digits[1])}) if digits else out
 
 
+def _largest(rows: DataFrame, keys: list[str]) -> int:
+    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """A table of a row or a few for each of few groups, written once; broadcast only if it is small indeed."""
+    from awardgrid.operators.matching import written
+
+    out = written(df, name)
+    return F.broadcast(out) if out.count() <= 1_000_000 else out
+
+
 def _deviation(far: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, median, mad) from rows with their distance from the group's median."""
     own = far.select(*keys, F.col("median").alias("_median"), "_far")
@@ -112,17 +129,16 @@ def values_at(df: DataFrame, keys: list[str], value: str, places: Column, bins:
     task holds or sorts a group. Ranges of a group are a table of ``bins`` rows at most.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    own = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_lo", "_hi")
     same = lambda side: [F.col(c).eqNullSafe(F.col(f"{side}{i}")) for i, c in enumerate(keys)]
+    ends = _small(rows.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "ends")
     place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    ranged = rows.join(own, same("_k")).select(*keys, "_v", place.alias("_bin"))
+    ranged = rows.join(ends, same("_k")).select(*keys, "_v", place.alias("_bin"))
     up = lambda *by: Window.partitionBy(*keys, *by)
     counts = ranged.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
     counts = counts.withColumn("_upto", F.sum("_c").over(up().orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)))
-    asked = ends.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(keys)], "n", F.explode(F.array_distinct(places)).alias("at"))
+    asked = ends.select(*[F.col(f"_k{i}").alias(f"_w{i}") for i in range(len(keys))], "n", F.explode(F.array_distinct(places)).alias("at"))
     held = counts.join(asked, same("_w")).where("_upto - _c <= at and at < _upto")
-    held = held.select(*[F.col(f"_w{i}") for i in range(len(keys))], F.col("_bin").alias("_b"), "n", "at", (F.col("at") - F.col("_upto") + F.col("_c")).alias("_inside"))
+    held = _small(held.select(*[F.col(f"_w{i}") for i in range(len(keys))], F.col("_bin").alias("_b"), "n", "at", (F.col("at") - F.col("_upto") + F.col("_c")).alias("_inside")), "held")
     inside = ranged.join(held.select(*[F.col(f"_w{i}").alias(f"_x{i}") for i in range(len(keys))], F.col("_b").alias("_xb")).distinct(), [*same("_x"), F.col("_bin") == F.col("_xb")], "left_semi")
     inside = inside.groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
     inside = inside.withColumn("_upto", F.sum("_c").over(up("_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
@@ -136,12 +152,22 @@ def large_group_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return values_at(df, keys, value, middle).groupBy(*keys, "n").agg(F.avg(value).alias("median"))
 
 
-def nearest_rank_quantiles(df: DataFrame, keys: list[str], value: str, shares=(0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """The values at index min(int(p * n), n - 1) of each group's sorted values, one row for each share."""
+def nearest_rank_quantiles(df: DataFrame, keys: list[str], value: str, shares=(0.0, 0.25, 0.5, 0.75, 1.0), task_values: int = TASK_VALUES) -> DataFrame:
+    """The values at index min(int(p * n), n - 1) of each group's sorted values, one row for each share.
+
+    Groups are counted first: with over ``task_values`` values in any, see ``values_at``; else a task
+    sorts each.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
     place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-    found = values_at(df, keys, value, F.array(*[place(p) for p in shares]))
+    if _largest(rows, keys) > task_values:
+        found = values_at(rows, keys, value, F.array(*[place(p) for p in shares]))
+    else:
+        w = Window.partitionBy(*keys)
+        found = rows.withColumn("at", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
     share = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), place(p).alias("at")) for p in shares])).alias("q")
-    return found.select(*keys, "n", "at", F.col(value).alias("quantile"), share).where("q.at = at").select(*keys, "q.p", "quantile", "n")
+    wanted = found.where(F.array_contains(F.array(*[place(p) for p in shares]), F.col("at").cast("long")))
+    return wanted.select(*keys, "n", "at", F.col(value).alias("quantile"), share).where("q.at = at").select(*keys, "q.p", "quantile", "n")
 
 
 def share_histogram(df: DataFrame, key: str) -> DataFrame:

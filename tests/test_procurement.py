@@ -109,11 +109,16 @@ def test_statistics(spark):
             mid = statistics.median(rest)
             want = (len(rest), mid, statistics.median(abs(v - mid) for v in rest) * 1.4826, min(rest), max(rest))
             assert (got[k, m].n, got[k, m].median, pytest.approx(got[k, m].mad), got[k, m].low, got[k, m].high) == want
-    large = {x.k: (x.n, x.median, x.mad) for x in stats.group_median_mad(spark.createDataFrame(many, "k string, m int, v double"), ["k"], "v", 1, large=True).collect()}
+    large = {x.k: (x.n, x.median, x.mad) for x in stats.group_median_mad(spark.createDataFrame(many, "k string, m int, v double"), ["k"], "v", 1, large=True, task_values=5).collect()}
     plain = {x.k: (x.n, x.median, x.mad) for x in stats.group_median_mad(spark.createDataFrame(many, "k string, m int, v double"), ["k"], "v", 1).collect()}
     assert {k: pytest.approx(v) for k, v in large.items()} == plain and len(plain) > 4
     q = {r.p: r.quantile for r in stats.nearest_rank_quantiles(peers, ["k"], "v").collect()}
     assert q == {0.0: 0.0, 0.25: 2.0, 0.5: 5.0, 0.75: 7.0, 1.0: 9.0}
+    for most in (3, 100):
+        q = {(x.k, x.p): x.quantile for x in stats.nearest_rank_quantiles(spark.createDataFrame(many, "k string, m int, v double"), ["k"], "v", task_values=most).collect()}
+        for k in {a for a, *_ in many}:
+            own = sorted(v for a, _, v in many if a == k)
+            assert all(q[k, p] == own[min(int(p * len(own)), len(own) - 1)] for p in (0.0, 0.25, 0.5, 0.75, 1.0))
     none = stats.precision_recall(peers, F.lit(False), F.lit(False)).first()
     assert none["precision"] is None and none["recall"] is None
 

@@ -95,10 +95,10 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool) -> Words:
-    """lower: A-Z and a-z count as equal."""
+def words(data: np.ndarray, offs: np.ndarray, lower: bool, blank: np.ndarray = BLANK) -> Words:
+    """lower: A-Z and a-z count as equal. blank: the bytes that words don't hold."""
     n = len(data)
-    solid = ~BLANK[data]
+    solid = ~blank[data]
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from awardgrid.functions import measures, names
-from awardgrid.operators import agents, attachments, awards, brands, documents, evaluation, level2, matching, observations, scoring, screening, selection, stats
+from awardgrid.operators import agents, attachments, awards, brands, documents, evaluation, incremental, level2, matching, observations, scoring, screening, selection, stats
 from awardgrid.plans.registry import query, t
 from awardgrid.sources import feeds
 from awardgrid.streaming import knowledge_base as kb
@@ -578,16 +578,30 @@ def extreme_threshold(spark, sf_dir):
     return rows.select("reference", "value", F.col("peer_median").alias("median"), F.col("peer_mad").alias("mad"), ((F.col("value") - F.col("peer_median")) / F.col("peer_mad")).alias("z"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_JUDGED},
+a AS (SELECT reference, family, median(v) AS v, min(width) AS width, max(CAST(comparator = 'GE' AS INT)) AS ge, max(CAST(comparator = 'LE' AS INT)) AS le, CAST(substr(reference, 2) AS BIGINT) AS p FROM k GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (ORDER BY p, reference) AS turn FROM a),
+w AS (
+  SELECT CAST(0 AS BIGINT) AS turn, CAST([] AS STRUCT(f VARCHAR, v DOUBLE)[]) AS base, CAST(NULL AS VARCHAR) AS reference, CAST(0 AS BIGINT) AS p, 0 AS peers_at_time, CAST('' AS VARCHAR) AS kinds, 0 AS score, CAST('' AS VARCHAR) AS route, CAST('' AS VARCHAR) AS pile
+  UNION ALL
+  SELECT turn, CASE WHEN pile = 'base' THEN list_append(base, {{'f': family, 'v': v}}) ELSE base END, reference, p, peers, kind, score, route, pile
+  FROM (SELECT *, CASE WHEN route <> 'close' THEN 'quarantine' WHEN p % 3 <> 0 THEN 'base' ELSE 'none' END AS pile
+   FROM (SELECT *, CASE WHEN p % 19 = 0 THEN 'close' WHEN p % 7 >= 5 AND p % 5 = 0 THEN 'alert' WHEN score >= 2 AND p % 2 = 0 THEN 'watch' ELSE 'close' END AS route
+    FROM (SELECT *, CAST(p % 4 + CASE WHEN kind <> '' THEN 1 ELSE 0 END AS INT) AS score
+     FROM (SELECT *, CASE WHEN n < 8 THEN '' WHEN width IS NOT NULL AND hi > lo THEN CASE WHEN width / (hi - lo) <= 0.25 THEN 'narrow_band' ELSE '' END
+                          WHEN mad <= 0 OR mad < 0.05 * abs(med) OR ge + le = 0 THEN '' WHEN (v - med) / mad * CASE WHEN ge = 1 THEN 1 ELSE -1 END >= 3 THEN 'extreme_threshold' ELSE '' END AS kind
+      FROM (SELECT *, list_median(list_transform(vs, lambda x: abs(x - med))) * 1.4826 AS mad
+       FROM (SELECT *, len(vs) AS n, list_median(vs) AS med, list_min(vs) AS lo, list_max(vs) AS hi
+        FROM (SELECT o.*, base, CAST(len(base) AS INT) AS peers, list_transform(list_filter(base, lambda x: x.f = family), lambda x: x.v) AS vs FROM w JOIN o ON o.turn = w.turn + 1))))))))
+SELECT '2510' AS "group", reference, CAST(p AS INT) AS place, peers_at_time, kinds, score, route, pile FROM w WHERE turn > 0""")
 def tenders_in_order(spark, sf_dir):
-    """ST3, ST1, J6, W12: tenders judged one after the other against the base as it stood; tested against a plain walk."""
-    rows = peered(spark, sf_dir)
-    told = level2.attributes_of(rows)
+    """ST3, ST1, J6, W12: tenders judged one after the other against the base as it stood, all of one product category."""
+    told = level2.attributes_of(peered(spark, sf_dir))
     key = F.substring("reference", 2, 20).cast("long")
     t_ = told.select(
         F.lit("2510").alias("group"), "reference", key.cast("int").alias("place"), (key % 3 != 0).alias("has_docs"), (key % 19 == 0).alias("closed"), (key % 7).alias("doc_score"), (key % 4).alias("score"), (key % 5 == 0).alias("brand"), (key % 2 == 0).alias("other"), "attributes"
     )
-    return level2.walk_in_order(t_)
+    return incremental.walk_in_order(t_, stretch=1024).withColumn("kinds", F.concat_ws(",", "kinds"))
 
 
 # ---------------------------------------------------------------- knowledge base

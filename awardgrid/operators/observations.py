@@ -6,6 +6,8 @@ A document's lines are rows; what a line needs from its neighbours comes from wi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,15 +88,19 @@ def harvest(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 
 def collapse_bands(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Two different RANGE values of one label and unit on a line become their middle, with both ends kept."""
-    on = [*keys, "line_no", "label", "unit"]
-    w = Window.partitionBy(*on, "comparator")
-    v = F.col("value").cast("double")
+    """Two different RANGE values of one label and unit on a line become their middle, with both ends kept.
+
+    Values that are no numbers don't count as bounds. The first row of the line, by ``row_seq``, stands
+    for the band. Middle and width are rounded to six places.
+    """
+    w = Window.partitionBy(*keys, "line_no", "label", "unit", "comparator")
+    v = F.expr("try_cast(value as double)")
     low, high = F.min(v).over(w), F.max(v).over(w)
-    pair = (F.col("comparator") == "RANGE") & (F.count("*").over(w) == 2) & (low < high)
-    out = rows.withColumn("value_lo", F.when(pair, low)).withColumn("value_hi", F.when(pair, high)).withColumn("_n", F.when(pair, F.row_number().over(w.orderBy(v))).otherwise(1))
-    middle = ((F.col("value_lo") + F.col("value_hi")) / 2).cast("string")
-    return out.where("_n = 1").drop("_n").withColumn("band_width", F.col("value_hi") - F.col("value_lo")).withColumn("value", F.coalesce(middle, "value"))
+    pair = (F.col("comparator") == "RANGE") & (F.count(v).over(w) == 2) & (low < high)
+    nth = F.row_number().over(w.orderBy("row_seq"))
+    out = rows.withColumns({"value_lo": F.when(pair, low), "value_hi": F.when(pair, high), "_n": F.when(pair, nth).otherwise(1)}).where("_n = 1").drop("_n")
+    middle = M.plain_number(F.round((F.col("value_lo") + F.col("value_hi")) / 2, 6))
+    return out.withColumn("band_width", F.round(F.col("value_hi") - F.col("value_lo"), 6)).withColumn("value", F.coalesce(middle, "value"))
 
 
 def convert_units(rows: DataFrame) -> DataFrame:
@@ -151,16 +157,19 @@ def label_statistics(rows: DataFrame, keys: list[str], reference: str, most: int
     """Per label: tenders, rows, comparators, labels from above, converted values and their median, first and
     last date, and its most frequent raw spellings (the first by name at a tie)."""
     from awardgrid.operators.selection import top_k
+    from awardgrid.operators.stats import interpolated
 
     on = [*keys, "dimension", "label"]
     counts = [F.count_if(F.col("comparator") == c).alias(c.lower()) for c in ("GE", "LE", "RANGE", "EQ", "NONE")]
     out = rows.groupBy(*on).agg(
         F.count_distinct(reference).alias("tenders"), F.count("*").alias("observations"), *counts, F.count_if(F.col("label_src") == "above").alias("above"),
-        F.count("base_value").alias("converted"), F.median("base_value").alias("median_value"), F.min("pub_date").alias("first_date"), F.max("pub_date").alias("last_date"),
+        F.count("base_value").alias("converted"), F.min("pub_date").alias("first_date"), F.max("pub_date").alias("last_date"),
     )
     raw = top_k(rows.groupBy(*on, "raw_label").agg(F.count("*").alias("_n")), on, [F.desc("_n"), F.asc("raw_label")], most, "_r")
     raw = raw.groupBy(*on).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "raw_label"))), lambda x: x["raw_label"]).alias("spellings"))
-    return out.join(raw, on, "left")
+    middle = interpolated(rows, on, "base_value", {"median_value": 0.5})
+    same = reduce(lambda a, b: a & b, [F.col(f"o.{c}").eqNullSafe(F.col(f"m.{c}")) for c in on])
+    return out.alias("o").join(middle.alias("m"), same, "left").select("o.*", "median_value").join(raw, on, "left")
 
 
 def hygiene(rows: DataFrame) -> DataFrame:

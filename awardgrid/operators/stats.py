@@ -42,14 +42,6 @@ def _largest(rows: DataFrame, keys: list[str]) -> int:
     return rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
-def _small(df: DataFrame, name: str) -> DataFrame:
-    """A table of a row or a few for each of few groups, written once; broadcast only if it is small indeed."""
-    from awardgrid.operators.matching import written
-
-    out = written(df, name)
-    return F.broadcast(out) if out.count() <= 1_000_000 else out
-
-
 def _deviation(far: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, median, mad) from rows with their distance from the group's median."""
     own = far.select(*keys, F.col("median").alias("_median"), "_far")
@@ -121,42 +113,55 @@ def judge_level(direction: Column, value: Column, median: Column, mad: Column, s
     return F.when(width.isNotNull() & (spread > 0), narrow).when(direction.isNotNull(), strict)
 
 
-def values_at(df: DataFrame, keys: list[str], value: str, places: Column, bins: int = 1024) -> DataFrame:
+def values_at(df: DataFrame, keys: list[str], value: str, places: Column) -> DataFrame:
     """(keys, n, at, value): the values at some places of each group's sorted values, for groups of any size.
 
-    ``places`` is an array of places from 0, in terms of the column ``n``. Values are counted by range
-    between a group's ends; only ranges that hold a place are looked into, by distinct value. So no
-    task holds or sorts a group. Ranges of a group are a table of ``bins`` rows at most.
+    ``places`` is an array of places from 0, in terms of the column ``n``. Values keep their type, which
+    may be any that is ordered: numbers, decimals, dates, strings. Equal ones are counted where the rows
+    are; distinct ones are cut into ranges by sampled splitters over (keys, value), so a group of any size is spread; and only
+    ranges that hold a place are sorted. Null values are left out; a null key is a group.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    same = lambda side: [F.col(c).eqNullSafe(F.col(f"{side}{i}")) for i, c in enumerate(keys)]
-    ends = _small(rows.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "ends")
-    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    ranged = rows.join(ends, same("_k")).select(*keys, "_v", place.alias("_bin"))
-    up = lambda *by: Window.partitionBy(*keys, *by)
-    counts = ranged.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_upto", F.sum("_c").over(up().orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)))
-    asked = ends.select(*[F.col(f"_k{i}").alias(f"_w{i}") for i in range(len(keys))], "n", F.explode(F.array_distinct(places)).alias("at"))
-    held = counts.join(asked, same("_w")).where("_upto - _c <= at and at < _upto")
-    held = _small(held.select(*[F.col(f"_w{i}") for i in range(len(keys))], F.col("_bin").alias("_b"), "n", "at", (F.col("at") - F.col("_upto") + F.col("_c")).alias("_inside")), "held")
-    inside = ranged.join(held.select(*[F.col(f"_w{i}").alias(f"_x{i}") for i in range(len(keys))], F.col("_b").alias("_xb")).distinct(), [*same("_x"), F.col("_bin") == F.col("_xb")], "left_semi")
-    inside = inside.groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
-    inside = inside.withColumn("_upto", F.sum("_c").over(up("_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    found = inside.join(held, [*same("_w"), F.col("_bin") == F.col("_b")]).where("_upto - _c <= _inside and _inside < _upto")
-    return found.select(*keys, "n", "at", F.col("_v").alias(value))
+    from awardgrid.operators.matching import written
+
+    own = [f"_k{i}" for i in range(len(keys))]
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in own] + [F.col(f"{a}._range") == F.col(f"{b}._range")]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(keys, own, strict=True)], F.col(value).alias("_v"))
+    counted = rows.groupBy(*own, "_v").agg(F.count("*").alias("_c"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(counted.repartitionByRange(parts, *own, "_v").withColumn("_range", F.spark_partition_id()), "ranged")
+    whole = Window.partitionBy(*own)  # over a row for each range of the group
+    before = F.coalesce(F.sum("_s").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranged.groupBy(*own, "_range").agg(F.sum("_c").alias("_s")).withColumns({"_before": before, "n": F.sum("_s").over(whole)})
+    asked = sizes.withColumn("at", F.explode(F.array_distinct(F.transform(places, lambda x: x.cast("long"))))).where("_before <= at and at < _before + _s")
+    asked = written(asked.select(*own, "_range", "n", "at", (F.col("at") - F.col("_before")).alias("_inside")), "asked")
+    upto = F.sum("_c").over(Window.partitionBy(*own, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    near = ranged.alias("r").join(asked.select(*own, "_range").distinct().alias("q"), same("r", "q"), "left_semi").withColumn("_upto", upto)
+    found = near.alias("r").join(asked.alias("q"), same("r", "q")).where("_upto - _c <= _inside and _inside < _upto")
+    return found.select(*[F.col(f"r.{k}").alias(c) for c, k in zip(keys, own, strict=True)], F.col("n").alias("n"), F.col("at").alias("at"), F.col("_v").alias(value))
+
+
+def interpolated(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, and a column for each name in ``shares``): quantiles between neighbouring values, for groups of any size."""
+    at = {name: F.lit(p) * (F.col("n") - 1) for name, p in shares.items()}
+    found = values_at(df, keys, value, F.flatten(F.array(*[F.array(F.floor(x), F.ceil(x)) for x in at.values()])))
+    ends = {}
+    for name, x in at.items():
+        ends |= {f"_a_{name}": F.max(F.when(F.col("at") == F.floor(x), F.col(value))), f"_b_{name}": F.max(F.when(F.col("at") == F.ceil(x), F.col(value)))}
+    ends = found.groupBy(*keys, "n").agg(*[c.cast("double").alias(n) for n, c in ends.items()])
+    return ends.select(*keys, *[(F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * (x - F.floor(x))).alias(n) for n, x in at.items()])
 
 
 def large_group_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, median) for few groups of any size."""
     middle = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
-    return values_at(df, keys, value, middle).groupBy(*keys, "n").agg(F.avg(value).alias("median"))
+    return values_at(df.withColumn(value, F.col(value).cast("double")), keys, value, middle).groupBy(*keys, "n").agg(F.avg(value).alias("median"))
 
 
 def nearest_rank_quantiles(df: DataFrame, keys: list[str], value: str, shares=(0.0, 0.25, 0.5, 0.75, 1.0), task_values: int = TASK_VALUES) -> DataFrame:
     """The values at index min(int(p * n), n - 1) of each group's sorted values, one row for each share.
 
-    Groups are counted first: with over ``task_values`` values in any, see ``values_at``; else a task
-    sorts each.
+    Values are of any ordered type and keep it. Groups are counted first: with over ``task_values`` values
+    in any, see ``values_at``; else a task sorts each.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
     place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
@@ -165,9 +170,9 @@ def nearest_rank_quantiles(df: DataFrame, keys: list[str], value: str, shares=(0
     else:
         w = Window.partitionBy(*keys)
         found = rows.withColumn("at", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    share = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), place(p).alias("at")) for p in shares])).alias("q")
+    share = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), place(p).alias("at")) for p in shares])).alias("_share")
     wanted = found.where(F.array_contains(F.array(*[place(p) for p in shares]), F.col("at").cast("long")))
-    return wanted.select(*keys, "n", "at", F.col(value).alias("quantile"), share).where("q.at = at").select(*keys, "q.p", "quantile", "n")
+    return wanted.select(*keys, "n", "at", F.col(value).alias("quantile"), share).where("_share.at = at").select(*keys, "_share.p", "quantile", "n")
 
 
 def share_histogram(df: DataFrame, key: str) -> DataFrame:

@@ -107,10 +107,19 @@ def category_depth(spark, sf_dir):
 @query("SELECT c_mktsegment, count(*) AS n, count_if(c_acctbal < 0) * 100.0 / count(*) AS missing_percent, quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer GROUP BY 1")
 def feed_profile(spark, sf_dir):
     """Shares and interpolated quantiles of a feed."""
-    return t(spark, sf_dir, "customer")[0].groupBy("c_mktsegment").agg(
-        F.count("*").alias("n"), (F.count_if(F.col("c_acctbal") < 0) * 100.0 / F.count("*")).alias("missing_percent"),
-        F.expr("percentile(c_acctbal, 0.25)").alias("q1"), F.expr("percentile(c_acctbal, 0.75)").alias("q3"),
-    )
+    c = t(spark, sf_dir, "customer")[0]
+    shares = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), (F.count_if(F.col("c_acctbal") < 0) * 100.0 / F.count("*")).alias("missing_percent"))
+    return shares.join(stats.interpolated(c, ["c_mktsegment"], "c_acctbal", {"q1": 0.25, "q3": 0.75}), "c_mktsegment")
+
+
+@query("""WITH r AS (SELECT l_returnflag, l_shipdate, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) - 1 AS pos, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+          q AS (SELECT unnest([0.0, 0.1, 0.5, 0.9, 1.0]) AS p)
+          SELECT l_returnflag, CAST(p AS DOUBLE) AS p, CAST(l_shipdate AS VARCHAR) AS quantile, n FROM r, q WHERE pos = least(CAST(floor(n * p) AS BIGINT), n - 1)""")
+def date_quantiles(spark, sf_dir):
+    """Quantiles of dates in a few large groups, by ranges of values."""
+    li = t(spark, sf_dir, "lineitem")[0]
+    out = stats.nearest_rank_quantiles(li, ["l_returnflag"], "l_shipdate", (0.0, 0.1, 0.5, 0.9, 1.0), task_values=10_000)
+    return out.withColumn("quantile", F.col("quantile").cast("string"))
 
 
 # ---------------------------------------------------------------- awards
@@ -406,7 +415,10 @@ def precision_recall(spark, sf_dir):
 def verdict_pivot(spark, sf_dir):
     """Counts by verdict in columns, with a median."""
     lang = F.col("lang")
-    return t(spark, sf_dir, "documents")[0].groupBy("source").agg(*[F.count_if(lang == x).alias(x) for x in ("en", "fr", "de", "es")], F.median("n_chars").alias("median_chars"))
+    docs = t(spark, sf_dir, "documents")[0].select("source", "lang", "n_chars")
+    counts = docs.groupBy("source").agg(*[F.count_if(lang == x).alias(x) for x in ("en", "fr", "de", "es")])
+    medians = stats.interpolated(docs, ["source"], "n_chars", {"median_chars": 0.5})
+    return counts.alias("c").join(medians.alias("m"), F.col("c.source").eqNullSafe(F.col("m.source")), "left").select("c.*", "median_chars")
 
 
 @query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, n_chars DESC, doc_id) AS rk FROM documents) WHERE rk = 1")

@@ -490,6 +490,24 @@ def base_requirements(spark, sf_dir):
     return rows.groupBy("family", "dimension", "label").agg(F.count_distinct("reference").alias("tenders"), F.count("*").alias("requirements"))
 
 
+BOUNDS = {
+    "reference": "CAST(l_orderkey AS STRING)", "line_no": "l_suppkey % 2", "row_seq": "l_linenumber", "label": "'weight'", "unit": "'kg'", "comparator": case("l_linenumber % 5", "'GE'", other="'RANGE'"),
+    "value": case("l_partkey % 7", "'0.1'", "'0.2'", "'10000000'", "'30000000'", "'n/a'", "'0.00001'", other="CAST(l_partkey % 97 AS STRING)"),
+}
+
+
+@query(f"""WITH {sql("b", BOUNDS, "lineitem")},
+          g AS (SELECT *, try_cast(value AS DOUBLE) AS v, row_number() OVER (PARTITION BY reference, line_no ORDER BY row_seq) AS nth FROM b WHERE comparator = 'RANGE'),
+          p AS (SELECT reference, line_no, min(v) AS lo, max(v) AS hi FROM g GROUP BY 1, 2 HAVING count(v) = 2 AND min(v) < max(v))
+          SELECT reference, line_no, row_seq, comparator, value, CAST(NULL AS DOUBLE) AS value_lo, CAST(NULL AS DOUBLE) AS value_hi, CAST(NULL AS DOUBLE) AS band_width FROM b WHERE comparator <> 'RANGE'
+          UNION ALL SELECT g.reference, g.line_no, row_seq, comparator, CASE WHEN lo IS NULL THEN value ELSE CAST(round((lo + hi) / 2, 6) AS VARCHAR) END, lo, hi, round(hi - lo, 6)
+          FROM g LEFT JOIN p USING (reference, line_no) WHERE lo IS NULL OR nth = 1""")
+def collapsed_bands(spark, sf_dir):
+    """Both bounds of a line become one band, the first row's; other rows stay as they are."""
+    rows = made(t(spark, sf_dir, "lineitem")[0], BOUNDS)
+    return observations.collapse_bands(rows, ["reference"]).select("reference", "line_no", "row_seq", "comparator", "value", "value_lo", "value_hi", "band_width")
+
+
 @query(f"""WITH {_O}, r AS (SELECT dimension, label, raw_label, count(*) AS n, row_number() OVER (PARTITION BY dimension, label ORDER BY count(*) DESC, raw_label) AS rk FROM ob GROUP BY 1, 2, 3),
           s AS (SELECT dimension, label, string_agg(raw_label, '|' ORDER BY rk) AS spellings FROM r WHERE rk <= 4 GROUP BY 1, 2)
           SELECT dimension, label, count(DISTINCT reference) AS tenders, count(*) AS observations, count_if(comparator = 'GE') AS ge, count_if(comparator = 'LE') AS le, count_if(comparator = 'RANGE') AS range, count_if(comparator = 'EQ') AS eq, count_if(comparator = 'NONE') AS none,

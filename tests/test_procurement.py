@@ -1,5 +1,7 @@
 """Procurement operators on small made-up records."""
 
+import datetime
+import decimal
 import json
 import random
 import re
@@ -119,10 +121,41 @@ def test_statistics(spark):
         for k in {a for a, *_ in many}:
             own = sorted(v for a, _, v in many if a == k)
             assert all(q[k, p] == own[min(int(p * len(own)), len(own) - 1)] for p in (0.0, 0.25, 0.5, 0.75, 1.0))
+    middle = {x.k: x for x in stats.interpolated(spark.createDataFrame([*many, (None, 0, 4.0), (None, 1, 9.0), ("k1", 2, None)], "k string, m int, v double"), ["k"], "v", {"q1": 0.25, "half": 0.5}).collect()}
+    assert middle[None].half == 6.5 and middle[None].q1 == 5.25
+    assert all(middle[k].half == statistics.median(v for a, _, v in many if a == k) for k in plain)
     none = stats.precision_recall(peers, F.lit(False), F.lit(False)).first()
     assert none["precision"] is None and none["recall"] is None
 
 
+@pytest.mark.parametrize("kind", ["bigint", "decimal(20,4)", "date", "string", "double"])
+def test_quantiles_keep_their_type(spark, kind):
+    """Both ways, below and above the size that a task sorts; integers beyond 2^53 keep all digits."""
+    r = random.Random(8)
+    of = {"bigint": lambda i: 2**60 + i, "decimal(20,4)": lambda i: decimal.Decimal(i) / 16, "date": lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i), "string": lambda i: f"s{i:03}", "double": float}[kind]
+    rows = [(r.choice(["a", "b", None]), of(r.randint(0, 40))) for _ in range(120)] + [("a", None)]
+    frame = spark.createDataFrame(rows, f"k string, v {kind}").repartition(3)
+    for most in (10, 1000):
+        out = stats.nearest_rank_quantiles(frame, ["k"], "v", (0.0, 0.3, 0.5, 1.0), task_values=most)
+        assert dict(out.dtypes)["quantile"] == kind
+        got = {(x.k, x.p): (x.quantile, x.n) for x in out.collect()}
+        for k in ("a", "b", None):
+            own = sorted(v for a, v in rows if a == k and v is not None)
+            assert all(got[k, p] == (own[min(int(p * len(own)), len(own) - 1)], len(own)) for p in (0.0, 0.3, 0.5, 1.0))
+
+
+def test_bands(spark):
+    rows = [("a", 1, 0, "RANGE", "0.2"), ("a", 1, 1, "RANGE", "0.1"), ("b", 1, 0, "RANGE", "30000000"), ("b", 1, 1, "RANGE", "10000000"), ("c", 1, 0, "RANGE", "n/a"), ("c", 1, 1, "RANGE", "2"), ("c", 1, 2, "RANGE", "3"), ("d", 1, 0, "RANGE", "1"), ("d", 1, 1, "RANGE", "1"),
+            ("e", 1, 0, "RANGE", "1"), ("e", 1, 1, "RANGE", "2"), ("e", 1, 2, "RANGE", "3"), ("f", 1, 0, "GE", "1"), ("f", 1, 1, "GE", "2"), ("g", 1, 0, "RANGE", "0.00001"), ("g", 1, 1, "RANGE", "0.00003")]
+    frame = spark.createDataFrame([(*r, "weight", "kg") for r in rows], "reference string, line_no int, row_seq int, comparator string, value string, label string, unit string")
+    got = sorted((x.reference, x.row_seq, x.value, x.value_lo, x.value_hi, x.band_width) for x in observations.collapse_bands(frame, ["reference"]).collect())
+    assert got == [("a", 0, "0.15", 0.1, 0.2, 0.1), ("b", 0, "20000000.0", 1e7, 3e7, 2e7), ("c", 0, "2.5", 2.0, 3.0, 1.0), ("d", 0, "1", None, None, None), ("d", 1, "1", None, None, None),
+                   ("e", 0, "1", None, None, None), ("e", 1, "2", None, None, None), ("e", 2, "3", None, None, None), ("f", 0, "1", None, None, None), ("f", 1, "2", None, None, None), ("g", 0, "2e-05", 1e-05, 3e-05, 2e-05)]
+    numbers = [0.15, 2e7, 1e16, 1.5e17, 1e-05, 0.0001, 123456.789012, -2.5, 0.0, 9007199254740993.0]
+    out = spark.createDataFrame([(v,) for v in numbers], "v double").select("v", measures.plain_number(F.col("v")).alias("s")).collect()
+    assert all(x.s == repr(x.v) for x in out)
+
+
 def test_judge(spark):
     cases = [(1, 10.0, 1.0, 0.1, 9.0, None, "extreme_threshold"), (-1, 10.0, 1.0, 0.1, 9.0, None, None), (1, 10.0, 9.9, 0.1, 9.0, None, None), (1, 10.0, 1.0, 0.0, 9.0, None, None), (1, 10.0, 1.0, 0.1, 8.0, 2.0, "narrow_band"), (1, 10.0, 1.0, 0.1, 8.0, 2.1, None), (None, 10.0, 1.0, 0.1, 8.0, None, None)]
     frame = spark.createDataFrame(cases, "d int, v double, m double, s double, p double, w double, want string")

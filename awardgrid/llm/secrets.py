@@ -67,6 +67,8 @@ def labelled_credentials(n: int = 300, seed: int = 5) -> dict[str, list[str]]:
         "access_id": lambda: "AKIA" + some(upper, 16),
         "temporary_id": lambda: "ASIA" + some(upper, 16),
         "forge_token": lambda: r.choice(["ghp_", "gho_", "ghs_"]) + some(alnum, 36),
+        "package_token": lambda: "npm_" + some(alnum, 36),
+        "lab_token": lambda: "glpat-" + some(alnum + "-_", 20),
         "payment_key": lambda: r.choice(["sk_", "rk_"]) + r.choice(["live_", "test_"]) + some(alnum, 24),
         "maps_key": lambda: "AIza" + some(alnum + "-_", 35),
         "chat_token": lambda: "xoxb-" + some(string.digits, 12) + "-" + some(string.digits, 12) + "-" + some(alnum, 24),
@@ -98,6 +100,8 @@ class Automaton:
 
     def __init__(self, moves: list[dict[str, tuple[int, float]]], ends: list[float]):
         self.moves, self.ends = moves, ends
+        #: The same for characters after the first ones, whose symbol is a class.
+        self.on = [{s: (k, p - math.log(_SIZES.get(s[1:], 1))) for s, (k, p) in own.items() if s[0] == "%"} for own in moves]
 
     def log_likelihood(self, text: str, miss: float = -8.0) -> float:
         """Mean log chance of a character. A symbol or an end that was never seen costs ``miss``."""
@@ -110,6 +114,27 @@ class Automaton:
             total += p - (math.log(_SIZES.get(s[1:], 1)) if i >= LITERAL else 0)
         return (total + (self.ends[at] if self.ends[at] > -math.inf else 3 * miss)) / (len(text) + 1)
 
+    def log_likelihood_to(self, text: str, classes: list[str], start: int, end: int, known: dict[int, float], miss: float = -8.0) -> float:
+        """``log_likelihood`` of text[start:end]. ``known`` serves all starts for one end: paths that meet in a
+        state at a place go on alike, so each is walked once, and the work is linear in the text, not in its parts."""
+        at, first = 0, 0.0
+        for s in text[start : min(start + LITERAL, end)]:
+            if s in self.moves[at]:
+                at, p = self.moves[at][s]
+                first += p
+            else:
+                first += miss
+        n, i, path = len(self.moves), start + LITERAL, []
+        while i < end and (key := i * n + at) not in known:
+            to, p = self.on[at].get(classes[i], (at, miss))
+            path.append((key, p))
+            at, i = to, i + 1
+        rest = known[i * n + at] if i < end else self.ends[at] if self.ends[at] > -math.inf else 3 * miss
+        for key, p in reversed(path):
+            rest += p
+            known[key] = rest
+        return (first + rest) / (end - start + 1)
+
     def fits(self, text: str) -> bool:
         """Whether the first symbols are all ones that the automaton has seen there."""
         at = 0
@@ -230,6 +255,23 @@ class FormatModel:
         beyond = self.plain.log_likelihood(text) + self.margin
         return any((score := self.automata[k].log_likelihood(text)) >= self.least[k] and score > beyond for k in formats or self.automata)
 
+    def matching(self, text: str, found: dict[tuple[int, int], tuple[str, ...] | None]) -> list[tuple[int, int]]:
+        """Which parts (start, end) of a text match one of their formats (None: any)."""
+        by_end: dict[int, list[int]] = {}
+        for s, e in found:
+            by_end.setdefault(e, []).append(s)
+        classes = ["%" + _CLASS.get(c, c) for c in text] if found else []
+        out = []
+        for e, starts in by_end.items():
+            known: dict[str, dict[int, float]] = {k: {} for k in ("plain", *self.automata)}
+            for s in sorted(starts, reverse=True):
+                beyond = self.plain.log_likelihood_to(text, classes, s, e, known["plain"]) + self.margin
+                for k in found[s, e] or self.automata:
+                    if (score := self.automata[k].log_likelihood_to(text, classes, s, e, known[k])) >= self.least[k] and score > beyond:
+                        out.append((s, e))
+                        break
+        return sorted(out)
+
 
 _model: list[FormatModel] = []
 
@@ -241,14 +283,15 @@ def default_model() -> FormatModel:
     return _model[0]
 
 
-def learn_formats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, looked: int = 40_000, least: int = 20, longest: int = 200) -> FormatModel:
+def learn_formats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, looked: int = 40_000, least: int = 20, longest: int = 200, fitted: int = 500, plain: int = 300) -> FormatModel:
     """A model of the corpus's own formats beside the published ones.
 
     What the base rules match is labelled by them: the values that are assigned, access ids and hex
     strings are examples of a format each (``least`` of them or more), and letters-only or
     digits-only runs beside them of plain. They come from about ``looked`` documents, those with the
     least hashes of their id: ``sample`` distinct examples of a label at most, those with the least
-    hashes, up to ``longest`` characters each. The rest of the corpus isn't read for this.
+    hashes, up to ``longest`` characters each. Of these, the first ``fitted`` of a label, and the first
+    ``plain`` plain ones beside the made ones, go into the automata. The rest of the corpus isn't read for this.
     """
     n = docs.count()
     if not n:
@@ -280,8 +323,8 @@ def learn_formats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         own.setdefault(r["kind"], []).append(r["value"])
     if not any(k != "plain" and len(v) >= least for k, v in own.items()):
         return default_model()
-    examples["plain"] = examples["plain"] + own.pop("plain", [])[: len(examples["plain"])]
-    return FormatModel(examples | {k: v[:500] for k, v in own.items() if len(v) >= least})
+    examples["plain"] = examples["plain"] + own.pop("plain", [])[:plain]
+    return FormatModel(examples | {k: v[:fitted] for k, v in own.items() if len(v) >= least})
 
 
 def trimmed(text: str, a: int, b: int) -> int:
@@ -305,10 +348,12 @@ def parts(text: str, a: int, b: int, model: FormatModel) -> dict[tuple[int, int]
             found[x, y] = None if formats is None or old is None else tuple(dict.fromkeys(old + formats))
 
     begins = [(m.start(), model.begin[m[0]]) for m in model.begins.finditer(text, a, b)]
+    seen = set()
     for cut in _CUTS:
         for m in cut.finditer(text, a, b):
             x, y = m.start(), trimmed(text, *m.span())
-            if y - x >= LEAST_CANDIDATE:
+            if y - x >= LEAST_CANDIDATE and (x, y) not in seen:
+                seen.add((x, y))
                 put(x, y, None)
                 for s, formats in begins[bisect_left(begins, (x,)) : bisect_left(begins, (y,))]:
                     put(s, y, formats)
@@ -345,7 +390,8 @@ def all_spans(text: str, model: FormatModel) -> tuple[list[tuple[int, int, str]]
                 added.append((a, b, "format"))
                 continue
             upto = a
-            for s, e in sorted(p for p, formats in parts(text, a, b, model).items() if model.matches(text[p[0] : p[1]], formats)):
+            for s, e in model.matching(text[a:b], parts(text[a:b], 0, b - a, model)):
+                s, e = s + a, e + a
                 if s < upto:  # parts of one credential
                     if e > upto:
                         added[-1] = (added[-1][0], e, "format")
@@ -378,7 +424,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none, its parts behind '=', '/' and '.' and from a format's fixed first symbols are scored. ``redacted`` is the text with
     spans replaced, null for null text, which counts as empty. Whole texts are scanned, one map
     over the rows, no shuffle. Repeated rows and null ids are kept as they are, columns in ``keep`` too,
-    whatever their names. Of two spans from the same place the one listed first among the kinds comes
+    whatever their names. The time is linear in a text's length, whatever it repeats. Of two spans from the same place the one listed first among the kinds comes
     first. An empty table gives no rows. ``with_redacted`` False leaves ``redacted`` out.
     """
     bound_batches(docs.sparkSession)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -546,3 +547,30 @@ def test_learned_formats(spark):
     assert np.mean([model.matches(key()) for _ in range(50)]) > 0.9 and not secrets.default_model().matches(key())
     assert not model.matches("4111111111111112") and not model.matches("someratherlongword")
     assert secrets.learn_formats(frame.where("false")) is secrets.default_model()
+
+
+def test_long_runs_take_linear_time():
+    """A megabyte of a format's beginning, bare and with glue, and of a glue character."""
+    model = secrets.default_model()
+    for text in ("ghp_" * 250_000, "ghp_/" * 60_000, "sk_live_=" * 40_000, "eyJ." * 60_000):
+        began = time.time()
+        secrets.all_spans(text, model)
+        assert time.time() - began < 60
+
+
+def test_parts_score_as_texts_of_their_own():
+    model = secrets.default_model()
+    r = random.Random(21)
+    some = ["ghp_", "npm_", "glpat-", "/", "=", ".", "eyJ", "AKIA", "sk_live_", *secrets.labelled_credentials(2, seed=3)["signing_key"], *secrets.labelled_credentials(3, seed=4)["plain"], "x7", "deadbeef"]
+    matched = 0
+    for _ in range(150):
+        text = "".join(r.choices(some, k=r.randint(2, 9)))
+        found = secrets.parts(text, 0, len(text), model)
+        want = sorted(p for p, formats in found.items() if model.matches(text[p[0] : p[1]], formats))
+        assert model.matching(text, found) == want
+        matched += len(want)
+        for k, a in model.automata.items():
+            known, classes = {}, ["%" + secrets._CLASS.get(c, c) for c in text]
+            for s in sorted({s for s, _ in found}, reverse=True):
+                assert a.log_likelihood_to(text, classes, s, len(text), known) == pytest.approx(a.log_likelihood(text[s:]), abs=1e-9), k
+    assert matched > 50

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import datetime
 import html
 import io
@@ -11,20 +12,35 @@ import re
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from awardgrid.sources.quoted import read_records
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV feed with quoted line breaks; all columns are strings, a byte-order mark is dropped, blanks are null."""
-    rows = spark.read.options(header=True, multiLine=True, escape='"', quote='"', encoding="UTF-8", maxCharsPerColumn=10_000_000).csv(path)
-    rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
-    return rows.select(*[F.when(F.trim(F.col(f"`{c}`")) != "", F.col(f"`{c}`")).alias(c) for c in rows.columns])
+
+def read_feed(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
+    """A CSV feed with quoted line breaks, read in parallel (``quoted.read_records``); all columns are strings, a
+    byte-order mark is dropped, blanks are null. Each file begins with the header, which the first file's decides.
+    ``order`` adds a column that ascends with the place in the feed, files by name."""
+    from awardgrid.operators.matching import written
+
+    records = written(read_records(spark, path), "feed")
+    first = records.groupBy("file").agg(F.min("position").alias("header"))
+    files = F.broadcast(first.withColumn("number", F.row_number().over(Window.orderBy("file"))))  # a row for each file
+    head = records.join(files.where("number = 1"), "file").where("position = header").select(F.regexp_replace("record", "^\ufeff", "").alias("record")).first()
+    if head is None:
+        raise ValueError(f"no header in {path}")
+    names = next(csv.reader(io.StringIO(head["record"], newline="")))
+    kinds = ", ".join(f"c{i} string" for i in range(len(names)))
+    rows = records.join(files, "file").where("position > header")
+    cells = rows.select(F.from_csv("record", kinds, {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "lineSep": "\0"}).alias("r"), F.shiftleft(F.col("number").cast("long"), 44).alias("n"), "position")
+    blank = lambda i: F.col("r")[f"c{i}"]
+    return cells.select(*[F.when(F.trim(blank(i)) != "", blank(i)).alias(name) for i, name in enumerate(names)], *([(F.col("n") + F.col("position")).alias(order)] if order else []))
 
 
 def read_notices(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """Notices with our column names (ours: the feed's). Rows without a reference go; of several with one, the last stays."""
-    feed = read_feed(spark, path).withColumn("_seq", F.monotonically_increasing_id())
+    feed = read_feed(spark, path, "_seq")
     rows = feed.select(*[F.col(f"`{theirs}`").alias(ours) if theirs in feed.columns else F.lit(None).cast("string").alias(ours) for ours, theirs in columns.items()], "_seq")
     last = rows.where("reference is not null").groupBy("reference").agg(F.max("_seq").alias("_seq"))
     return rows.join(last, ["reference", "_seq"], "left_semi").withColumnRenamed("_seq", "row_seq")

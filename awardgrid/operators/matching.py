@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, one of our own if the driver is the only
-    machine (tests), else one below the warehouse, which all machines see."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own if the driver is the only
+    machine (tests), else one below the warehouse, if that is no machine's own folder; it raises where every machine would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             found = "file://" + tempfile.mkdtemp(prefix="awardgrid-")
         else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if not re.match(r"(?!file:)[a-z][a-z0-9+.-]*:", warehouse, re.I):
+                raise ValueError(f"set spark.checkpoint.dir to a folder that all machines see; {warehouse} is each machine's own")
+            found = warehouse.rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

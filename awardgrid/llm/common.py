@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,20 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, one of our own if the driver is the only
-    machine (tests), else one below the warehouse, which all machines see."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            found = "file://" + tempfile.mkdtemp(prefix="awardgrid-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from awardgrid.operators.matching import shared_folder
 
 
 ROWS_PER_FILE = 250_000
@@ -56,7 +41,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         bound_batches(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/awardgrid/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/awardgrid/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)

@@ -12,7 +12,7 @@ from awardgrid.llm.common import parquet
 
 #: The URL list that op6 screens against, made by a rule and not from the pages: on each of these hosts,
 #: in each language, every third number below ``LISTED_BELOW``. Fixed values.
-LISTED_HOSTS = ("blog.tionsh.example.com", "tionble.example.org", "www.tiontion.example.net", "ththan.example.com", "ththti.example.net", "spam-farm.example.com")
+LISTED_HOSTS = ("blog.tionsh.example.com", "tionble.example.org", "www.tiontion.example.net", "ththan.example.com", "ththti.example.net", "spam-farm.example.com", "thther.example.org", "blog.tiontion.example.com", "www.ththhe.example.com", "blog.theres.example.com", "ththed.example.org", "www.cheap-pills.example.com")
 LISTED_LANGS = ("en", "de", "fr", "es")
 LISTED_BELOW = 10_000
 

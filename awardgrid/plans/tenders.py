@@ -229,6 +229,52 @@ m2 AS (SELECT nn.ref, ax.*, 'reference' AS via FROM nn JOIN ax ON nn.ref = ax.re
 mm AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2)"""
 
 
+# Notices and awards in which every step of the cascade and every verdict occurs. Buyers with even numbers buy from a firm of
+# their own, of the odd ones most from one firm that sells to all of them, and every fifth from anybody.
+STEP_NOTICES = {
+    "reference": "'N' || CAST(o_orderkey AS STRING)", "solicitation": case("o_orderkey % 4", "'W84AB-' || CAST(o_orderkey AS STRING) || '/001'", "'W84AB-' || CAST(o_orderkey AS STRING)", "NULL", other="'ZZ-' || CAST(o_orderkey AS STRING)"),
+    "buyer": "'Dept ' || CAST(o_custkey % 20 AS STRING)", "unspsc": "'25101000'",
+}
+STEP_AWARDS = {
+    "reference": "CASE WHEN l_orderkey % 4 = 2 THEN 'N' || CAST(l_orderkey AS STRING) ELSE '' END",
+    "solicitation": case("l_orderkey % 4", "'W84AB-' || CAST(l_orderkey AS STRING) || '/002'", "'w84ab- ' || CAST(l_orderkey AS STRING)", "NULL", other="'YY-' || CAST(l_orderkey AS STRING)"),
+    "supplier": "CASE WHEN o_custkey % 5 = 4 OR l_linenumber % 5 = 0 THEN 'Other ' || CAST(l_suppkey AS STRING) WHEN o_custkey % 2 = 0 THEN 'Own ' || CAST(o_custkey % 20 AS STRING) ELSE 'Wide' END",
+    "buyer": "CASE WHEN l_orderkey % 8 = 0 THEN 'Elsewhere' ELSE 'Dept ' || CAST(o_custkey % 20 AS STRING) END",
+    "value": "'1'", "award_date": "substr(CAST(l_shipdate AS STRING), 1, 10)", "unspsc": "'25101000'", "row_seq": "l_orderkey * 10 + l_linenumber",
+}
+_STEPS = f"""{sql("n", STEP_NOTICES, "orders")}, aw AS (SELECT DISTINCT * FROM (WITH {sql("x", STEP_AWARDS, "lineitem JOIN orders ON l_orderkey = o_orderkey")} SELECT * FROM x)),
+ax AS (SELECT upper(supplier) AS sup, upper(buyer) AS buy, upper(replace(solicitation, ' ', '')) AS sol, reference AS ref, award_date, row_seq FROM aw),
+m1 AS (SELECT n.reference, ax.*, 'solicitation' AS via FROM n JOIN ax ON n.solicitation = ax.sol),
+m2 AS (SELECT n.reference, ax.*, 'reference' AS via FROM n JOIN ax ON n.reference = ax.ref WHERE n.reference NOT IN (SELECT reference FROM m1)),
+m3 AS (SELECT n.reference, ax.*, 'base' AS via FROM n JOIN ax ON regexp_replace(n.solicitation, '/00[0-9]$', '') = regexp_replace(ax.sol, '/00[0-9]$', '') AND upper(n.buyer) = ax.buy
+       WHERE n.reference NOT IN (SELECT reference FROM m1 UNION ALL SELECT reference FROM m2)),
+mm AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)"""
+
+
+def stepped(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    li, o = t(spark, sf_dir, "lineitem", "orders")
+    feed = made(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")), STEP_AWARDS).distinct()
+    return made(o, STEP_NOTICES), awards.prepared_awards(feed)
+
+
+@query(f"WITH {_STEPS} SELECT reference, sup AS supplier, row_seq, award_date, via FROM mm")
+def cascade_steps(spark, sf_dir):
+    """All three steps: by solicitation number, by reference, by the number without its ending and the buyer."""
+    return awards.match_awards(*stepped(spark, sf_dir)).select("reference", "supplier", "row_seq", "award_date", "via")
+
+
+@query(f"""WITH {_STEPS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY award_date DESC, sup, row_seq) AS rk FROM mm) WHERE rk = 1),
+o1 AS (SELECT DISTINCT buy, sup, coalesce(sol, ref) AS contract FROM ax),
+c AS (SELECT buy, sup, count(*) AS n FROM o1 GROUP BY 1, 2), b AS (SELECT buy, sum(n) AS total FROM c GROUP BY 1), s AS (SELECT sup, sum(n) AS sold, count(*) AS buyers FROM c GROUP BY 1)
+SELECT reference, sup AS supplier_key, via, CAST(total AS BIGINT) AS buyer_awards, n AS to_this_supplier, round_even(n / total, 3) AS share, CAST(sold AS BIGINT) AS supplier_awards, buyers AS supplier_buyers,
+       CASE WHEN total >= 3 AND n / total >= 0.5 THEN CASE WHEN n / sold >= 0.5 THEN 'dependent_supplier' ELSE 'recurring_supplier' END END AS kind
+FROM f JOIN c USING (buy, sup) JOIN b USING (buy) JOIN s USING (sup)""")
+def award_verdicts(spark, sf_dir):
+    """How the buyer and the winner of each notice stand: recurring, dependent or neither."""
+    found = awards.investigate(*stepped(spark, sf_dir))
+    return found.select("reference", "supplier_key", "via", "buyer_awards", "to_this_supplier", "share", "supplier_awards", "supplier_buyers", "kind")
+
+
 @query(f"WITH {_MATCH} SELECT ref AS reference, sup AS supplier, row_seq, award_date, unspsc[1:4] AS grp, via FROM mm")
 def cascade_match(spark, sf_dir):
     """A notice's awards by solicitation number, else by reference (none is left for the number without its ending)."""

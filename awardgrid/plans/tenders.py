@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from awardgrid.functions import measures, names
-from awardgrid.operators import agents, attachments, awards, brands, documents, evaluation, incremental, level2, matching, observations, scoring, screening, selection, stats
+from awardgrid.operators import agents, attachments, awards, brands, documents, evaluation, incremental, level2, matching, observations, quotes, scoring, screening, selection, stats
 from awardgrid.plans.registry import query, t
 from awardgrid.sources import feeds
 from awardgrid.streaming import knowledge_base as kb
@@ -1055,7 +1055,7 @@ def checked_sources(spark, sf_dir):
     """Whether a finding's words stand in the document it names, or in any if there is none."""
     q = made(t(spark, sf_dir, "part")[0], _QUOTES)
     docs = spark.range(100).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("reference"), F.explode(F.array(F.struct(F.lit("doc0").alias("document"), F.lit("It must be\na crane, made of  steel.").alias("text")), F.struct(F.lit("doc1").alias("document"), F.lit("Nothing here").alias("text")))).alias("d")).select("reference", "d.*")
-    return documents.check_sources(q, docs).select("k", "checked")
+    return quotes.check_sources(q, docs).select("k", "checked")
 
 
 _SHAPES = {"p_partkey": "p_partkey", "text": case("p_partkey % 5", "'An Agilent 8890A and Annex B12 or Agilent 8890A'", "'See W8486 E60HP-11000, Bldg AB123'", "'Eppendorf model CR5920 and May AB12'", "''", other="'Leica TS16 and Leica TS16P'")}

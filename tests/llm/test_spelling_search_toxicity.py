@@ -70,7 +70,7 @@ def spelled():
             w[k : k + r.choice((0, 1))] = r.choice(("", *letters))
             family.add("".join(w))
         words += [w for w in sorted(family) for _ in range(r.choice((1, 2, 3, 40)))]
-    words += ["chained"] * 2 + ["chainedx"] * 25 + ["chainedxy"] * 300
+    words += ["chained"] * 4 + ["chainedx"] * 70 + ["chainedxy"] * 1400
     r.shuffle(words)
     rows = [(i, r.choice((" ", ", ", "\n", "×3 ", "日")).join(words[k : k + 23])) for i, k in enumerate(range(0, len(words), 23))]
     return rows + [(900, None), (901, ""), (902, "short words 123"), (903, "UPPER" * 3 + " " + "UPPER" * 3), (None, "Nullwords nullwords nullwordz nullwordz"), rows[0], rows[0]]
@@ -86,7 +86,7 @@ def test_variants(spark, spelled, small, most, monkeypatch):
     monkeypatch.setattr(spelling, "SMALL", small)
     got = variants(spelling.group_variants(spark, clashing(spark, spelled), most=most))
     assert got == sorted(brute_variants(spelled), key=repr)
-    assert sum(g[4] for g in got) > 1000 and any(g[1] and g[1] != g[2] for g in got)
+    assert sum(g[4] for g in got) > 500 and any(g[1] and g[1] != g[2] for g in got)
 
 
 @pytest.mark.parametrize("small", [2, 5, 48])

@@ -3,6 +3,10 @@
 Language ID drops documents without a language; of each group of near-duplicates (five words, 0.8)
 the one with the least id stays; documents that hold a benchmark item go; secrets are replaced in the
 text; what is left is packed into sequences. All but the last return the columns of documents.
+
+Documents have the columns in ``COLUMNS``; without one of them a stage raises, others are dropped. Null ids are kept and
+never linked, since a stage drops documents by their id; rows that share an id go together. Of rows with the same id and
+text one is kept. Null, empty and letterless texts end at the first stage; an empty table gives empty tables.
 """
 
 from __future__ import annotations

@@ -574,3 +574,14 @@ def test_parts_score_as_texts_of_their_own():
             for s in sorted({s for s, _ in found}, reverse=True):
                 assert a.log_likelihood_to(text, classes, s, len(text), known) == pytest.approx(a.log_likelihood(text[s:]), abs=1e-9), k
     assert matched > 50
+
+
+def test_a_full_filter_still_rules_anchors_out(spark):
+    """More keys than the table was made for: none is missed, and most others don't pass."""
+    r = np.random.default_rng(4)
+    keys, others = r.integers(0, 1 << 63, 20_000), r.integers(0, 1 << 63, 20_000)
+    frame = spark.createDataFrame([(int(k),) for k in keys], "h long")
+    bits = substring_dedup.bloom_filter(spark, frame, len(keys), 5_000)
+    assert 64 * len(bits.value) <= 16 * 5_000
+    assert substring_dedup.passes(bits, keys.view(np.uint64)).all()
+    assert substring_dedup.passes(bits, others.view(np.uint64)).mean() < 0.4

@@ -67,6 +67,20 @@ def running(df: DataFrame, keys: list[str], order: list[Column], stretch: Column
     return out.select(*df.columns, *aggregates)
 
 
+def within(df: DataFrame, keys: list[str], at: str, value: str, reach: int, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of a key whose whole number ``at`` is at most ``reach`` below the row's, or equal to it.
+
+    Stretches of ``reach`` are sorted, each with the one before. A row's sum is what its stretches hold up to it
+    less what lies too far back, and both are running sums, so a row costs the same however many are near it.
+    """
+    stretch = F.floor(F.col(at) / reach)
+    rows = df.withColumn("_own", stretch).withColumn("_stretch", F.explode(F.array_distinct(F.array(stretch, stretch + 1))))
+    w = Window.partitionBy(*keys, "_stretch").orderBy(at)
+    upto, far = F.sum(value).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.sum(value).over(w.rangeBetween(Window.unboundedPreceding, -reach - 1))
+    rows = rows.withColumns({"_upto": upto, "_far": far}).where("_own <=> _stretch")
+    return rows.withColumn(name, F.col("_upto") - F.coalesce(F.when(F.col(at).isNotNull(), F.col("_far")), F.lit(0))).drop("_own", "_stretch", "_upto", "_far")
+
+
 def evenly_spaced(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """At most k rows of each group, evenly spaced in its order: those at int(i * n / k)."""
     w = Window.partitionBy(*keys)

@@ -462,11 +462,8 @@ def exclude_seen(spark, sf_dir):
 @query("SELECT event_id, CAST(sum(value > 50) OVER (PARTITION BY event_type ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM events".replace("sum(value > 50)", "sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)"))
 def token_window(spark, sf_dir):
     """What fell into the last hour; hour by hour, each with the rows of the hour before."""
-    e = t(spark, sf_dir, "events")[0].select("event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), F.when(F.col("value") > 50, 1).otherwise(0).alias("v"))
-    hour = F.floor(F.col("s") / 3600)
-    rows = e.withColumn("own", hour).withColumn("hour", F.explode(F.array(hour, hour + 1)))
-    w = Window.partitionBy("event_type", "hour").orderBy("s").rangeBetween(-3600, 0)
-    return rows.withColumn("recent", F.sum("v").over(w)).where("own = hour").select("event_id", "recent")
+    e = t(spark, sf_dir, "events")[0].select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("s"), F.when(F.col("value") > 50, 1).otherwise(0).alias("v"))
+    return selection.within(e, ["event_type"], "s", "v", 3_600_000_000, "recent").select("event_id", "recent")
 
 
 @query("""WITH x AS (SELECT r_name, n_nationkey FROM region JOIN nation ON r_regionkey = n_regionkey)

@@ -205,11 +205,8 @@ def winner_other_awards(spark, sf_dir):
 def connected_spellings(spark, sf_dir):
     """Customers linked by equal nations and close balances, as components."""
     c = t(spark, sf_dir, "customer")[0]
-    cell = F.floor(F.col("c_acctbal") / 2)
-    a = c.select(F.col("c_custkey").alias("a"), "c_nationkey", F.col("c_acctbal").alias("x"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    b = c.select(F.col("c_custkey").alias("b"), "c_nationkey", F.col("c_acctbal").alias("y"), cell.alias("cell"))
-    edges = a.join(b, ["c_nationkey", "cell"]).where((F.abs(F.col("x") - F.col("y")) < 2) & (F.col("a") < F.col("b"))).select("a", "b")
-    return matching.components(spark, edges)
+    near = matching.near_values(c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key"), F.col("c_acctbal").alias("x")), 2)
+    return matching.components(spark, near)
 
 
 # ---------------------------------------------------------------- peers

@@ -386,3 +386,48 @@ def test_office_files_and_logs(spark, tmp_path):
     assert (back.reference, back.base_value, back.context, back.run_id) == ("r1", 5.0, 'a, "b"\nc', None)
     feeds.write_settings(str(tmp_path / "batches"), "r1", {"a": 1, "b": object()}, ["x"])
     assert json.loads((tmp_path / "batches/r1_settings.json").read_text())["settings"] == {"a": 1}
+
+
+def test_long_chains_settle_in_few_rounds(spark):
+    """A chain of 3,000 with ids in any order, far longer than the rounds: they grow with its logarithm."""
+    ids = list(range(3000))
+    random.Random(3).shuffle(ids)
+    chain = [*zip(ids, ids[1:], strict=False), (9001, 9000)]
+    got = {r.node: r.root for r in matching.components(spark, spark.createDataFrame(chain, "a long, b long").repartition(4), rounds=25).collect()}
+    assert got == dict.fromkeys(range(3000), 0) | {9000: 9000, 9001: 9000}
+
+
+def test_near_values_connect_as_all_pairs_do(spark):
+    """Few links, however many rows share a value, and the groups of all pairs less than 2 apart."""
+    r = random.Random(4)
+    rows = [(i, r.choice("ab"), round(r.uniform(-40, 120), 1)) for i in range(120)] + [(200 + i, "a", 7.0) for i in range(150)] + [(500, "a", None), (501, None, 7.0), (502, "a", float("nan")), (503, "b", 400.0), (504, "b", 402.0), (None, "b", 402.5)]
+    links = [tuple(x) for x in matching.near_values(spark.createDataFrame(rows, "id long, key string, x double"), 2).collect()]
+    root = {i: i for i, *_ in rows}
+
+    def joined(pairs):
+        group = {i: i for i, *_ in rows if i is not None}
+        for a, b in pairs:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = {k: new if v == old else v for k, v in group.items()}
+        return group
+
+    pairs = [(a, b) for a, k, x in rows for b, m, y in rows if None not in (a, b, k, m, x, y) and a < b and k == m and abs(x - y) < 2]
+    assert joined(links) == joined(pairs) and len(links) < 3 * len(root) < len(pairs)
+
+
+def test_names_within_names_by_blocks(spark):
+    """Names with the same words in blocks of a few rows: all pairs, once each, evenly dealt."""
+    said = ["red bolt", "bolt, Red", "red bolt long", "bolt", "anvil", None, "long red"]
+    rows = [(i, said[i % 7]) for i in range(90)]
+    of = {i: set(re.findall("[a-z]+", (n or "").lower())) for i, n in rows}
+    want = {(a, b) for a in of for b in of if a != b and of[a] and of[a] <= of[b]}
+    got = [(x.k, x.host) for x in awards.hosted_names(spark.createDataFrame(rows, "k long, name string"), "k", "name", block=4).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_sums_within_reach(spark):
+    """Against a plain sum: ties, exactly as far as the reach, other keys, rows without a time."""
+    r = random.Random(6)
+    rows = [(i, r.choice("ab"), r.randrange(0, 60), r.randint(0, 3)) for i in range(300)] + [(900, "a", None, 2), (901, "a", None, 1)]
+    got = {x.i: x.recent for x in selection.within(spark.createDataFrame(rows, "i int, k string, t long, v int"), ["k"], "t", "v", 10, "recent").collect()}
+    assert got == {i: sum(w for _, m, u, w in rows if m == k and (u == t if None in (t, u) else 0 <= t - u <= 10)) for i, k, t, v in rows}

@@ -12,6 +12,15 @@ def _fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def spread(df: DataFrame, rows: int, *keys: str | Column, each: int = 200_000) -> DataFrame:
+    """The rows dealt by ``keys`` to a task for ``each`` of some ``rows``: what a task sorts or groups doesn't grow with the input.
+
+    Adaptive execution sizes tasks by compressed bytes, of which narrow rows have few.
+    """
+    least = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // 10_000))
+    return df.repartition(max(1, least, -(-rows // each)), *keys)
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row of each key that comes first in ``order``; ties must be broken by the order given."""
     name = _fresh(df, "nth")

@@ -127,12 +127,21 @@ def date_quantiles(spark, sf_dir):
 _AWARDS = "a AS (SELECT DISTINCT o_custkey AS buyer, p_type AS grp, l_orderkey AS contract, l_suppkey AS supplier FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
 
 
-def _awards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, o, p = t(spark, sf_dir, "lineitem", "orders", "part")
-    return (
-        li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
-        .select(F.col("o_custkey").alias("buyer"), F.col("p_type").alias("grp"), F.col("l_orderkey").alias("contract"), F.col("l_suppkey").alias("supplier")).distinct()
-    )
+def _ordered(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, int]:
+    """Columns of order lines with their order, and the number of lines."""
+    li, o = t(spark, sf_dir, "lineitem", "orders")
+    n = li.count()
+    li, o = (df.select(*[c for c in df.columns if c in (*columns, "l_orderkey", "o_orderkey")]) for df in (li, o))
+    rows = selection.spread(li, n, "l_orderkey").join(selection.spread(o, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(*columns), n
+
+
+def _awards(spark: SparkSession, sf_dir: str, *dealt: str) -> DataFrame:
+    rows, n = _ordered(spark, sf_dir, "l_orderkey", "l_partkey", "l_suppkey", "o_custkey")
+    p = t(spark, sf_dir, "part")[0].select("p_partkey", "p_type")
+    rows = selection.spread(rows, n, "l_partkey").join(selection.spread(p, n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.select(F.col("o_custkey").alias("buyer"), F.col("p_type").alias("grp"), F.col("l_orderkey").alias("contract"), F.col("l_suppkey").alias("supplier"))
+    return selection.spread(rows, n, *dealt).distinct()
 
 
 _SHARE = f"""{_AWARDS},
@@ -145,7 +154,7 @@ h AS (SELECT buyer, grp, supplier, mine, CAST(total AS BIGINT) AS total, supplie
 @query(f"WITH {_SHARE} SELECT * FROM h")
 def repeat_share(spark, sf_dir):
     """A4: the leading supplier of a buyer's group, above the thresholds."""
-    return awards.repeat_share(_awards(spark, sf_dir), "buyer", "grp", "supplier")
+    return awards.repeat_share(_awards(spark, sf_dir, "buyer", "grp"), "buyer", "grp", "supplier")
 
 
 @query(f"""WITH {_AWARDS}, e AS (SELECT supplier, buyer, count(*) AS from_buyer FROM a GROUP BY 1, 2),
@@ -154,7 +163,7 @@ def repeat_share(spark, sf_dir):
            SELECT supplier, buyer, from_buyer, CAST(total AS BIGINT) AS total, buyers, from_buyer / total AS dependency FROM c WHERE rk = 1""")
 def supplier_dependency(spark, sf_dir):
     """A4, depth 2: how much of a supplier's awards come from one buyer."""
-    return awards.dependency(_awards(spark, sf_dir), "buyer", "supplier")
+    return awards.dependency(_awards(spark, sf_dir, "supplier"), "buyer", "supplier")
 
 
 _LAST = "l_orderkey, l_suppkey, l_shipdate, l_partkey, l_quantity, l_extendedprice"
@@ -179,8 +188,8 @@ def distinct_winners(spark, sf_dir):
           SELECT supplier, buyer, o_orderkey, rk, n - 6 AS more FROM (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY o_orderdate DESC, o_orderkey, buyer) AS rk, count(*) OVER (PARTITION BY supplier) AS n FROM s) WHERE rk <= 6""")
 def newest_awards(spark, sf_dir):
     """A supplier's newest six awards and how many more there are."""
-    o, li = t(spark, sf_dir, "orders", "lineitem")
-    s = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("buyer"), F.col("l_suppkey").alias("supplier"), "o_orderkey", "o_orderdate").distinct()
+    rows, n = _ordered(spark, sf_dir, "o_custkey", "l_suppkey", "o_orderkey", "o_orderdate")
+    s = selection.spread(rows.select(F.col("o_custkey").alias("buyer"), F.col("l_suppkey").alias("supplier"), "o_orderkey", "o_orderdate"), n, "supplier").distinct()
     s = s.withColumn("more", F.count("*").over(Window.partitionBy("supplier")) - 6)
     return selection.top_k(s, ["supplier"], [F.desc("o_orderdate"), F.asc("o_orderkey"), F.asc("buyer")], 6, "rk").select("supplier", "buyer", "o_orderkey", "rk", "more")
 

@@ -431,3 +431,12 @@ def test_sums_within_reach(spark):
     rows = [(i, r.choice("ab"), r.randrange(0, 60), r.randint(0, 3)) for i in range(300)] + [(900, "a", None, 2), (901, "a", None, 1)]
     got = {x.i: x.recent for x in selection.within(spark.createDataFrame(rows, "i int, k string, t long, v int"), ["k"], "t", "v", 10, "recent").collect()}
     assert got == {i: sum(w for _, m, u, w in rows if m == k and (u == t if None in (t, u) else 0 <= t - u <= 10)) for i, k, t, v in rows}
+
+
+def test_tasks_are_as_large_whatever_the_input(spark):
+    """Rows are dealt to more tasks as there are more, all of a key's to one."""
+    rows = spark.range(40_000).withColumn("k", F.col("id") % 1000)
+    dealt = selection.spread(rows, 40_000, "k", each=2_000).withColumn("task", F.spark_partition_id())
+    assert selection.spread(rows, 40_000, "k", each=2_000).rdd.getNumPartitions() == 20
+    assert dealt.groupBy("task").count().agg(F.max("count")).first()[0] < 8_000
+    assert dealt.groupBy("k").agg(F.count_distinct("task").alias("n")).where("n > 1").isEmpty()

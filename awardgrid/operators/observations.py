@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from awardgrid.functions import measures as M
+from awardgrid.operators.matching import written
 
 NEAR, CONTEXT = 2, 3
 
@@ -53,19 +54,21 @@ def harvest(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     lines above. If a requirement section has no value at all, the whole document is read.
     """
     w = Window.partitionBy(*keys).orderBy("line_no")
-    lines = with_sections(line_table(docs, keys, text), keys)
-    around = lambda n: F.array_join(F.collect_list("line").over(w.rowsBetween(-n, n)), " | ")
     line = F.col("line")
+    shaped = F.length(line).between(3, 300)
+    lines = with_sections(line_table(docs, keys, text).withColumn("values", F.when(shaped, M.values_in(line))), keys)
+    around = lambda n: F.array_join(F.collect_list("line").over(w.rowsBetween(-n, n)), " | ")
     above = lambda k: F.when(F.length(F.lag("raw", k).over(w)) <= 120, F.struct(F.lag("raw", k).over(w).alias("raw"), F.lag("own", k).over(w).alias("key")))
     up = lambda k: F.when(F.lag("own", k).over(w).isNotNull(), above(k))
-    seen = (
-        lines.withColumn("near", around(NEAR)).withColumn("context", F.substring(F.regexp_replace(around(CONTEXT), r"\s+", " "), 1, 400))
-        .withColumn("raw", M.raw_label(line)).withColumn("own", M.label(line)).withColumn("up", F.coalesce(up(1), up(2)))
-    )
+    # most lines have no value: labels are read only on those that have, and on two lines above
+    useful = F.when(shaped, F.when(F.size("values") > 0, ~line.rlike(M.BOILERPLATE) & ~F.coalesce(F.col("section").rlike(M.ADMIN_SECTION), F.lit(False))))
+    seen = lines.withColumn("useful", F.coalesce(useful, F.lit(False)))
+    asked = F.max("useful").over(w.rowsBetween(0, 2))
+    seen = seen.withColumn("asked", asked).withColumn("raw", F.when(F.col("asked"), M.raw_label(line))).withColumn("own", F.when(F.col("asked"), M.label(line)))
+    seen = seen.withColumn("near", around(NEAR)).withColumn("context", around(CONTEXT)).withColumn("up", F.coalesce(up(1), up(2)))
     inline = M.comparator(line)
-    useful = F.length("line").between(3, 300) & ~line.rlike(M.BOILERPLATE) & (F.size("values") > 0) & ~F.coalesce(F.col("section").rlike(M.ADMIN_SECTION), F.lit(False))
     rows = (
-        seen.withColumn("values", M.values_in(line)).where(useful)
+        seen.where("useful").withColumn("context", F.substring(F.regexp_replace("context", r"\s+", " "), 1, 400))
         .withColumn("inline", inline).withColumn("comparator", F.when(F.col("inline") != "NONE", F.col("inline")).otherwise(M.comparator(F.col("near"))))
         .withColumn("comp_src", F.when(F.col("inline") != "NONE", "inline").when(F.col("comparator") != "NONE", "window").otherwise("none"))
         .withColumn("label_src", F.when(F.col("own").isNotNull(), "inline").when(F.col("up").isNotNull(), "above"))
@@ -188,7 +191,8 @@ def extract_observations(docs: DataFrame, notices: DataFrame, run_id: str, group
     has its group's.
     """
     keys = ["reference", "document"]
-    rows = fold_restatements(convert_units(collapse_bands(harvest(docs, keys), keys)), keys)
+    docs = docs.select(*keys, "text").repartition(*keys)  # texts are dealt once, however few tasks read them; their lines stay
+    rows = fold_restatements(written(convert_units(collapse_bands(harvest(docs, keys), keys)), "observations"), keys)
     told = rows.join(notices.select("reference", "unspsc8", "pub_date"), "reference", "left")
     file = F.concat("reference", F.lit("__"), "document", F.lit(".txt"))
     return told.withColumns({"unspsc8": F.coalesce(F.when(F.col("unspsc8") != "", F.col("unspsc8")), F.lit(group)), "pub_date": F.coalesce("pub_date", F.lit("")), "run_id": F.lit(run_id), "file": file})

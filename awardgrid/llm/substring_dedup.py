@@ -434,7 +434,10 @@ def remove_repeats(
     lost = cold.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets))).groupBy("bucket").applyInArrow(judge, "uid long, s int, e int")
     if not hot.isEmpty():
         held = around.join(F.broadcast(hot) if hot.count() <= 1_000_000 else hot, "h", "left_semi").where(F.octet_length("piece") >= length)
-        held = owned(held.select("doc", "uid", F.col("start").alias("s"), F.col("piece").alias("string")), "pieces", keep_all=True)
+        # written before each is read several times: pieces are cut out of texts once
+        held = scratch.keep(held.select("doc", "uid", F.col("start").alias("s"), F.col("piece").alias("string")), "hot_pieces")
+        held = scratch.keep(owned(held, "pieces", keep_all=True), "hot_owned")
+        scratch.drop("hot_pieces")
         lost = lost.union(held.where("doc > least").select("uid", "s", (F.col("s") + F.octet_length("string")).cast("int")))
         windows = held.where("doc = least").withColumn("o", F.explode(F.sequence(F.lit(0), F.octet_length("string") - length)))
         windows = windows.select("doc", "uid", (F.col("s") + F.col("o")).alias("s"), F.expr(f"substring(string, o + 1, {length})").alias("string"))

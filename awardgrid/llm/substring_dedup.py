@@ -389,7 +389,8 @@ def remove_repeats(
     if some > filter_keys:
         around = around.join(mixed.select("h"), "h", "left_semi")
     hot = scratch.keep(mixed.where(F.col("n") > hot_pieces).select("h"), "hot", some)
-    buckets = max(1, -(-pieces * (2 * length - ANCHOR) // (2 * shard_bytes)))
+    # half a shard each, so that only buckets with a frequent anchor have several, whose tables must be merged
+    buckets = max(1, -(-2 * pieces * (2 * length - ANCHOR) // shard_bytes))
 
     def judge(table: pa.Table) -> pa.Table:
         code = pc.dictionary_encode(table["piece"].combine_chunks())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from awardgrid.functions import measures as M
 from awardgrid.operators.matching import written
+from awardgrid.operators.selection import spread
 
 NEAR, CONTEXT = 2, 3
 
@@ -143,16 +144,24 @@ def fold_restatements(rows: DataFrame, keys: list[str], tolerance: float = 0.02)
 
 
 def apply_label_map(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Renames labels; those mapped to ``unknown`` go, those without an entry stay. mapping: (label, canonical)."""
-    out = rows.join(mapping, "label", "left").where("canonical is null or canonical <> 'unknown'")
+    """Renames labels; those mapped to ``unknown`` go, those without an entry stay.
+
+    mapping: (label, canonical), the frozen label map, which the driver holds. It goes to the rows: dealt by their labels,
+    which are few, most rows would meet in a few tasks.
+    """
+    out = rows.join(F.broadcast(mapping), "label", "left").where("canonical is null or canonical <> 'unknown'")
     return out.withColumn("label", F.coalesce("canonical", "label")).drop("canonical")
 
 
-def dedup_observations(rows: DataFrame, reference: str, family: Column, order: list[Column]) -> DataFrame:
-    """One row per reference, family, label, value and upper end, the first in ``order``; ``restated`` counts afresh."""
-    key = F.struct(F.col(reference), family, "label", F.coalesce(F.col("base_value").cast("string"), "value"), F.coalesce("base_unit", "unit"), F.coalesce(F.col("base_hi").cast("string"), F.col("value_hi").cast("string") if "value_hi" in rows.columns else F.lit(None).cast("string"), F.lit("")))
-    keyed = rows.withColumn("_k", key)
-    w = Window.partitionBy("_k")
+def dedup_observations(rows: DataFrame, reference: str, family: Column, order: list[Column], n: int | None = None) -> DataFrame:
+    """One row per reference, family, label, value and upper end, the first in ``order``; ``restated`` counts afresh.
+
+    Rows are dealt once, by reference and label, to as many tasks as their number ``n`` asks for (counted, if
+    not given), so what is counted by both and more afterwards stays where it is.
+    """
+    key = F.struct(family, F.coalesce(F.col("base_value").cast("string"), "value"), F.coalesce("base_unit", "unit"), F.coalesce(F.col("base_hi").cast("string"), F.col("value_hi").cast("string") if "value_hi" in rows.columns else F.lit(None).cast("string"), F.lit("")))
+    keyed = spread(rows, rows.count() if n is None else n, reference, "label").withColumn("_k", key)
+    w = Window.partitionBy(reference, "label", "_k")
     return keyed.withColumn("restated", F.count("*").over(w)).withColumn("_n", F.row_number().over(w.orderBy(*order))).where("_n = 1").drop("_k", "_n")
 
 

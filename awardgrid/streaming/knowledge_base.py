@@ -80,7 +80,7 @@ def base_rows(observations: DataFrame, mapping: DataFrame) -> DataFrame:
     from awardgrid.operators.observations import apply_label_map, dedup_observations
 
     mapped = apply_label_map(observations, mapping)
-    return level2.prepare(dedup_observations(mapped, "reference", F.substring("unspsc8", 1, 8), [F.asc("file"), F.asc("line_no"), F.asc("row_seq"), F.asc_nulls_last("base_value")]))
+    return level2.prepare(dedup_observations(mapped, "reference", F.substring("unspsc8", 1, 8), [F.asc("file"), F.asc("line_no"), F.asc("row_seq"), F.asc_nulls_last("base_value")], observations.count()))
 
 
 def comparable_attributes(rows: DataFrame, least: int = 8, most: int = 15) -> DataFrame:

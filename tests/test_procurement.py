@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from awardgrid.functions import measures, names
-from awardgrid.operators import awards, matching, observations, scoring, screening, selection, stats
+from awardgrid.operators import agents, awards, matching, observations, scoring, screening, selection, stats
 from awardgrid.sources import feeds
-from awardgrid.streaming.knowledge_base import KnowledgeBase, last_event, record_verdict, reprocess_list, run_stream, verdict_events, work_list
+from awardgrid.streaming.knowledge_base import KnowledgeBase, base_rows, last_event, record_verdict, reprocess_list, run_stream, verdict_events, work_list
 
 
 def column(spark, values, f):
@@ -497,3 +497,23 @@ def test_tasks_are_as_large_whatever_the_input(spark):
     assert selection.spread(rows, 40_000, "k", each=2_000).rdd.getNumPartitions() == 20
     assert dealt.groupBy("task").count().agg(F.max("count")).first()[0] < 8_000
     assert dealt.groupBy("k").agg(F.count_distinct("task").alias("n")).where("n > 1").isEmpty()
+
+
+def test_requirements_of_one_label_are_dealt_to_many_tasks(spark):
+    """Observations of one label, mapped and made distinct: never dealt by label alone, to as many tasks as rows ask for, with the same rows as a plain walk."""
+    r = random.Random(8)
+    mapping = spark.createDataFrame([("net weight", "weight"), ("noise", "unknown")], "label string, canonical string")
+    columns = "reference string, file string, line_no int, row_seq int, unspsc8 string, dimension string, label string, value string, unit string, base_value int, base_unit string, base_lo double, base_hi double"
+    rows = [(f"T{r.randrange(40)}", r.choice("ab"), r.randrange(3), i, "25101500", "mass", r.choice(["net weight"] * 8 + ["noise", None]), "5", "kg", r.choice([None, 5, 6, 7]), "kg", None, r.choice([None, 9.0])) for i in range(600)]
+    observed = spark.createDataFrame(rows, columns)
+    out = base_rows(observed, mapping)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(label" not in plan
+    best = {}
+    for x in sorted((x for x in rows if x[6] != "noise"), key=lambda x: (x[1], x[2], x[3])):
+        best.setdefault((x[0], x[6], str(x[9]) if x[9] is not None else x[7], x[12]), x)
+    want = [(x[0], x[6] and "weight", x[3]) for x in best.values() if x[9] is not None]
+    assert sorted(((x.reference, x.label, x.row_seq) for x in out.collect()), key=repr) == sorted(want, key=repr)
+    mapped = observations.apply_label_map(observed, mapping)
+    assert observations.dedup_observations(mapped, "reference", F.lit("f"), [F.asc("row_seq")], 4_000_000).rdd.getNumPartitions() == 20
+    assert agents.merge_effect(observed.withColumn("family", F.lit("f")), mapping)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(label") == 0

@@ -23,6 +23,8 @@ from awardgrid.operators.stats import MAD_SCALE
 
 #: Rows of an attribute that one task judges in their order.
 STRETCH = 4096
+#: Rows that one task sorts before they are cut into stretches.
+SORTED = 200_000
 _EVER = -(1 << 62)
 _KEY = ["group", "key"]
 
@@ -62,16 +64,27 @@ def _attribute_kind() -> str:
     return "array<struct<key:string,idx:int,value:double,width:double,ge:boolean,le:boolean>>"
 
 
+def _cut(rows: DataFrame, n: int, order: list[str], name: str, stretch: int, each: int = SORTED) -> DataFrame:
+    """Adds ``name``, a number that ascends in ``order``: some ``stretch`` rows share one, and equal rows always do.
+
+    The ``n`` rows are sorted into ranges of some ``each`` and numbered where they lie, on top of the range's own number.
+    So the driver samples splitters for these few ranges, not for every stretch.
+    """
+    least = min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 10_000))
+    placed = rows.repartitionByRange(max(1, least, -(-n // each)), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return placed.withColumn("_at", F.min("_at").over(Window.partitionBy(*order))).withColumn(name, F.expr(f"_at div {stretch}")).drop("_at")
+
+
 def _laid_out(events: DataFrame, stretch: int) -> DataFrame:
     """Events with ``range``, the stretch of values they lie in, and ``part``, the stretch of turns.
 
-    Both come from sampled splitters over all keys, so a key of any size is cut, and small keys share a stretch.
+    Stretches go over all keys, so a key of any size is cut, and small keys share a stretch. Key "" has no values.
     """
     events = written(events, "events")
-    parts = max(1, -(-events.count() // stretch))
-    ranged = written(events.repartitionByRange(parts, *_KEY, "value").withColumn("range", F.spark_partition_id()), "ranged")
-    placed = ranged.repartitionByRange(parts, *_KEY, "place", "reference", "turn", "kind").withColumn("part", F.spark_partition_id())
-    return written(placed, "laid")
+    n = events.count()
+    ranged = _cut(events.where("key <> ''"), n, [*_KEY, "value"], "range", stretch)
+    ranged = written(ranged.unionByName(events.where("key = ''").withColumn("range", F.lit(0).cast("long"))), "ranged")
+    return written(_cut(ranged, n, [*_KEY, "place", "reference", "turn", "kind"], "part", stretch), "laid")
 
 
 class _Stretch:
@@ -188,7 +201,7 @@ class _Stretch:
         return True, "extreme_threshold" if (z if ge else -z) >= STRICT else None
 
 
-_JUDGED = "group string, key string, part int, t long, idx int, found string, range int"
+_JUDGED = "group string, key string, part long, t long, idx int, found string, range long"
 
 
 def _judge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -220,7 +233,7 @@ def _judge(rows: pd.DataFrame) -> pd.DataFrame:
             found = [(group, key, part, None, None, None, names[i]) for i in sorted(base.needs)]
         out += found
     frame = pd.DataFrame(out, columns=[c.split()[0] for c in _JUDGED.split(", ")])
-    return frame.astype({"part": "Int32", "t": "Int64", "idx": "Int32", "range": "Int32"})
+    return frame.astype({"part": "Int64", "t": "Int64", "idx": "Int32", "range": "Int64"})
 
 
 def _judged_stretches(rows: DataFrame, active: DataFrame, bounds: DataFrame, several: DataFrame) -> DataFrame:

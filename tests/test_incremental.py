@@ -4,6 +4,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from awardgrid.operators import incremental
 
@@ -135,3 +136,26 @@ def np_unique(ranges):
     import numpy as np
 
     return np.array(sorted(ranges))
+
+
+def test_stretches_ascend_and_keep_equal_rows_together(spark):
+    """Rows are cut into many stretches by a few sorted ranges: as few splitters for the driver to sample."""
+    r = random.Random(7)
+    rows = [("g", r.choice("ab"), r.choice([0.0, -0.0, 5.0, r.gauss(0, 50)])) for _ in range(2000)]
+    cut = incremental._cut(spark.createDataFrame(rows, "group string, key string, value double").repartition(3), 2000, ["group", "key", "value"], "range", 20, each=500)
+    assert "rangepartitioning" in (plan := cut._jdf.queryExecution().executedPlan().toString()) and ", 4), REPARTITION_BY_NUM" in plan
+    got = sorted(((x.key, x.value, x.range) for x in cut.collect()), key=lambda x: (x[0], x[1]))
+    assert sorted((k, v) for k, v, _ in got) == sorted((k, v) for _, k, v in rows)
+    assert [x[2] for x in got] == sorted(x[2] for x in got) and len({x[2] for x in got}) > 20
+    assert len({(k, v) for k, v, _ in got}) == len({(k, v, c) for k, v, c in got})
+
+
+def test_the_driver_samples_few_splitters(spark, monkeypatch):
+    """Laid out in stretches of 4 rows, events are dealt to no more ranges than their number asks for."""
+    asked = []
+    deal = type(spark.range(1)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda df, n, *on: asked.append(n) or deal(df, n, *on))
+    occurrences = spark.createDataFrame(made(3, 120), TENDERS).selectExpr("*", "monotonically_increasing_id() as t").withColumn("place", F.col("place").cast("long"))
+    laid = incremental._laid_out(incremental._events(occurrences, None), 4)
+    assert asked and max(asked) <= 4
+    assert laid.select("part").distinct().count() > 60 and laid.where("key <> ''").select("range").distinct().count() > 20

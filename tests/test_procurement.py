@@ -6,7 +6,9 @@ import json
 import random
 import re
 import statistics
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -517,3 +519,48 @@ def test_requirements_of_one_label_are_dealt_to_many_tasks(spark):
     mapped = observations.apply_label_map(observed, mapping)
     assert observations.dedup_observations(mapped, "reference", F.lit("f"), [F.asc("row_seq")], 4_000_000).rdd.getNumPartitions() == 20
     assert agents.merge_effect(observed.withColumn("family", F.lit("f")), mapping)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(label") == 0
+
+
+def test_award_history_leaves_little_on_disk(spark):
+    """Winners of notices, several of one reference or with an empty one among them, against a plain walk; nothing that only led there stays on disk."""
+    r = random.Random(11)
+    feed = [(r.choice(["A1", "A2", "B7", "", None]), r.choice(["R1", "R2", "R3", "", "R9"]), r.choice(["Own Inc", "own", "Wide Ltd", "Else"]), r.choice(["D1", "D2"]), f"2020-01-0{r.randint(1, 9)}", r.choice(["25101500", ""]), i) for i in range(60)]
+    told = [("R1", "A1", "D1", "2510"), ("R1", "B7", "D2", "2511"), ("R1", None, "D2", "4110"), ("R2", None, "D1", "2510"), ("R3", "A2", "D2", ""), ("", "x", "D1", "2510"), ("Q", "y", "D2", ""), (None, "A1", "D1", "2510")]
+    rows = awards.prepared_awards(spark.createDataFrame(feed, "solicitation string, reference string, supplier string, buyer string, award_date string, unspsc string, row_seq int"))
+    notices = spark.createDataFrame([(a, b, c, d + "1500" if d else d) for a, b, c, d in told], "reference string, solicitation string, buyer string, unspsc string")
+    home = Path(matching.shared_folder(spark).removeprefix("file://")) / "awardgrid"
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    shuffles = lambda: {x.split("/")[-1] for x in files() if "shuffle_" in x}
+    before, had = shuffles(), set(home.glob("*"))
+    found = awards.investigate(notices, rows)
+    for _ in range(50):
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and not [p for p in set(home.glob("*")) - had if p.name.startswith(("awards-", "notices-"))]
+
+    norm = lambda s: s.upper().removesuffix(" INC").removesuffix(" LTD")
+    by_step = [lambda n, x: n[1] and n[1].upper() == (x[0] or None), lambda n, x: n[0] == x[1]]
+    want = {}
+    for n in told:
+        for step, meets in zip(("solicitation", "reference"), by_step, strict=True):
+            hits = [(x, step) for x in feed if meets(n, x)]
+            if hits:
+                want.setdefault(n[0], []).extend(hits)
+                break
+    order = lambda h: (-int(h[0][4][-2:]), norm(h[0][2]), h[0][2], h[0][6])
+    best = {ref: min(hits, key=order) for ref, hits in want.items() if ref is not None}
+    once = {}
+    for x in feed:
+        once.setdefault((x[0] or x[1], norm(x[2])), x)
+    got = [(x.reference, x.supplier, x.award_date, x.via, x.winners[0], x.group, x.supplier_awards) for x in found.collect()]
+    assert sorted(got) == sorted((n[0], x[2], x[4], via, x[2], "2510" if x[5] else n[3], sum(norm(y[2]) == norm(x[2]) for y in once.values())) for n in told if n[0] in best for x, via in [best[n[0]]])
+
+
+def test_first_code_of_long_cells(spark):
+    """The first part of a cell with four digits, whatever stands between them; a cell without digits takes time in its length."""
+    r = random.Random(3)
+    cells = ["".join(r.choice("*12 ;|,\n\tab-7") for _ in range(r.randint(0, 24))) for _ in range(400)] + [None, "", "x" * 200_000 + " 1234", "-" * 5_000 + "12" + "," * 5_000 + "1a2b3c4-5"]
+    parts = lambda c: [d for p in re.split(r"[\r\n,;|\s]+", c or "") if len(d := re.sub("[^0-9]", "", p)) >= 4]
+    assert column(spark, cells, names.first_code) == [next(iter(parts(c)), None) for c in cells]

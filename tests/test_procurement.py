@@ -564,3 +564,13 @@ def test_first_code_of_long_cells(spark):
     cells = ["".join(r.choice("*12 ;|,\n\tab-7") for _ in range(r.randint(0, 24))) for _ in range(400)] + [None, "", "x" * 200_000 + " 1234", "-" * 5_000 + "12" + "," * 5_000 + "1a2b3c4-5"]
     parts = lambda c: [d for p in re.split(r"[\r\n,;|\s]+", c or "") if len(d := re.sub("[^0-9]", "", p)) >= 4]
     assert column(spark, cells, names.first_code) == [next(iter(parts(c)), None) for c in cells]
+
+
+def test_names_within_names_hold_few_pairs_at_once(spark):
+    """Many rows of one name: a pair of blocks, all of whose pairs a task holds, is small whatever the name's rows."""
+    home = Path(matching.shared_folder(spark).removeprefix("file://")) / "awardgrid"
+    had = set(home.glob("blocks-*"))
+    found = awards.hosted_names(spark.range(3000).withColumn("name", F.lit("red bolt")), "id", "name")
+    (blocks,) = set(home.glob("blocks-*")) - had
+    assert spark.read.parquet(str(blocks)).agg(F.max(F.size("ks"))).first()[0] ** 2 < 200_000
+    assert found.count() == 3000 * 2999
